@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import lang
+from sparkloom.llm import lang, leak
 from sparkloom.session import table
 
 
@@ -21,5 +21,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lang.found(p9_segments(spark, d))
 
 
-QUERIES = {"p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_spans(spark, d).select("doc_id", "item_id")
+
+
+QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
 ORACLE: dict[str, str] = {}
