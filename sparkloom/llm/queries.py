@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import lang, leak
+from sparkloom.llm import knn, lang, leak
 from sparkloom.session import table
 
 
@@ -21,6 +21,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lang.found(p9_segments(spark, d))
 
 
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    n = knn.nearest(table(spark, d, "doc_cards"), "card_id", "embedding")
+    return n.select(F.col("key_a").alias("card_id"), F.col("key_b").alias("neighbour_id"), "cosine")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    n = knn.nearest(table(spark, d, "doc_cards"), "card_id", "embedding", min_cosine=0.9)
+    return knn.similar_pairs(n).select(F.col("key_a").alias("card_id_a"), F.col("key_b").alias("card_id_b"))
+
+
 def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -29,5 +39,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_spans(spark, d).select("doc_id", "item_id")
 
 
-QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p7_found": p7_found, "p7_spans": p7_spans, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
 ORACLE: dict[str, str] = {}
