@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import knn, lang, leak
+from sparkloom.llm import knn, lang, leak, mix, split
 from sparkloom.session import table
 
 
@@ -21,6 +21,22 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lang.found(p9_segments(spark, d))
 
 
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.split_sections(table(spark, d, "sections"), table(spark, d, "chunks"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return split.found(p1_pieces(spark, d))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     n = knn.nearest(table(spark, d, "doc_cards"), "card_id", "embedding")
     return n.select(F.col("key_a").alias("card_id"), F.col("key_b").alias("neighbour_id"), "cosine")
@@ -39,5 +55,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_spans(spark, d).select("doc_id", "item_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p7_found": p7_found, "p7_spans": p7_spans, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_mix": p8_mix, "p8_shares": p8_shares, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p7_found": p7_found, "p7_spans": p7_spans, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
+ORACLE = {"p1_found": "SELECT DISTINCT section_id FROM sections WHERE length(text) > 3000"}
