@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.operators import hierarchy
+from sparkloom.operators import drift, hierarchy
 from sparkloom.session import table
 
 
@@ -20,7 +20,23 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.build_hierarchy(table(spark, d, "folders")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants}
+def _followed(spark: SparkSession, d: str) -> DataFrame:
+    return drift.follow(table(spark, d, "files"), table(spark, d, "file_metadata"), table(spark, d, "file_rows"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes_of(_followed(spark, d))
+
+
+def p5_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.unify(table(spark, d, "files"), table(spark, d, "file_rows"), _followed(spark, d))
+
+
+def p5_columns(spark: SparkSession, d: str) -> DataFrame:
+    return drift.table_columns(_followed(spark, d))
+
+
+QUERIES = {"p5_found": p5_found, "p5_table": p5_table, "p5_columns": p5_columns, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants}
 _KEY = r"regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^(urn:uuid:|\{{)|\}}$', '', 'g'), '^urn:uuid:', ''), '^([0-9a-f]{{8}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{12}})$', '\1-\2-\3-\4-\5')"
 _NODES = (
     "nodes AS (SELECT key, id, name, parent FROM (SELECT " + _KEY.format("id") + " AS key, id, name, " + _KEY.format("parent_id") + " AS parent, "
