@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 HEADING = re.compile(r"(?:#{1,6} .*|(?:\d+(?:\.\d+)*[.)]\s+)?[^\W\d_][^.!?;:|\n]{0,78})\Z")
-LIST = re.compile(r"\s*(?:[-*•–]|\d+[.)]|[a-z]\)|\|)")
+LIST = re.compile(r"\s*(?:[-*•–]\s|\d+[.)]\s|[a-z]\)\s|\|)")
 ENDED = re.compile(r"[.!?…:;|][\"'»”’)\]]*\s*\Z")
 SENTENCE = re.compile(r"[.!?…]+[\"'»”’)\]]*\s+(?=[^\W_])")
 CLAUSE = re.compile(r"[,;:–—]\s+")
@@ -43,7 +43,7 @@ def boundaries(text: str) -> tuple[list[int], list[int]]:
     for i, line in enumerate(lines):
         if i and line.strip():
             heading = len(line) <= 80 and len(line.split()) <= 9 and HEADING.match(line.strip()) and (blank or ENDED.search(before) or not before) and line.strip()[:1].upper() == line.strip()[:1]
-            level = HEAD if heading else BLOCK if blank else LINE if ENDED.search(before) or LIST.match(line) or LIST.match(before) or len(before.split()) <= 3 else WRAP
+            level = HEAD if heading else BLOCK if blank else WRAP if line.lstrip()[:1].islower() and not LIST.match(line) else LINE if ENDED.search(before) or LIST.match(line) or LIST.match(before) or len(before.split()) <= 3 else WRAP
             strength[at] = max(level, strength.get(at, 0))
             if heading and i + 1 < len(lines):
                 glued.append((at, at + len(line) + 1))
@@ -68,6 +68,8 @@ def hard_cuts(text: str, a: int, b: int, room: int) -> list[tuple[int, int]]:
     out = []
     while b - a > room:
         cut = a + room
+        # separators and changes from figures to letters are the last natural places inside a word
+        cut = next((k for k in range(cut, a + room // 2, -1) if text[k - 1] in ";|,/_" or (text[k - 1].isdigit() and text[k].isalpha())), cut)
         while cut > a + 1 and (unicodedata.combining(text[cut]) or text[cut] in "‍️"):
             cut -= 1
         if cut <= a + 1:
