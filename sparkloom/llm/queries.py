@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import knn, lang, leak, mix, split
+from sparkloom.llm import knn, lang, leak, mix, names, split
 from sparkloom.session import table
 
 
@@ -47,6 +47,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.similar_pairs(n).select(F.col("key_a").alias("card_id_a"), F.col("key_b").alias("card_id_b"))
 
 
+def p6_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.resolve(table(spark, d, "entities")).select(F.col("key").alias("entity_id"), F.col("tenant").alias("tenant_id"), "name", "cluster")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = names.linked_pairs(names.resolve(table(spark, d, "entities")))
+    return pairs.select(F.col("key_a").alias("entity_id_a"), F.col("key_b").alias("entity_id_b"))
+
+
 def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -55,5 +64,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_spans(spark, d).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_mix": p8_mix, "p8_shares": p8_shares, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p7_found": p7_found, "p7_spans": p7_spans, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
+QUERIES = {"p6_found": p6_found, "p6_entities": p6_entities, "p1_found": p1_found, "p1_pieces": p1_pieces, "p8_mix": p8_mix, "p8_shares": p8_shares, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p7_found": p7_found, "p7_spans": p7_spans, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
 ORACLE = {"p1_found": "SELECT DISTINCT section_id FROM sections WHERE length(text) > 3000"}
