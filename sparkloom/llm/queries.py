@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import knn, lang, leak, mix, names, split
+from sparkloom.llm import knn, lang, leak, mix, names, ocr, split
 from sparkloom.session import table
 
 
@@ -47,6 +47,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.similar_pairs(n).select(F.col("key_a").alias("card_id_a"), F.col("key_b").alias("card_id_b"))
 
 
+def p4_text(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.clean(table(spark, d, "sections"), table(spark, d, "chunks"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.found(p4_text(spark, d))
+
+
 def p6_entities(spark: SparkSession, d: str) -> DataFrame:
     return names.resolve(table(spark, d, "entities")).select(F.col("key").alias("entity_id"), F.col("tenant").alias("tenant_id"), "name", "cluster")
 
@@ -64,5 +72,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_spans(spark, d).select("doc_id", "item_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_entities": p6_entities, "p1_found": p1_found, "p1_pieces": p1_pieces, "p8_mix": p8_mix, "p8_shares": p8_shares, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p7_found": p7_found, "p7_spans": p7_spans, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
+QUERIES = {"p4_found": p4_found, "p4_text": p4_text, "p6_found": p6_found, "p6_entities": p6_entities, "p1_found": p1_found, "p1_pieces": p1_pieces, "p8_mix": p8_mix, "p8_shares": p8_shares, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p7_found": p7_found, "p7_spans": p7_spans, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
 ORACLE = {"p1_found": "SELECT DISTINCT section_id FROM sections WHERE length(text) > 3000"}
