@@ -240,39 +240,31 @@ def profiles(mentions: DataFrame) -> DataFrame:
     return mentions.select("tenant", "etype", "name").distinct().mapInPandas(run, PROFILE)
 
 
-def merge_block(df: pd.DataFrame) -> pd.DataFrame:
-    """Links inside one block, as stars: each profile to the least one it means the same as. Equal ``extra`` first, so a block is compared within those only."""
-    out = []
-    for (kind, _), g in df.groupby(["kind", df["extra"].map(lambda x: "|".join(x))], sort=True):
-        rows = sorted(zip(g["pid"], (tuple(w) for w in g["words"]), (tuple(x) for x in g["extra"])))
-        if not says_enough(kind, rows[0][2]):
-            rows_by: dict = {}
-            for r in rows:  # weak forms of one kind meet only where their words are equal or one edit apart
-                rows_by.setdefault(r[2], []).append(r)
-            groups = list(rows_by.values())
-        else:
-            groups = [rows]
-        for rs in groups:
+def stars(batches):
+    """Links inside blocks, as stars: each profile to the least one it means the same as. All rows of a block have one ``extra``."""
+    for df in batches:
+        out = []
+        for block in df["block"]:
             leaders: list[tuple] = []
-            for pid, words, _ in rs:
+            for pid, words in sorted((r["pid"], tuple(r["words"])) for r in block):
                 hits = [p for p, w in leaders if same_words(words, w)]
-                if hits:
-                    out += [(pid, h) for h in hits[:1]]
-                    out += [(h, hits[0]) for h in hits[1:]]
-                leaders.append((pid, words)) if not hits or words not in [w for p, w in leaders if p in hits] else None
-    return pd.DataFrame(out, columns=["a", "b"])
+                out += [(pid, h) for h in hits]
+                if not any(w == words for _, w in leaders):
+                    leaders.append((pid, words))
+        yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def rematch_block(df: pd.DataFrame) -> pd.DataFrame:
-    """Which merged profiles a weak one fits: (weak, strong) rows of one block."""
-    out = []
-    for kind, g in df.groupby("kind"):
-        rows = list(zip(g["cid"], (tuple(w) for w in g["words"]), (tuple(x) for x in g["extra"]), g["strong"]))
-        strong = [r for r in rows if r[3]]
-        for c, words, extra, s in rows:
-            if not s:
-                out += {(c, x) for x, w, e, _ in strong if x != c and fits(kind, extra, e) and same_words(words, w)}
-    return pd.DataFrame(out, columns=["a", "b"])
+def fits_of(batches):
+    """Which merged profiles a weak one fits: (weak, strong) rows."""
+    for df in batches:
+        out = []
+        for kind, block in zip(df["kind"], df["block"]):
+            rows = [(r["cid"], tuple(r["words"]), tuple(r["extra"]), r["strong"]) for r in block]
+            strong = [r for r in rows if r[3]]
+            for c, words, extra, s in rows:
+                if not s:
+                    out += {(c, x) for x, w, e, _ in strong if x != c and fits(kind, extra, e) and same_words(words, w)}
+        yield pd.DataFrame(out, columns=["a", "b"])
 
 
 def _keyed(df: DataFrame, *keep: str) -> DataFrame:
@@ -290,8 +282,9 @@ def resolve(entities: DataFrame, key: str = "entity_id", tenant: str = "tenant_i
     ident = F.xxhash64("tenant", "kind", F.array_join("words", " "), F.array_join("extra", "|"))
     spelled = durable(spelled.withColumn("pid", ident))
     distinct = spelled.select("pid", "tenant", "kind", "words", "extra").dropDuplicates(["pid"])
-    blocks = _keyed(distinct, "pid").groupBy("tenant", "kind", "key")
-    links = blocks.applyInPandas(lambda df: merge_block(df), "a long, b long").where("a <> b").distinct()
+    # a block holds the distinct spellings one deletion from its key that share the given name, trade or number
+    blocks = _keyed(distinct, "pid").groupBy("tenant", "kind", "key", F.array_join("extra", "|").alias("e")).agg(F.collect_list(F.struct("pid", "words")).alias("block")).where(F.size("block") > 1)
+    links = blocks.select("block").mapInPandas(stars, "a long, b long").where("a <> b").distinct()
     links = durable(links.unionByName(distinct.select(F.col("pid").alias("a"), F.col("pid").alias("b"))))
     label = durable(connected_components(links).select(F.col("node").alias("pid"), F.col("component").alias("cid")))
     enough = F.when(F.col("kind") == "person", (F.size("extra") == 1) & ~F.col("extra")[0].rlike("[.*]$")).otherwise((F.size("extra") > 0) & (F.array_join("extra", "|") != ""))
@@ -300,7 +293,9 @@ def resolve(entities: DataFrame, key: str = "entity_id", tenant: str = "tenant_i
         now = distinct.join(label, "pid").withColumn("own", enough)
         strength = now.groupBy("cid").agg(F.max("own").alias("strong"))
         rows = now.join(strength, "cid").where("own or not strong").select("tenant", "kind", "words", "extra", "cid", "strong").distinct()
-        fit = _keyed(rows, "cid", "strong").groupBy("tenant", "kind", "key").applyInPandas(lambda df: rematch_block(df), "a long, b long").distinct()
+        letters = F.when(F.col("kind") == "person", F.array_distinct(F.transform("extra", lambda x: F.substring(x, 1, 1)))).otherwise(F.array(F.lit("")))
+        blocks = _keyed(rows, "cid", "strong").withColumn("letter", F.explode(letters)).groupBy("tenant", "kind", "key", "letter").agg(F.collect_list(F.struct("cid", "words", "extra", "strong")).alias("block"), F.max("strong").alias("any"), F.min("strong").alias("all"))
+        fit = blocks.where(F.col("any") & ~F.col("all")).select("kind", "block").mapInPandas(fits_of, "a long, b long").distinct()
         only = fit.groupBy("a").agg(F.count_distinct("b").alias("n"), F.min("b").alias("b")).where("n = 1").select("a", "b")
         merged = durable(only)
         if not merged.limit(1).count():
