@@ -86,7 +86,9 @@ def windows_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 def date_of(c: Column) -> Column:
     """A date written in one of the known formats or as a spreadsheet serial; years outside 1901..2100, bare years and period labels are none."""
     t = F.trim(c)
-    parsed = F.coalesce(*[F.to_date(F.try_to_timestamp(t, F.lit(f))) for f in policy.DATE_FORMATS if "MMM" not in f], *[F.to_date(F.try_to_timestamp(F.initcap(t), F.lit(f))) for f in policy.DATE_FORMATS if "MMM" in f])
+    # a shape test comes before each parse: a failed parse is many times dearer than a failed match
+    shape = lambda f: "(?i)^" + f.replace(".", r"\.").replace("MMMM", "[a-z]{3,9}").replace("MMM", "[a-z]{3}").replace("yyyy", r"\d{4}").replace("MM", r"\d{2}").replace("dd", r"\d{2}") + "$"
+    parsed = F.coalesce(*[F.when(t.rlike(shape(f)), F.to_date(F.try_to_timestamp(F.initcap(t) if "MMM" in f else t, F.lit(f)))) for f in sorted(policy.DATE_FORMATS, key=lambda f: "MMM" in f)])
     serial = F.when(t.rlike(r"^\d{4,5}$"), t.cast("int"))
     from_serial = F.when(serial.between(policy.SERIAL_MIN, policy.SERIAL_MAX) & ~t.rlike(r"^\d{4}$"), F.date_add(F.lit(policy.SERIAL_EPOCH).cast("date"), serial))
     d = F.when(~t.rlike(r"^[A-Za-z]{3}-\d{2,4}$") & ~t.rlike(r"^\d{4}$"), F.coalesce(parsed, from_serial))

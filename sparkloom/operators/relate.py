@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkloom import policy
 from sparkloom.functions.scalars import fingerprint
+from sparkloom.session import durable
 
 
 def column_values(tables: dict[str, DataFrame], columns: list[tuple[str, str]]) -> DataFrame:
@@ -24,7 +25,8 @@ def column_values(tables: dict[str, DataFrame], columns: list[tuple[str, str]])
 
 def key_registry(values: DataFrame) -> DataFrame:
     """file_name, column_name, n_rows, cardinality, unique_rate, null_rate, key_kind (pk, fk or null) over all rows."""
-    per_value = values.withColumn("fp", fingerprint(F.col("value"))).groupBy("file_name", "column_name", "fp").agg(F.count(F.lit(1)).alias("n"))
+    raw = values.groupBy("file_name", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))  # each value is normalised and hashed once
+    per_value = raw.withColumn("fp", fingerprint(F.col("value"))).groupBy("file_name", "column_name", "fp").agg(F.sum("n").alias("n"))
     reg = per_value.groupBy("file_name", "column_name").agg(F.sum("n").alias("n_rows"), F.count("fp").alias("cardinality"), F.coalesce(F.sum(F.when(F.col("fp").isNull(), F.col("n"))), F.lit(0)).alias("nulls"))
     unique = F.coalesce(F.try_divide("cardinality", F.col("n_rows") - F.col("nulls")), F.lit(0.0))
     null = F.coalesce(F.try_divide("nulls", "n_rows"), F.lit(1.0))
@@ -42,9 +44,12 @@ def key_kind(role: Column, unique: Column, null: Column) -> Column:
 def fingerprint_overlap(values: DataFrame) -> DataFrame:
     """file_a, column_a, file_b, column_b, n_shared, overlap (of the smaller set), cardinality_a, cardinality_b of columns of different files that share values."""
     place = F.concat_ws("\u0001", "file_name", "column_name")
-    fps = values.select(place.alias("p"), fingerprint(F.col("value")).alias("fp")).where("fp is not null").distinct()
-    sizes = fps.groupBy("p").agg(F.count(F.lit(1)).alias("size"))
-    sets = fps.groupBy("fp").agg(F.array_sort(F.collect_list("p")).alias("s")).where(F.size("s") > 1).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    # counted, not made distinct: else the optimiser drops this step before the next and each cell is hashed
+    once = values.where("value is not null").groupBy("file_name", "column_name", "value").agg(F.count(F.lit(1)).alias("k"))
+    fps = once.select(place.alias("p"), fingerprint(F.col("value")).alias("fp")).where("fp is not null")
+    signatures = durable(fps.groupBy("fp").agg(F.array_sort(F.collect_set("p")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")))  # one row per distinct set of columns
+    sizes = signatures.select(F.explode("s").alias("p"), "n").groupBy("p").agg(F.sum("n").alias("size"))
+    sets = signatures.where(F.size("s") > 1)
     first = sets.select("s", "n", F.posexplode("s").alias("i", "pa"))
     pairs = first.select("pa", "n", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("pb")).where(F.split("pa", "\u0001")[0] != F.split("pb", "\u0001")[0])
     shared = pairs.groupBy("pa", "pb").agg(F.sum("n").alias("n_shared"))

@@ -13,23 +13,36 @@ from sparkloom.functions import scalars
 
 
 def bm25(docs: DataFrame, terms: list[str], key: str, text: str, top: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, score of the top documents. Words are lower-case runs of letters and figures, without stemming or stop words.
+    """key, score of the top documents for one question's terms; see bm25_many."""
+    return bm25_many(docs, {"": terms}, key, text, top, k1, b).drop("q")
 
-    The corpus figures (documents, mean length, a count for each term) take one aggregation; the scores are one narrow projection and a top-k.
+
+def bm25_many(docs: DataFrame, questions: dict[str, list[str]], key: str, text: str, top: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """q, key, score: the top documents of each question. Terms are words in lower case; words are lower-case runs of letters and figures, without stemming or stop words.
+
+    Whatever the number of questions, the corpus is read twice: once for its figures (documents, mean length, a count for each term), once for the
+    scores, of which each task passes on ``top`` rows a question. Nothing is indexed, shuffled or kept. Ties go to the smaller key.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    count = lambda t: F.size(F.filter("_w", lambda x: x == t))
-    tf = [count(t) for t in terms]
-    base = docs.select(F.col(key), words.alias("_w")).select(key, F.size("_w").alias("_n"), *[c.alias(f"_t{i}") for i, c in enumerate(tf)])
+    terms = list(dict.fromkeys(t for ts in questions.values() for t in ts))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    inside = r"[\p{L}\p{N}]"
+    # a plain search comes before the word count, so texts without a term cost no pattern match
+    tf = [F.when(low.contains(t), F.regexp_count(low, F.lit(f"(?<!{inside}){t}(?!{inside})"))).otherwise(0) for t in terms]
+    base = docs.select(F.col(key), F.regexp_count(low, F.lit(f"{inside}+")).alias("_n"), *[c.alias(f"_t{i}") for i, c in enumerate(tf)])
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("mean"), *[F.sum(F.when(F.col(f"_t{i}") > 0, 1).otherwise(0)).alias(f"d{i}") for i in range(len(terms))]).first()
     n, mean = stats["n"] or 0, stats["mean"] or 1.0
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        df = stats[f"d{i}"] or 0
-        idf = float(np.log(1 + (n - df + 0.5) / (df + 0.5)))
-        f = F.col(f"_t{i}")
-        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_n") / mean))
-    return base.select(key, F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(top)
+    scores = []
+    for q, ts in questions.items():
+        score = F.lit(0.0)
+        for t in ts:
+            i = terms.index(t)
+            df, f = stats[f"d{i}"] or 0, F.col(f"_t{i}")
+            score = score + float(np.log(1 + (n - df + 0.5) / (df + 0.5))) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_n") / mean))
+        scores.append(F.struct(F.lit(q).alias("q"), F.round(score, 6).alias("score")))
+    some = F.greatest(*[F.col(f"_t{i}") for i in range(len(terms))], F.lit(0)) > 0
+    hits = base.where(some).select(key, F.explode(F.array(*scores)).alias("s")).select("s.q", key, "s.score").where("score > 0")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), key)
+    return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).drop("r")
 
 
 def trigram_search(rows: DataFrame, question: str, key: str, text: str, threshold: float = policy.TRIGRAM_MIN, top: int = 20) -> DataFrame:

@@ -199,12 +199,7 @@ def _bm25_sql(terms: list[str], top: int = 20) -> str:
 
 @query(" UNION ALL ".join(f"SELECT '{q}' AS q, * FROM ({_bm25_sql(t)})" for q, t in _TERMS.items()))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    out = None
-    for q, terms in _TERMS.items():
-        one = search.bm25(docs, terms, "doc_id", "text").select(F.lit(q).alias("q"), "doc_id", "score")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return search.bm25_many(table(spark, d, "documents"), _TERMS, "doc_id", "text")
 
 
 _GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> ''), lambda w: list_transform(range(1, CAST(len(w) AS BIGINT) + 2), lambda i: substr('  ' || w || ' ', CAST(i AS BIGINT), 3)))))"
@@ -224,8 +219,8 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH a AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 0 AS l FROM (" + _bm25_sql(_TERMS["q1"]) + ")), b AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 1 AS l FROM (" + _bm25_sql(_TERMS["q3"]) + ")), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT doc_id, round(sum(1.0 / (60 + rank)), 10) AS score FROM u GROUP BY 1 ORDER BY score DESC, min((l, rank)), doc_id LIMIT 20")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return search.rrf([search.bm25(docs, _TERMS[q], "doc_id", "text") for q in ("q1", "q3")], "doc_id")
+    hits = durable(search.bm25_many(table(spark, d, "documents"), {q: _TERMS[q] for q in ("q1", "q3")}, "doc_id", "text"))  # two top-k lists
+    return search.rrf([hits.where(F.col("q") == q).drop("q") for q in ("q1", "q3")], "doc_id")
 
 
 @query("SELECT file_id, round(max(s), 9) AS score FROM (SELECT file_id, coalesce(ingestion_confidence_score, 0) * greatest(0.6, 1 - 0.5 * (1 - coalesce(ingestion_confidence_score, 1.0))) AS s FROM file_metadata) WHERE s >= 0.05 GROUP BY 1")
