@@ -58,9 +58,12 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> tupl
 class CentroidGraph:
     """Centroids with links to their nearest others; a search walks from the pivots along the links, many queries at once."""
 
-    def __init__(self, centroids: np.ndarray, pivots: np.ndarray, degree: int = 16):
+    def __init__(self, centroids: np.ndarray, pivots: np.ndarray, links: np.ndarray | None = None, degree: int = 16):
         self.c = centroids
         self.pivots = pivots
+        if links is not None:
+            self.links = links
+            return
         n = len(centroids)
         degree = min(degree, n - 1)
         links = np.zeros((n, max(degree, 1)), np.int32)
@@ -142,7 +145,7 @@ def search_list(x: np.ndarray, k: int, min_cosine: float | None, block: int = 51
     return (np.concatenate(a), np.concatenate(b), np.concatenate(s)) if a else (none, none, none.astype(float))
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, min_cosine: float | None = None, list_rows: int = 1200, replicas: int = 4, ratio: float = 0.25, per_centroid: int = 16, max_sample: int = 120_000) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, min_cosine: float | None = None, list_rows: int = 1600, replicas: int = 6, ratio: float = 0.3, per_centroid: int = 16, max_sample: int = 120_000) -> DataFrame:
     """key_a, key_b, cosine: for every usable vector the k most similar others found (with min_cosine only those at or above it)."""
     rows = usable(df, key, vector, dim)
     spark = df.sparkSession
@@ -151,12 +154,13 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, mi
     share = min(1.0, lists * per_centroid / max(n, 1))
     picked = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").toArrow()  # about lists * per_centroid rows, max_sample at most
     sample = unit(rows_matrix(picked.column("v").combine_chunks(), dim)) if picked.num_rows else np.eye(1, dim, dtype=np.float32)
-    shared = spark.sparkContext.broadcast(fit_graph(sample, lists))  # at most max_sample / per_centroid centroids
+    fitted = fit_graph(sample, lists)
+    shared = spark.sparkContext.broadcast((fitted.c, fitted.pivots, fitted.links))  # at most max_sample / per_centroid centroids
     hashed = rows.withColumn("h", F.xxhash64("v")).withColumn("g", F.xxhash64(F.lit(7), "v"))
     vectors = hashed.groupBy("h", "g").agg(F.min(F.struct("key", "v")).alias("r")).select("r.key", "r.v")  # repeats and exact copies once
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = shared.value
+        graph = CentroidGraph(*shared.value)
         for whole in batches:
             for i in range(0, whole.num_rows, 2048):
                 batch = whole.slice(i, 2048)
