@@ -45,5 +45,5 @@ def test_orphans_and_text(spark):
     m = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, None)], "e int, d string")
     assert [r.e for r in catalog.orphans(m, "e", "d", spark.createDataFrame([("a",), ("a",)], "x string")).collect()] == [2]
     df = spark.createDataFrame([("What is A, and how B?",), ("",), (None,)], "q string")
-    assert [r[0] for r in df.select(catalog.question_parts(F.col("q"))).collect()] == [["is a", "b"], [], None] or True
+    assert [r[0] for r in df.select(catalog.question_parts(F.col("q"))).collect()] == [["is a", "b"], [], None]
     assert spark.range(1).select(catalog.likeness(F.lit("abc"), F.lit("abd"))).first()[0] > 0.6
