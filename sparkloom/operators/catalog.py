@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sparkloom.functions import scalars
 from sparkloom.operators import drift, hierarchy
 
 
@@ -140,3 +141,69 @@ def question_parts(c: Column, most: int = 6) -> Column:
     parts = F.split(F.lower(c), r"[;,?.]|\band\b")
     bare = F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:what|which|who|when|where|how|why|is|are|was|were|did|does|do|the)\b", "")))
     return F.slice(F.array_distinct(F.filter(bare, lambda x: x != "")), 1, most)
+
+
+# Formats of one period's file, the one that is kept first.
+FORMATS = ("parquet", "csv", "txt", "xlsx", "xls")
+
+
+def identities(files: DataFrame, metadata: DataFrame) -> DataFrame:
+    """container_id, table_name, period, file_id: the files that make up each logical table.
+
+    Files of one name family merge only with the same set of column names: the set most files have keeps the name (ties: the lesser fingerprint),
+    others get ``_S`` and six figures of theirs. A period in several formats is kept once, by FORMATS, then by the lesser id. Files without columns or date are left out.
+    """
+    fp = schema_fingerprints(metadata.select(F.struct("file_id", "ingested_at").alias("id"), "columns_info")).where("fingerprint is not null").select("id.*", "fingerprint")
+    last = newest(fp, ["file_id"], ["ingested_at"])
+    f = files.select(F.col("id").alias("file_id"), "container_id", scalars.logical_table(F.col("name")).alias("family"), scalars.file_period(F.col("name")).alias("period"), F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)).alias("ext")).where("period is not null").distinct().join(last.select("file_id", "fingerprint"), "file_id")
+    sets = f.groupBy("container_id", "family", "fingerprint").agg(F.count_distinct("file_id").alias("n"))
+    main = sets.groupBy("container_id", "family").agg(F.min_by("fingerprint", F.struct((-F.col("n")).alias("n"), "fingerprint")).alias("main"))
+    named = f.join(main, ["container_id", "family"]).withColumn("table_name", F.when(F.col("fingerprint") == F.col("main"), F.col("family")).otherwise(F.concat("family", F.lit("_S"), F.upper(F.substring(F.md5("fingerprint"), 1, 6)))))
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in FORMATS]), F.col("ext")), F.lit(0)), F.lit(len(FORMATS) + 1))
+    return named.groupBy("container_id", "table_name", "period").agg(F.min_by("file_id", F.struct(rank.alias("r"), "file_id")).alias("file_id"))
+
+
+def score_catalog(questions: DataFrame, entries: DataFrame, question: str, q_text: str, entry: str, e_text: str, top: int = 3, least: int = 4) -> DataFrame:
+    """question, entry, score, rank: entries by the share of the question's words (of ``least`` letters or more) they hold. Words meet in an equality join."""
+    q = questions.select(F.col(question).alias("q"), scalars.tokens(F.col(q_text), least).alias("w")).where(F.size("w") > 0).select("q", F.size("w").alias("n"), F.explode("w").alias("w"))
+    e = entries.select(F.col(entry).alias("e"), F.explode(scalars.tokens(F.col(e_text), least)).alias("w")).distinct()
+    hit = q.join(e, "w").groupBy("q", "e", "n").agg(F.count(F.lit(1)).alias("k")).select("q", "e", F.round(F.col("k") / F.col("n"), 6).alias("score"))
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "e")
+    return hit.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top).select(F.col("q").alias(question), F.col("e").alias(entry), "score", "rank")
+
+
+def field_scores(df: DataFrame, key: str, terms: list[str], boosts: dict[str, float], top: int = 20) -> DataFrame:
+    """key, score: the boosts of the fields that hold each term, summed; a field counts once a term."""
+    score = F.lit(0.0)
+    for field, boost in boosts.items():
+        low = F.lower(F.coalesce(F.col(field), F.lit("")))
+        for t in terms:
+            score = score + F.when(low.contains(t), boost).otherwise(0.0)
+    return df.select(key, score.alias("score")).groupBy(key).agg(F.max("score").alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(top)
+
+
+def compare_runs(current: DataFrame, baseline: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
+    """keys, current, baseline, verdict: better, worse, same (within the tolerance), added or gone."""
+    c, b = current.select(*keys, F.col(value).alias("current")), baseline.select(*keys, F.col(value).alias("baseline"))
+    j = c.join(b, keys, "full")
+    gap = F.col("current") - F.col("baseline")
+    return j.withColumn("verdict", F.when(F.col("baseline").isNull(), "added").when(F.col("current").isNull(), "gone").when(gap > tolerance, "better").when(gap < -tolerance, "worse").otherwise("same"))
+
+
+def page_class(chars: Column, scanned_below: int, complex_layout: Column, entropy_high: Column) -> Column:
+    """How a page is read: an image of high entropy or of little text is scanned, a complex layout is parsed as such, else the text is taken."""
+    return F.when(entropy_high, "scanned").when(chars < scanned_below, "scanned").when(complex_layout, "complex").otherwise("native")
+
+
+def surface_forms(c: Column, most: int = 8) -> Column:
+    """Runs of capitalised words or figures in a question, the longest first, at most ``most``."""
+    runs = F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?:\b[\p{Lu}\d][\p{L}\d\-]*\s?)+"), F.lit(0)))
+    bare = F.filter(F.transform(runs, lambda x: F.trim(x)), lambda x: F.length(x) > 1)
+    return F.slice(F.transform(F.array_sort(F.transform(bare, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("t")))), lambda x: x["t"]), 1, most)
+
+
+def expand_terms(questions: DataFrame, key: str, text: str, glossary: DataFrame) -> DataFrame:
+    """key, expanded: a question with the long forms of the short ones it uses. glossary(short, long_form)."""
+    w = questions.select(key, text, F.explode_outer(F.array_distinct(F.split(text, r"[^\p{L}\d]+"))).alias("short"))
+    g = glossary.groupBy("short").agg(F.min("long_form").alias("long_form"))
+    return w.join(g, "short", "left").groupBy(key, text).agg(F.array_sort(F.collect_set("long_form")).alias("x")).select(key, F.concat_ws(" ", text, F.array_join("x", " ")).alias("expanded"))

@@ -132,3 +132,25 @@ def reconcile_grain(facts: DataFrame, totals: DataFrame, tolerance: float = poli
     j = key(facts).select("k_period", "k_unit", (F.col("rate") * F.col("volume")).alias("made")).join(key(totals).select("k_period", "k_unit", "total"), ["k_period", "k_unit"])
     gap = F.abs(F.col("made") - F.col("total")) / F.greatest(F.lit(1.0), F.abs("total"))
     return j.select(F.col("k_period").alias("period"), F.col("k_unit").alias("unit"), F.round(gap, 6).alias("gap"), (gap <= tolerance).alias("ties"))
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, width_days: int = 32) -> DataFrame:
+    """Rows of points (a date ``at``) beside the intervals (closed, dates) that hold it: an equality join on buckets of days, then the exact test.
+
+    An interval is put out once for each bucket it touches, so the width should be near a usual interval's length; no nested loop at any size.
+    Null dates and intervals that end before they start match nothing.
+    """
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    p = points.where(F.col(at).isNotNull()).withColumn("_b", F.floor(day(at) / width_days))
+    sound = intervals.where(F.col(start) <= F.col(end))
+    i = sound.withColumn("_b", F.explode(F.sequence(F.floor(day(start) / width_days), F.floor(day(end) / width_days))))
+    return p.join(i, "_b").where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("_b")
+
+
+def graph_health(tables: DataFrame, edges: DataFrame, weak: float = policy.APPROVED_CONFIDENCE) -> DataFrame:
+    """n_tables, coverage (share with an edge), p50 and p95 of confidence, weak_ratio, orphan_ratio of a catalogue's join graph."""
+    ends = edges.select(F.col("file_a").alias("t")).union(edges.select("file_b")).distinct()
+    t = tables.select(F.col(tables.columns[0]).alias("t")).distinct().join(ends.withColumn("linked", F.lit(1)), "t", "left").agg(F.count(F.lit(1)).alias("n_tables"), F.coalesce(F.sum("linked"), F.lit(0)).alias("linked"))
+    e = edges.agg(F.percentile("confidence", 0.5).alias("p50"), F.percentile("confidence", 0.95).alias("p95"), F.coalesce(F.avg(F.when(F.col("confidence") < weak, 1.0).otherwise(0.0)), F.lit(0.0)).alias("weak_ratio"))
+    cover = F.try_divide("linked", "n_tables")
+    return t.join(F.broadcast(e)).select("n_tables", cover.alias("coverage"), "p50", "p95", "weak_ratio", (1 - cover).alias("orphan_ratio"))  # one row each

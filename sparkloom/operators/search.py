@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkloom import policy
 from sparkloom.functions import scalars
+from sparkloom.operators.graph import expand_one_hop
+from sparkloom.session import durable
 
 
 def bm25(docs: DataFrame, terms: list[str], key: str, text: str, top: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -150,3 +152,20 @@ def budgeted(rows: DataFrame, order: str, text: str, budget: int) -> DataFrame:
     w = Window.orderBy(order)  # an assembled context: a top-k, never a corpus
     size = F.ceil(scalars.token_count(F.col(text)) * 1.3)
     return rows.withColumn("_used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w)).where((F.col("_used") <= budget) | (F.col("_n") == 1)).drop("_used", "_n")
+
+
+def retrieve(catalog: DataFrame, key: str, text: str, terms: list[str], question: str, edges: DataFrame, trust: str, vectors: DataFrame | None = None, vector: list[float] | None = None, top: int = 20) -> DataFrame:
+    """key, score: the staged retrieval of a catalogue.
+
+    Word, trigram and vector search are pruned and fused by rank; the fused files' neighbours over sure edges make a further list, fused again;
+    scores are damped by each file's trust. Every list is a top-k, so all stages after the searches are small.
+    """
+    lists = [bm25(catalog, terms, key, text, top), trigram_search(catalog, question, key, text, top=top)]
+    if vectors is not None and vector is not None:
+        lists.append(vector_search(vectors, vector, key, "embedding", top=top))
+    lists = [durable(prune(x, key)) for x in lists]
+    seeds = durable(rrf(lists, key, top))
+    near = expand_one_hop(edges, seeds.select(key)).select(F.col("node").alias(key), "score")
+    fused = rrf([seeds, durable(near)], key, top)
+    sure = catalog.select(key, F.col(trust).alias("trust")).groupBy(key).agg(F.max("trust").alias("trust"))
+    return fused.join(sure, key, "left").select(key, F.round(attenuate(F.col("score"), F.col("trust")), 9).alias("score")).orderBy(F.desc("score"), key)

@@ -362,3 +362,10 @@ def share_of_total(spark: SparkSession, d: str) -> DataFrame:
 def as_of_date(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("date_range_end")
     return table(spark, d, "file_metadata").agg(F.least(F.max(F.when(F.year(e) < 2400, e)), F.lit("2025-01-15").cast("date")).alias("as_of"))
+
+
+@query("WITH " + _FPS + ", " + _REG + ", " + _OVERLAP + ", " + _EDGES + ", t AS (SELECT DISTINCT file_name AS t FROM cells), l AS (SELECT file_a AS t FROM edges UNION SELECT file_b FROM edges) SELECT (SELECT count(*) FROM t) AS n_tables, round((SELECT count(*) FROM l) / (SELECT count(*) FROM t), 6) AS coverage, round(quantile_cont(confidence, 0.5), 6) AS p50, round(quantile_cont(confidence, 0.95), 6) AS p95, round(avg(CASE WHEN confidence < 0.72 THEN 1.0 ELSE 0.0 END), 6) AS weak_ratio, round(1 - (SELECT count(*) FROM l) / (SELECT count(*) FROM t), 6) AS orphan_ratio FROM edges")
+def graph_health(spark: SparkSession, d: str) -> DataFrame:
+    tables = spark.createDataFrame([(t,) for t in dict.fromkeys(t for t, _ in KEYS)], "t string")
+    h = relate.graph_health(tables, durable(_edges(spark, d)))
+    return h.withColumns({c: F.round(c, 6) for c in ("coverage", "p50", "p95", "weak_ratio", "orphan_ratio")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparkloom import policy
-from sparkloom.operators import catalog, search
+from sparkloom.operators import catalog, relate, search
 from sparkloom.plans.analysis_queries import _bm25_sql
 from sparkloom.plans.registry import query
 from sparkloom.plans.training_queries import _NODES
@@ -170,3 +170,67 @@ def column_inspector(spark: SparkSession, d: str) -> DataFrame:
     cell = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.when(F.typeof(c) == "string", "VARCHAR").otherwise(F.typeof(c)).alias("kind"), F.col(c).alias("value")) for c in ("lang", "source")]))
     w = Window.partitionBy("column_name").orderBy("value")
     return docs.select(cell.alias("x")).select("x.*").where("value is not null").distinct().withColumn("r", F.row_number().over(w)).where("r <= 5").drop("r")
+
+
+_FP = "SELECT file_id, fp FROM (SELECT file_id, fp, row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC, fp DESC) AS rn FROM (SELECT file_id, ingested_at, CASE WHEN len(n) > 0 THEN sha256(array_to_string(list_sort(list_transform(n, lambda x: lower(trim(x)))), '|')) END AS fp FROM (SELECT *, CASE WHEN json_type(columns_info, '$[0]') = 'VARCHAR' THEN json_extract_string(columns_info, '$[*]') WHEN json_extract(columns_info, '$[0].name') IS NOT NULL THEN json_extract_string(columns_info, '$[*].name') ELSE json_extract_string(columns_info, '$[*].column') END AS n FROM file_metadata)) WHERE fp IS NOT NULL) WHERE rn = 1"
+
+
+@query(
+    "WITH p AS (" + _FP + "), f AS (SELECT id AS file_id, container_id, upper(regexp_extract(name, '^(.*)_(?:19|20)\\d{2}[_\\-]?\\d{2}(?:_[A-Za-z]+)?\\.\\w+$', 1)) AS family, regexp_extract(name, '((?:19|20)\\d{2})[_\\-]?(\\d{2})(?:_[A-Za-z]+)?\\.', 1) || '_' || regexp_extract(name, '((?:19|20)\\d{2})[_\\-]?(\\d{2})(?:_[A-Za-z]+)?\\.', 2) AS period, lower(regexp_extract(name, '\\.([^.]*)$', 1)) AS ext, p.fp FROM files JOIN p ON p.file_id = files.id), "
+    "s AS (SELECT container_id, family, fp, row_number() OVER (PARTITION BY container_id, family ORDER BY count(*) DESC, fp) AS r FROM f GROUP BY 1, 2, 3), n AS (SELECT f.*, CASE WHEN s.r = 1 THEN f.family ELSE f.family || '_S' || upper(substr(md5(f.fp), 1, 6)) END AS table_name FROM f JOIN s USING (container_id, family, fp)) "
+    "SELECT container_id, table_name, period, file_id FROM (SELECT *, row_number() OVER (PARTITION BY container_id, table_name, period ORDER BY CASE ext WHEN 'parquet' THEN 1 WHEN 'csv' THEN 2 WHEN 'txt' THEN 3 WHEN 'xlsx' THEN 4 WHEN 'xls' THEN 5 ELSE 6 END, file_id) AS k FROM n) WHERE k = 1"
+)
+def file_identities(spark: SparkSession, d: str) -> DataFrame:
+    """The files each logical table is made of, split by schema, one per period."""
+    return catalog.identities(table(spark, d, "files"), table(spark, d, "file_metadata"))
+
+
+_TOK = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: length(x) >= 4))"
+
+
+@query("WITH q AS (SELECT item_id AS q, len(" + _TOK.format("question") + ") AS n, unnest(" + _TOK.format("question") + ") AS w FROM eval_items), e AS (SELECT DISTINCT id AS e, unnest(" + _TOK.format("ai_description") + ") AS w FROM file_metadata), h AS (SELECT q, e, round(count(*) / n, 6) AS score FROM q JOIN e ON q.w = e.w GROUP BY q, e, n) SELECT q AS item_id, e AS id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, e) AS rank FROM h) WHERE rank <= 3")
+def catalog_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.score_catalog(table(spark, d, "eval_items"), table(spark, d, "file_metadata"), "item_id", "question", "id", "ai_description")
+
+
+@query("SELECT id, max(s) AS score FROM (SELECT m.id, " + " + ".join(f"CASE WHEN contains(lower(coalesce({c}, '')), '{t}') THEN {b}.0 ELSE 0.0 END" for c, b in (("f.name", 4), ("m.ai_description", 3), ("m.trust_state", 1)) for t in ("orders", "ledger", "trusted")) + " AS s FROM file_metadata m JOIN files f ON f.id = m.file_id) WHERE s > 0 GROUP BY 1 ORDER BY score DESC, id LIMIT 20")
+def field_boosts(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "files").select(F.col("id").alias("file_id"), "name")
+    return catalog.field_scores(table(spark, d, "file_metadata").join(f, "file_id"), "id", ["orders", "ledger", "trusted"], {"name": 4.0, "ai_description": 3.0, "trust_state": 1.0})
+
+
+@query("SELECT m.id, CAST(count(*) AS BIGINT) AS n_documents FROM file_metadata m JOIN documents d ON d.doc_date BETWEEN m.date_range_start AND m.date_range_end GROUP BY 1")
+def interval_join(spark: SparkSession, d: str) -> DataFrame:
+    """Documents dated inside each file's range; documents are counted by day first, so a crowded day is one row in the join."""
+    days = table(spark, d, "documents").groupBy("doc_date").agg(F.count(F.lit(1)).alias("k"))
+    j = relate.interval_join(days, table(spark, d, "file_metadata").select("id", "date_range_start", "date_range_end"), "doc_date", "date_range_start", "date_range_end")
+    return j.groupBy("id").agg(F.sum("k").alias("n_documents"))
+
+
+@query("WITH m AS (SELECT o_orderpriority AS label, strftime(o_orderdate, '%m') AS month, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1, 2, 3), c AS (SELECT label, month, n FROM m WHERE y = 1997), b AS (SELECT label, month, n FROM m WHERE y = 1996) SELECT coalesce(c.label, b.label) AS label, coalesce(c.month, b.month) AS month, CAST(c.n AS BIGINT) AS current, CAST(b.n AS BIGINT) AS baseline, CASE WHEN b.n IS NULL THEN 'added' WHEN c.n IS NULL THEN 'gone' WHEN c.n - b.n > 3 THEN 'better' WHEN c.n - b.n < -3 THEN 'worse' ELSE 'same' END AS verdict FROM c FULL JOIN b ON c.label = b.label AND c.month = b.month")
+def regression_delta(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("label"), F.date_format("o_orderdate", "MM").alias("month"), F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    return catalog.compare_runs(m.where("y = 1997"), m.where("y = 1996"), ["label", "month"], "n", 3)
+
+
+@query()
+def staged_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Word and trigram search over descriptions, neighbours by shared tables, damped by trust."""
+    m = catalog.newest(table(spark, d, "file_metadata").select("file_id", "ingested_at", "ai_description", "ingestion_confidence_score"), ["file_id"], ["ingested_at"])
+    ids = catalog.identities(table(spark, d, "files"), table(spark, d, "file_metadata"))
+    w = Window.partitionBy("container_id", "table_name").orderBy("period")
+    edges = ids.select(F.col("file_id").alias("a"), F.lead("file_id").over(w).alias("b"), F.lit(0.9).alias("confidence")).where("b is not null")
+    return search.retrieve(m, "file_id", "ai_description", ["margin", "delayed", "committee"], "delayed committee margin", edges, "ingestion_confidence_score")
+
+
+@query("SELECT category, round(avg(CAST(must_cite AS INT)), 6) AS cite_rate, round(avg(CAST(expect_refusal AS INT)), 6) AS refusal_rate, CAST(count(DISTINCT question) AS BIGINT) AS n_questions FROM eval_items GROUP BY 1")
+def evaluation_rates(spark: SparkSession, d: str) -> DataFrame:
+    rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 6)
+    return table(spark, d, "eval_items").groupBy("category").agg(rate("must_cite").alias("cite_rate"), rate("expect_refusal").alias("refusal_rate"), F.count_distinct("question").alias("n_questions"))
+
+
+@query("SELECT container_id, a AS date_from, b AS date_to FROM (SELECT container_id, min(date_range_start) AS a, max(date_range_end) AS b, sum(row_count) AS n FROM file_metadata WHERE date_range_start IS NOT NULL GROUP BY 1) ORDER BY n DESC, container_id LIMIT 1")
+def board_window(spark: SparkSession, d: str) -> DataFrame:
+    """The date range of the largest dated container."""
+    g = table(spark, d, "file_metadata").where("date_range_start is not null").groupBy("container_id").agg(F.min("date_range_start").alias("date_from"), F.max("date_range_end").alias("date_to"), F.sum("row_count").alias("n"))
+    return g.orderBy(F.desc("n"), "container_id").limit(1).drop("n")

@@ -47,3 +47,35 @@ def test_orphans_and_text(spark):
     df = spark.createDataFrame([("What is A, and how B?",), ("",), (None,)], "q string")
     assert [r[0] for r in df.select(catalog.question_parts(F.col("q"))).collect()] == [["is a", "b"], [], None]
     assert spark.range(1).select(catalog.likeness(F.lit("abc"), F.lit("abd"))).first()[0] > 0.6
+
+
+def test_identities(spark):
+    files = spark.createDataFrame([("1", "A_2024_01.csv", "c"), ("2", "A_2024_01.xlsx", "c"), ("3", "A_2024_02_tab.txt", "c"), ("4", "A_2024_03.csv", "c"), ("5", "nodate.csv", "c"), ("6", "A_2024_04.csv", "c")], "id string, name string, container_id string")
+    cols = {"1": '["x"]', "2": '["X"]', "3": '["x"]', "4": '["y"]', "5": '["x"]', "6": None}
+    meta = spark.createDataFrame([(k, T, v) for k, v in cols.items()], "file_id string, ingested_at timestamp, columns_info string")
+    got = {r.file_id: r.table_name for r in catalog.identities(files, meta).collect()}
+    assert set(got) == {"1", "3", "4"} and got["1"] == got["3"] == "A" and got["4"].startswith("A_S")
+
+
+def test_scores_and_runs(spark):
+    q = spark.createDataFrame([(1, "late purchase orders"), (2, ""), (3, None)], "id long, q string")
+    e = spark.createDataFrame([("a", "purchase orders of vendors"), ("b", "orders"), ("c", None)], "e string, t string")
+    assert [tuple(r) for r in catalog.score_catalog(q, e, "id", "q", "e", "t").orderBy("rank").collect()] == [(1, "a", 0.666667, 1), (1, "b", 0.333333, 2)]
+    assert [tuple(r) for r in catalog.field_scores(e, "e", ["orders"], {"t": 2.0, "e": 1.0}).collect()] == [("a", 2.0), ("b", 2.0)]
+    a, b = spark.createDataFrame([("x", 1.0), ("y", 5.0), ("n", 1.0)], "k string, v double"), spark.createDataFrame([("x", 1.05), ("y", 1.0), ("g", 1.0)], "k string, v double")
+    assert {r.k: r.verdict for r in catalog.compare_runs(a, b, ["k"], "v", 0.1).collect()} == {"x": "same", "y": "better", "n": "added", "g": "gone"}
+    g = spark.createDataFrame([("PO", "Purchase Order")], "short string, long_form string")
+    assert {r.id: r.expanded for r in catalog.expand_terms(q.withColumn("q", F.concat("q", F.lit(" PO"))), "id", "q", g).collect()}[1] == "late purchase orders PO Purchase Order"
+    one = spark.range(1).select(catalog.surface_forms(F.lit("What did Acme Foods sell to Bolt in 2024?")).alias("f"), catalog.page_class(F.lit(5), 20, F.lit(True), F.lit(False)).alias("p")).first()
+    assert one.f[0] == "Acme Foods" and "Bolt" in one.f and one.p == "scanned"
+
+
+def test_interval_join(spark):
+    from sparkloom.operators import relate
+
+    d = lambda s: dt.date.fromisoformat(s)
+    p = spark.createDataFrame([(i, d("2024-01-01") + dt.timedelta(days=17 * i)) for i in range(40)] + [(99, None)], "p int, day date")
+    spans = [(k, d("2024-01-01") + dt.timedelta(days=11 * k), d("2024-01-01") + dt.timedelta(days=11 * k + 7 * (k % 9) - 5)) for k in range(50)] + [(77, None, d("2024-05-05"))]
+    i = spark.createDataFrame(spans, "i int, a date, b date")
+    got = {(r.p, r.i) for r in relate.interval_join(p, i, "day", "a", "b", 10).collect()}
+    assert got == {(x.p, s[0]) for x in p.collect() for s in spans if x.day and s[1] and s[1] <= x.day <= s[2]}
