@@ -67,26 +67,19 @@ def monthly_columns(files: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def path_values(rows: DataFrame, levels: int = 3) -> DataFrame:
     """file_id, row_no, path, kind (raw JSON type), value (as text): one row per leaf; objects deeper than ``levels`` stay JSON text."""
-    parsed = rows.where("file_id is not null").select("file_id", "row_no", F.expr("try_parse_json(record)").alias("v"), F.lit("").alias("path")).where("v is not null")
-    done, todo = [], parsed
-    for level in range(levels):
-        entries = _explode(todo)
-        if level == levels - 1:
-            done.append(entries)
-        else:
-            deep = F.expr("schema_of_variant(v)").startswith("OBJECT")
-            done.append(entries.where(~F.coalesce(deep, F.lit(False))))
-            todo = entries.where(deep)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+    df = rows.where("file_id is not null").select("file_id", "row_no", F.expr("try_parse_json(record)").alias("v")).where("v is not null").select("file_id", "row_no", F.explode(_entries()).alias("path", "v"))
+    for _ in range(levels - 1):
+        # one pass: a leaf comes through as it is, an object as its entries
+        inner = F.when(F.expr("schema_of_variant(v)").startswith("OBJECT"), _entries())
+        df = df.select("file_id", "row_no", "path", "v", F.explode_outer(inner).alias("k", "w")).select("file_id", "row_no", F.when(F.col("k").isNull(), F.col("path")).otherwise(F.concat_ws(".", "path", "k")).alias("path"), F.when(F.col("k").isNull(), F.col("v")).otherwise(F.col("w")).alias("v"))
+    out = df
     kind = F.expr("schema_of_variant(v)")
     family = F.when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "whole").when(kind.rlike("DECIMAL|DOUBLE|FLOAT"), "fraction").when(kind == "STRING", "text").otherwise("nested")
     return out.select("file_id", "row_no", F.lower(F.trim("path")).alias("path"), family.alias("kind"), F.expr("cast(v as string)").alias("value"))
 
 
-def _explode(df: DataFrame) -> DataFrame:
-    return df.selectExpr("*", "try_variant_get(v, '$', 'map<string,variant>') AS m").select("file_id", "row_no", F.col("path").alias("above"), F.explode("m").alias("key", "v")).select("file_id", "row_no", F.when(F.col("above") == "", F.col("key")).otherwise(F.concat_ws(".", "above", "key")).alias("path"), "v")
+def _entries() -> Column:
+    return F.expr("try_variant_get(v, '$', 'map<string,variant>')")
 
 
 def date_value(c: Column) -> Column:
