@@ -249,23 +249,28 @@ def follow_table(months: dict[str, dict[str, str | None]], stats: dict[tuple[str
     return changes, [(p, c, last_name[i], family[i]) for p, c, i in placed]
 
 
-def _follow(key: tuple, cols: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
-    months: dict[str, dict[str, str | None]] = {}
-    for r in cols.sort_values(["period_key", "position"]).itertuples():
-        months.setdefault(r.period_key, {})[r.column_name] = r.family if isinstance(r.family, str) else None
-    s = {(r["period_key"], r["path"]): r for r in stats.to_dict("records")}
-    changes, placed = follow_table(months, s)
-    rows = [("change", *c, None, None) for c in changes] + [("column", p, None, None, c, logical, f) for p, c, logical, f in placed]
-    out = pd.DataFrame(rows, columns=["row_kind", "period_key", "change_kind", "column_before", "column_after", "logical_column", "family"])
-    out.insert(0, "container_id", key[0])
-    out.insert(1, "table_name", key[1])
-    return out
-
-
-def follow(files: DataFrame, metadata: DataFrame, rows: DataFrame) -> DataFrame:
-    """Changes and column places of all tables. A group holds one row per month and column, whatever the tables' rows."""
-    cols = monthly_columns(files, metadata).where("container_id is not null").groupBy("container_id", "table_name")
-    stats = path_statistics(files, rows).where("container_id is not null").groupBy("container_id", "table_name")
+def _follow(cols: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
+    """follow_table for each table of a bucket."""
+    tables: dict[tuple, dict[str, dict[str, str | None]]] = {}
+    cols = cols.sort_values(["container_id", "table_name", "period_key", "position"], kind="stable")
+    for c, t, p, name, f in zip(cols["container_id"], cols["table_name"], cols["period_key"], cols["column_name"], cols["family"]):
+        tables.setdefault((c, t), {}).setdefault(p, {})[name] = f if isinstance(f, str) else None
+    found: dict[tuple, dict[tuple[str, str], dict]] = {}
+    for r in stats.to_dict("records"):
+        found.setdefault((r["container_id"], r["table_name"]), {})[r["period_key"], r["path"]] = r
+    rows = []
+    for key, months in tables.items():
+        changes, placed = follow_table(months, found.get(key, {}))
+        rows += [(*key, "change", *c, None, None) for c in changes] + [(*key, "column", p, None, None, c, logical, f) for p, c, logical, f in placed]
+    return pd.DataFrame(rows, columns=["container_id", "table_name", "row_kind", "period_key", "change_kind", "column_before", "column_after", "logical_column", "family"])
+
+
+def follow(files: DataFrame, metadata: DataFrame, rows: DataFrame, bucket_files: int = 2000) -> DataFrame:
+    """Changes and column places of all tables. Tables are hashed into buckets of about ``bucket_files`` files; a table has one row per month and column there, whatever its rows."""
+    n = max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // bucket_files))
+    bucket = F.pmod(F.xxhash64("container_id", "table_name"), F.lit(n)).alias("bucket")
+    cols = monthly_columns(files, metadata).where("container_id is not null").select(bucket, "container_id", "table_name", "period_key", "column_name", "position", "family").groupBy("bucket")
+    stats = path_statistics(files, rows).where("container_id is not null").select(bucket, "*").groupBy("bucket")
     return cols.cogroup(stats).applyInPandas(_follow, "container_id string, table_name string, " + OUT)
 
 
