@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparkloom import policy
 from sparkloom.functions import scalars
-from sparkloom.operators import board, documents, drift, graph, relate, search
+from sparkloom.operators import board, documents, drift, graph, knowledge, relate, search
 from sparkloom.plans.registry import query, quoted
 from sparkloom.session import durable, table
 
@@ -369,3 +369,21 @@ def graph_health(spark: SparkSession, d: str) -> DataFrame:
     tables = spark.createDataFrame([(t,) for t in dict.fromkeys(t for t, _ in KEYS)], "t string")
     h = relate.graph_health(tables, durable(_edges(spark, d)))
     return h.withColumns({c: F.round(c, 6) for c in ("coverage", "p50", "p95", "weak_ratio", "orphan_ratio")})
+
+
+_MENTIONS = "m AS (SELECT DISTINCT entity_id AS entity, src_chunk_id AS chunk, tenant_id FROM entities WHERE src_chunk_id IS NOT NULL), n AS (SELECT DISTINCT entity, lead(entity) OVER (PARTITION BY chunk ORDER BY entity) AS b FROM m), e AS (SELECT entity AS a, b FROM n WHERE b IS NOT NULL UNION SELECT b, entity FROM n WHERE b IS NOT NULL)"
+
+
+@query("WITH " + _MENTIONS + ", s AS (SELECT DISTINCT entity AS seed FROM m WHERE entity % 50 = 0), r AS (SELECT seed, seed AS entity, 0 AS hops FROM s UNION ALL SELECT seed, e.b, 1 FROM s JOIN e ON s.seed = e.a UNION ALL SELECT seed, f.b, 2 FROM s JOIN e ON s.seed = e.a JOIN e f ON e.b = f.a) SELECT seed, chunk, CAST(min(hops) AS BIGINT) AS hops FROM r JOIN m ON r.entity = m.entity GROUP BY 1, 2")
+def graph_walk_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks within two steps of every entity whose id is divisible by 50; entities of a chunk are linked along their order."""
+    m = table(spark, d, "entities").where("src_chunk_id is not null").select(F.col("entity_id").alias("entity"), F.col("src_chunk_id").alias("chunk")).distinct()
+    e = m.select(F.col("entity").alias("a"), F.lead("entity").over(Window.partitionBy("chunk").orderBy("entity")).alias("b")).where("b is not null")
+    return knowledge.walk_to_chunks(e, m, m.where("entity % 50 = 0").select("entity"))
+
+
+@query()
+def entity_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of one label merged inside blocks of a hundred ids, the units of this table."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 100).alias("unit"), F.col("vec_id").cast("string").alias("chunk"), "embedding")
+    return knowledge.merge_mentions(e, "unit", "vec_id", "label", "chunk", "embedding")
