@@ -180,8 +180,8 @@ def matched_words(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def merge_span(item: list[int], doc: list[int], hits: list[tuple[int, int]], phrase: int, gap: int) -> tuple[int, int, int]:
-    """The best chain of an item's occurrences in a document: words of the passage matched in order, first and last word of the span.
+def merge_span(item: list[int], doc: list[int], hits: list[tuple[int, int]], phrase: int, gap: int) -> tuple[int, int, int, int]:
+    """The best chain of an item's occurrences in a document: words of the passage matched in order, first and last word of the span, longest block.
 
     Occurrences on one diagonal form blocks; blocks are chained in the order of both sides while neither side skips over
     ``gap`` words (a skipped word costs 0.15 of a word); the words between and just beyond the blocks are matched exactly.
@@ -216,7 +216,7 @@ def merge_span(item: list[int], doc: list[int], hits: list[tuple[int, int]], phr
     (p0, d0, _), (p1, d1, n1) = chain[0], chain[-1]
     lo_p, lo_d = max(0, p0 - edge), max(0, d0 - edge)
     hi_p, hi_d = p1 + n1 + edge, d1 + n1 + edge
-    return matched_words(item[lo_p:hi_p], doc[lo_d:hi_d]), d0, d1 + n1
+    return matched_words(item[lo_p:hi_p], doc[lo_d:hi_d]), d0, d1 + n1, max(n for _, _, n in chain)
 
 
 def search_shard(texts: list[str | None], passages: Passages, phrase: int, min_share: float, gap: int) -> list[tuple[int, int, float, int, int]]:
@@ -258,8 +258,9 @@ def search_shard(texts: list[str | None], passages: Passages, phrase: int, min_s
         g = order[a:b]
         x, y = int(doc[g[0]]), int(item[g[0]])
         words = passages.words[y]
-        got, first, last = merge_span(words, docs[x], list(zip(at[g].tolist(), place[g].tolist())), min(phrase, len(words)), gap)
-        if got >= min_share * len(words):
+        got, first, last, longest = merge_span(words, docs[x], list(zip(at[g].tolist(), place[g].tolist())), min(phrase, len(words)), gap)
+        # scattered stock phrases are no passage: most of the span must match, or a long stretch of it word for word
+        if got >= min_share * len(words) and (got >= 0.6 * (last - first) or longest >= max(16, 0.2 * len(words))):
             out.append((x, y, got / len(words), first, last))
     return out
 
