@@ -59,15 +59,19 @@ def near(a: str, b: str, most: int) -> bool:
         return True
     if abs(len(a) - len(b)) > most:
         return False
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
+    far = most + 1
+    before, row = None, [j if j <= most else far for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):  # only the diagonals within ``most`` can end there, so a long text costs no more than its length
+        new = [far] * (len(b) + 1)
+        if i <= most:
+            new[0] = i
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            y = b[j - 1]
             d = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
-            if before is not None and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, before[j - 2] + 1)
-            new.append(d)
-        if min(new) > most:
+            new[j] = min(d, far)
+        if min(new[max(0, i - most) : i + most + 1]) > most:
             return False
         before, row = row, new
     return row[-1] <= most
@@ -78,10 +82,6 @@ def allowed(a: str, b: str) -> int:
     return 0 if n < 4 else 1 if n < 7 else 2
 
 
-def deletions(word: str) -> set[str]:
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) >= 4 else {word}
-
-
 def kind_of(etype: str | None, name: str) -> str:
     t = (etype or "").lower()
     if re.search(r"org|compan|supplier|customer|vendor", t):
@@ -165,7 +165,7 @@ def parse(kind: str, name: str) -> dict | None:
         low = plain.lower()
         numbers = re.findall(r"\d+", low)
         words = [w for w in re.findall(r"[^\W\d_]+", low) if w not in {"model", "mod", "no", "nr", "type", "typ", "spare", "series", "ser"} and len(w) > 1]
-        return {"words": tuple(words), "extra": ("-".join(numbers),)} if words and numbers else {"words": tuple(words), "extra": ("",)} if words else None
+        return {"words": _few(words), "extra": ("-".join(numbers),)} if words and numbers else {"words": _few(words), "extra": ("",)} if words else None
     plain = re.sub(r"\b([A-Za-z])\.\s*([A-Za-z])\.?(?=\s|$|,)(?:\s*([A-Za-z])\.)?", lambda m: " " + "".join(x for x in m.groups() if x) + " ", plain)
     plain = re.sub(r"\b(?:G\.?\s*)?m\.?\s*b\.?\s*H\b\.?", " gmbh ", plain, flags=re.IGNORECASE)
     plain = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", plain)
@@ -179,7 +179,12 @@ def parse(kind: str, name: str) -> dict | None:
             trades.add(t)
         else:
             words.append(w)
-    return {"words": tuple(sorted(words)), "extra": tuple(sorted(trades))} if words else None
+    return {"words": _few(sorted(words)), "extra": tuple(sorted(trades))} if words else None
+
+
+def _few(words: list[str]) -> tuple[str, ...]:
+    """The words of a name; more than twelve are a sentence, compared as one word."""
+    return tuple(words) if len(words) <= 12 else ("".join(words),)
 
 
 def _person(first: list[str], last: str) -> dict:
@@ -271,7 +276,8 @@ def _keyed(df: DataFrame, *keep: str) -> DataFrame:
     """One row per profile and blocking key: the spellings one deletion away of each main word of three letters or more."""
     word = F.explode("words").alias("w")
     one = df.select("tenant", "kind", "words", "extra", *keep, word).where(F.length("w") >= 2)
-    keys = F.when(F.length("w") < 4, F.array("w")).otherwise(F.array_union(F.array("w"), F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring(F.col("w"), F.lit(1), i - 1), F.substring(F.col("w"), i + 1, F.length("w"))))))
+    # a word of over 64 letters has its two ends as keys: one edit leaves one of them as it is
+    keys = F.when(F.length("w") < 4, F.array("w")).when(F.length("w") > 64, F.array(F.concat(F.lit("<"), F.substring("w", 1, 30)), F.concat(F.lit(">"), F.substring("w", -30, 30)))).otherwise(F.array_union(F.array("w"), F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring(F.col("w"), F.lit(1), i - 1), F.substring(F.col("w"), i + 1, F.length("w"))))))
     return one.select("*", F.explode(keys).alias("key")).drop("w").distinct()
 
 
