@@ -75,8 +75,8 @@ def label_components(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     return nodes.join(ended, "key")
 
 
-def walk_component(keys: list[str], parents: list[str | None], names: list[str | None]) -> list[tuple]:
-    """Depth-first walk with colours over one or more whole components; a step onto a grey node closes a loop."""
+def walk_component(keys: list[str], parents: list[str | None], names: list[str | None], paths: bool = True) -> list[tuple]:
+    """Depth-first walk with colours over one or more whole components; a step onto a grey node closes a loop. Without paths a node costs the same however deep it lies."""
     name = dict(zip(keys, names))
     up = {k: p for k, p in zip(keys, parents) if p is not None}
     below: dict[str, list[str]] = {}
@@ -91,7 +91,7 @@ def walk_component(keys: list[str], parents: list[str | None], names: list[str |
         while stack:
             k, leave = stack.pop()
             if leave:
-                out.append((k, root, len(path) - 1, path[:-1], list(path_names), entered[k], pre - entered[k] - 1, False))
+                out.append((k, root, len(path) - 1, path[:-1] if paths else [], list(path_names) if paths else [], entered[k], pre - entered[k] - 1, False))
                 path.pop()
                 path_names.pop()
                 black.add(k)
@@ -124,32 +124,40 @@ def walk_component(keys: list[str], parents: list[str | None], names: list[str |
     return out
 
 
-def _walk_buckets(batch: pd.DataFrame) -> pd.DataFrame:
-    rows = walk_component(batch["key"].tolist(), [p if isinstance(p, str) else None for p in batch["parent_key"]], batch["name"].tolist())
-    return pd.DataFrame(rows, columns=["key", "root_key", "depth", "ancestors", "names", "pre", "n_below", "on_loop"])
+def _walk_buckets(paths: bool):
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        rows = walk_component(batch["key"].tolist(), [p if isinstance(p, str) else None for p in batch["parent_key"]], batch["name"].tolist(), paths)
+        return pd.DataFrame(rows, columns=["key", "root_key", "depth", "ancestors", "names", "pre", "n_below", "on_loop"])
 
+    return run
 
-def _double_paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
+
+def _double_paths(nodes: DataFrame, paths: bool = True, max_rounds: int = 40) -> DataFrame:
     """Depth, ancestors and names of the nodes of oversized components, by pointer doubling over joins (no group is gathered)."""
-    state = durable(nodes.select("key", "component", "looped", "name", F.col("parent_key").alias("up"), F.when(F.col("parent_key").isNull(), F.array().cast("array<string>")).otherwise(F.array("parent_key")).alias("ancestors"), F.array("name").alias("names")))
+    none = F.array().cast("array<string>")
+    up = F.col("parent_key")
+    state = nodes.select("key", "component", "looped", "name", up.alias("up"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("steps"), (F.when(up.isNull(), none).otherwise(F.array("parent_key")) if paths else none).alias("ancestors"), (F.array("name") if paths else none).alias("names"))
+    state = durable(state)
     for _ in range(max_rounds):
         if not state.where("up is not null and not looped").limit(1).count():
             break
-        there = state.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("ancestors").alias("a2"), F.col("names").alias("n2"))
+        there = state.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("s2"), F.col("ancestors").alias("a2"), F.col("names").alias("n2"))
         go = state.where("up is not null and not looped").join(there, "up")
-        moved = go.select("key", "component", "looped", "name", F.col("up2").alias("up"), F.concat("a2", "ancestors").alias("ancestors"), F.concat("n2", "names").alias("names"))
+        moved = go.select("key", "component", "looped", "name", F.col("up2").alias("up"), (F.col("steps") + F.col("s2")).alias("steps"), F.concat("a2", "ancestors").alias("ancestors"), F.concat("n2", "names").alias("names"))
         state = durable(state.where("up is null or looped").unionByName(moved))
     below = state.where("not looped").select(F.explode("ancestors").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_below"))
-    depth = F.when(F.col("looped"), F.lit(-1)).otherwise(F.size("ancestors")).cast("long")
-    none = F.array().cast("array<string>")
+    n_below = F.when(F.col("looped") | F.lit(not paths), F.lit(-1)).otherwise(F.coalesce("n_below", F.lit(0)))
     return state.join(below, "key", "left").select(
-        "key", F.col("component").alias("root_key"), depth.alias("depth"), F.when(F.col("looped"), none).otherwise(F.col("ancestors")).alias("ancestors"), F.when(F.col("looped"), none).otherwise(F.col("names")).alias("names"),
-        F.lit(-1).cast("long").alias("pre"), F.when(F.col("looped"), F.lit(-1)).otherwise(F.coalesce("n_below", F.lit(0))).cast("long").alias("n_below"), F.lit(None).cast("boolean").alias("on_loop"),
+        "key", F.col("component").alias("root_key"), F.when(F.col("looped"), F.lit(-1)).otherwise(F.col("steps")).cast("long").alias("depth"), F.when(F.col("looped"), none).otherwise(F.col("ancestors")).alias("ancestors"), F.when(F.col("looped"), none).otherwise(F.col("names")).alias("names"),
+        F.lit(-1).cast("long").alias("pre"), n_below.cast("long").alias("n_below"), F.lit(None).cast("boolean").alias("on_loop"),
     )
 
 
-def build_hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id", name_col: str = "name", order_col: str = "updated_at", max_component: int = 200_000, bucket_nodes: int = 50_000) -> DataFrame:
-    """One row per node: id, name, root_id, depth, path, ancestor_ids, n_descendants, on_loop. See the module's text for the cases."""
+def build_hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id", name_col: str = "name", order_col: str = "updated_at", max_component: int = 200_000, bucket_nodes: int = 50_000, paths: bool = True) -> DataFrame:
+    """One row per node: id, name, root_id, depth, path, ancestor_ids, n_descendants, on_loop. See the module's text for the cases.
+
+    Paths and ancestors grow with the depth; ``paths=False`` leaves them empty where only roots and depths are wanted.
+    """
     nodes = durable(label_components(newest_nodes(rows, id_col, parent_col, name_col, order_col)))
     sizes = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     large = sizes.where(F.col("size") > max_component).select("component")
@@ -157,14 +165,14 @@ def build_hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "pare
     total = nodes.count()
     buckets = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-total // bucket_nodes))
     small = nodes.join(large, "component", "left_anti") if n_large else nodes
-    walked = small.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).select("bucket", "key", "parent_key", "name").groupBy("bucket").applyInPandas(_walk_buckets, SCHEMA)
+    walked = small.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).select("bucket", "key", "parent_key", "name").groupBy("bucket").applyInPandas(_walk_buckets(paths), SCHEMA)
     if n_large:
-        walked = walked.unionByName(_double_paths(nodes.join(large, "component", "left_semi")))
+        walked = walked.unionByName(_double_paths(nodes.join(large, "component", "left_semi"), paths))
     ids = nodes.select("key", "id", "name")
     roots = nodes.select(F.col("key").alias("root_key"), F.col("id").alias("root_id"))
     return (
         walked.join(ids, "key").join(roots, "root_key")
-        .select("id", "name", "root_id", "depth", F.when(F.col("depth") >= 0, F.concat_ws("/", "names")).alias("path"), F.col("ancestors").alias("ancestor_ids"), F.col("n_below").alias("n_descendants"), "on_loop")
+        .select("id", "name", "root_id", "depth", F.when((F.col("depth") >= 0) & F.lit(paths), F.concat_ws("/", "names")).alias("path"), F.col("ancestors").alias("ancestor_ids"), F.col("n_below").alias("n_descendants"), "on_loop")
     )
 
 

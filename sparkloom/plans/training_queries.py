@@ -9,7 +9,7 @@ from sparkloom.session import table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.build_hierarchy(table(spark, d, "folders")).select("id", "root_id", "depth")
+    return hierarchy.build_hierarchy(table(spark, d, "folders"), paths=False).select("id", "root_id", "depth")
 
 
 def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:

@@ -57,3 +57,11 @@ def test_canonical_id(spark):
     u = "0ee9e0aa-56e5-4c55-a037-556187c8aa9e"
     df = spark.createDataFrame([(x,) for x in (u, u.upper(), "{" + u + "}", "urn:uuid:" + u, u.replace("-", ""), f" {u} ")], "x string")
     assert {r[0] for r in df.select(h.canonical_id(F.col("x"))).collect()} == {u}
+
+
+def test_deep_chain_without_paths(spark):
+    n = 300
+    rows = [(f"n{i:05}", f"n{i - 1:05}" if i else None) for i in range(n)]
+    for limit in (10_000, 100):
+        out = got(spark, rows, paths=False, max_component=limit)
+        assert out[f"n{n - 1:05}"].depth == n - 1 and {r.root_id for r in out.values()} == {"n00000"} and out["n00100"].path is None
