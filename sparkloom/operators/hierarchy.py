@@ -38,6 +38,11 @@ def newest_nodes(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_
     return nodes.join(known, "parent", "left").select("key", "id", "name", F.when(F.col("known"), F.col("parent")).alias("parent_key"))
 
 
+def _packed(df: DataFrame) -> DataFrame:
+    """df in no more partitions than a shuffle makes: a union adds those of its sides, and a loop of unions would double them each round."""
+    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def label_components(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     """nodes with ``component``: the root's key, or the smallest key on the loop the chain of parents enters; and ``looped``.
 
@@ -53,7 +58,7 @@ def label_components(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
         there = state.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("low").alias("low2"))
         go = state.where("up is not null").join(there, "up", "left")
         moved = go.select("key", F.col("up2").alias("up"), F.col("top2").alias("top"), F.least("low", "low2").alias("low"))
-        state = durable(state.where("up is null").select("key", "up", "top", "low").unionByName(moved))
+        state = durable(_packed(state.where("up is null").select("key", "up", "top", "low").unionByName(moved)))
         now = state.where("up is not null").count()
         if now == left and r >= 1:
             break
@@ -144,7 +149,7 @@ def _double_paths(nodes: DataFrame, paths: bool = True, max_rounds: int = 40) ->
         there = state.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("s2"), F.col("ancestors").alias("a2"), F.col("names").alias("n2"))
         go = state.where("up is not null and not looped").join(there, "up")
         moved = go.select("key", "component", "looped", "name", F.col("up2").alias("up"), (F.col("steps") + F.col("s2")).alias("steps"), F.concat("a2", "ancestors").alias("ancestors"), F.concat("n2", "names").alias("names"))
-        state = durable(state.where("up is null or looped").unionByName(moved))
+        state = durable(_packed(state.where("up is null or looped").unionByName(moved)))
     below = state.where("not looped").select(F.explode("ancestors").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_below"))
     n_below = F.when(F.col("looped") | F.lit(not paths), F.lit(-1)).otherwise(F.coalesce("n_below", F.lit(0)))
     return state.join(below, "key", "left").select(
