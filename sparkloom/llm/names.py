@@ -3,7 +3,9 @@
 Method: merge-and-rematch resolution. Spellings are parsed into profiles and blocked by their tenant, kind and the spellings one
 deletion away of their main words. In a block profiles that mean the same are merged; a merged profile holds the spellings
 and initials of all, its richer set re-enters blocking, until a round merges nothing more. Forms that say too little by
-themselves (initials, nicknames of several names) are merged only into the one profile of the tenant they fit.
+themselves (initials, nicknames of several names) are merged only into the one profile of the tenant they fit. A merged
+profile meets others by any member's words and by the initials its members are written with; its given name, trade or number
+is the one its fuller members say, as the other readings of a nickname are ruled out once it is merged.
 
 Links leave a block as a star, never as all pairs; components are found by joins. A block holds distinct spellings only, so
 a name written a million times is one row in it. Mentions of different tenants never meet.
@@ -132,6 +134,12 @@ def given_of(word: str) -> frozenset[str]:
 
 def parse(kind: str, name: str) -> dict | None:
     """The profile of a spelling: main words, and given names with initial (person), trade (organisation) or number (product)."""
+    p = _read(kind, name)
+    return p and {"words": p["words"], "extra": p["extra"]}
+
+
+def _read(kind: str, name: str) -> dict | None:
+    """The profile, and for a person the initial as written: b for Bob, whose given name is Robert."""
     plain = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", fold(name)).strip()
     plain = plain or fold(name)
     if kind == "person":
@@ -190,7 +198,7 @@ def _few(words: list[str]) -> tuple[str, ...]:
 def _person(first: list[str], last: str) -> dict:
     names = [w for w in first if len(w) > 1]
     if names:
-        return {"words": (last,), "extra": tuple(sorted(given_of(names[0])))}
+        return {"words": (last,), "extra": tuple(sorted(given_of(names[0]))), "initial": names[0][0]}
     return {"words": (last,), "extra": (f"{first[0]}.",) if first else ("*",)}
 
 
@@ -225,11 +233,11 @@ def fits(kind: str, weak: tuple, strong: tuple) -> bool:
     return bool(set(weak) & set(strong))
 
 
-PROFILE = "tenant string, kind string, name string, words array<string>, extra array<string>"
+PROFILE = "tenant string, kind string, name string, words array<string>, extra array<string>, initial string"
 
 
 def profiles(mentions: DataFrame) -> DataFrame:
-    """One row per distinct spelling of a tenant and kind: pid, tenant, kind, words, extra, and the names it stands for."""
+    """One row per distinct spelling of a tenant and kind: tenant, kind, name, words, extra, initial."""
 
     def run(batches):
         for df in batches:
@@ -237,10 +245,10 @@ def profiles(mentions: DataFrame) -> DataFrame:
             for t, e, n in df.itertuples(index=False):
                 if isinstance(n, str) and n.strip():
                     kind = kind_of(e if isinstance(e, str) else None, n)
-                    p = parse(kind, n)
+                    p = _read(kind, n)
                     if p:
-                        rows.append((t, kind, n, list(p["words"]), list(p["extra"])))
-            yield pd.DataFrame(rows, columns=["tenant", "kind", "name", "words", "extra"])
+                        rows.append((t, kind, n, list(p["words"]), list(p["extra"]), p.get("initial")))
+            yield pd.DataFrame(rows, columns=["tenant", "kind", "name", "words", "extra", "initial"])
 
     return mentions.select("tenant", "etype", "name").distinct().mapInPandas(run, PROFILE)
 
@@ -259,17 +267,25 @@ def stars(batches):
         yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def fits_of(batches):
-    """Which merged profiles a weak one fits: (weak, strong) rows."""
+def meetings(batches):
+    """Which merged profiles a weak one fits, and which strong ones mean the same by a word a weak member brought: (a, b, strong, by) rows. by: 0, or 1 where only a member's written initial fits, as B. for a Robert called Bob."""
     for df in batches:
-        out = []
+        out = set()
         for kind, block in zip(df["kind"], df["block"]):
-            rows = [(r["cid"], tuple(r["words"]), tuple(r["extra"]), r["strong"]) for r in block]
+            rows = [(r["cid"], tuple(r["words"]), tuple(r["extra"]), r["strong"], r["new"], tuple(r["initials"])) for r in block]
             strong = [r for r in rows if r[3]]
-            for c, words, extra, s in rows:
+            alike: dict[tuple, list] = {}
+            for r in strong:
+                alike.setdefault(r[2], []).append(r)
+            for c, words, extra, s, new, _ in rows:
                 if not s:
-                    out += {(c, x) for x, w, e, _ in strong if x != c and fits(kind, extra, e) and same_words(words, w)}
-        yield pd.DataFrame(out, columns=["a", "b"])
+                    for x, w, e, _, _, initials in strong:
+                        by = 0 if fits(kind, extra, e) else 1 if kind == "person" and extra[0][-1] == "." and extra[0][0] in initials else None
+                        if by is not None and same_words(words, w):
+                            out.add((c, x, False, by))
+                elif new:  # those whose words are their own have met in the first blocks
+                    out |= {(c, r[0], True, 0) for r in alike[extra] if r[0] != c and same_words(words, r[1])}
+        yield pd.DataFrame(list(out), columns=["a", "b", "strong", "by"])
 
 
 def _keyed(df: DataFrame, *keep: str) -> DataFrame:
@@ -281,33 +297,41 @@ def _keyed(df: DataFrame, *keep: str) -> DataFrame:
     return one.select("*", F.explode(keys).alias("key")).drop("w").distinct()
 
 
-def resolve(entities: DataFrame, key: str = "entity_id", tenant: str = "tenant_id", rounds: int = 4) -> DataFrame:
+def resolve(entities: DataFrame, key: str = "entity_id", tenant: str = "tenant_id") -> DataFrame:
     """key, tenant, name, cluster (a number): one row per mention; mentions of one cluster mean the same."""
     mentions = entities.select(F.col(key).alias("key"), F.col(tenant).alias("tenant"), "etype", "name").where("key is not null and tenant is not null and trim(name) <> ''").distinct()
     spelled = profiles(mentions)
     ident = F.xxhash64("tenant", "kind", F.array_join("words", " "), F.array_join("extra", "|"))
     spelled = durable(spelled.withColumn("pid", ident))
-    distinct = spelled.select("pid", "tenant", "kind", "words", "extra").dropDuplicates(["pid"])
+    distinct = durable(spelled.groupBy("pid", "tenant", "kind", "words", "extra").agg(F.array_sort(F.collect_set("initial")).alias("initials")))
     # a block holds the distinct spellings one deletion from its key that share the given name, trade or number
     blocks = _keyed(distinct, "pid").groupBy("tenant", "kind", "key", F.array_join("extra", "|").alias("e")).agg(F.collect_list(F.struct("pid", "words")).alias("block")).where(F.size("block") > 1)
     links = blocks.select("block").mapInPandas(stars, "a long, b long").where("a <> b").distinct()
     links = durable(links.unionByName(distinct.select(F.col("pid").alias("a"), F.col("pid").alias("b"))))
     label = durable(connected_components(links).select(F.col("node").alias("pid"), F.col("component").alias("cid")))
     enough = F.when(F.col("kind") == "person", (F.size("extra") == 1) & ~F.col("extra")[0].rlike("[.*]$")).otherwise((F.size("extra") > 0) & (F.array_join("extra", "|") != ""))
-    for _ in range(rounds):
-        # a merged profile re-enters with all spellings of its members; it is strong once one of them says enough
+    while True:  # each round but the last merges at least two clusters
+        # a merged profile re-enters with all spellings of its members; it is strong once one of them says enough, and all then stand for what that one says
         now = distinct.join(label, "pid").withColumn("own", enough)
-        strength = now.groupBy("cid").agg(F.max("own").alias("strong"))
-        rows = now.join(strength, "cid").where("own or not strong").select("tenant", "kind", "words", "extra", "cid", "strong").distinct()
-        letters = F.when(F.col("kind") == "person", F.array_distinct(F.transform("extra", lambda x: F.substring(x, 1, 1)))).otherwise(F.array(F.lit("")))
-        blocks = _keyed(rows, "cid", "strong").withColumn("letter", F.explode(letters)).groupBy("tenant", "kind", "key", "letter").agg(F.collect_list(F.struct("cid", "words", "extra", "strong")).alias("block"), F.max("strong").alias("any"), F.min("strong").alias("all"))
-        fit = blocks.where(F.col("any") & ~F.col("all")).select("kind", "block").mapInPandas(fits_of, "a long, b long").distinct()
-        only = fit.groupBy("a").agg(F.count_distinct("b").alias("n"), F.min("b").alias("b")).where("n = 1").select("a", "b")
-        merged = durable(only)
-        if not merged.limit(1).count():
+        merged = now.groupBy("cid").agg(F.max("own").alias("strong"), F.max(F.when(F.col("own"), F.col("extra"))).alias("known"), F.array_distinct(F.flatten(F.collect_set("initials"))).alias("letters"))
+        says = F.when(F.col("strong"), F.col("known")).otherwise(F.col("extra"))
+        initials = F.when(F.col("strong"), F.array_sort("letters")).otherwise(F.array().cast("array<string>"))
+        rows = now.join(merged, "cid").select("tenant", "kind", "words", says.alias("extra"), "cid", "strong", initials.alias("initials"), (F.col("strong") & ~F.col("own")).alias("new"))
+        rows = rows.groupBy("tenant", "kind", "words", "extra", "cid", "strong", "initials").agg(F.min("new").alias("new"))
+        letters = F.when(F.col("kind") == "person", F.array_union(F.transform("extra", lambda x: F.substring(x, 1, 1)), "initials")).otherwise(F.array(F.lit("")))
+        blocks = _keyed(rows, "cid", "strong", "initials", "new").withColumn("letter", F.explode(letters)).groupBy("tenant", "kind", "key", "letter").agg(F.collect_list(F.struct("cid", "words", "extra", "strong", "new", "initials")).alias("block"), F.max("strong").alias("any"), F.min("strong").alias("all"), F.max("new").alias("more"))
+        met = durable(blocks.where(F.col("any") & (~F.col("all") | F.col("more"))).select("kind", "block").mapInPandas(meetings, "a long, b long, strong boolean, by long").distinct())
+        # the initial of a full name goes before that of a short form
+        fit = met.where("not strong").groupBy("a", "by").agg(F.count_distinct("b").alias("n"), F.min("b").alias("b")).groupBy("a").agg(F.min(F.struct("by", "n", "b")).alias("m"))
+        moves = durable(fit.where("m.n = 1").select(F.col("a").alias("cid"), F.col("m.b").alias("to")))
+        same = met.where("strong")
+        moved, joined = moves.limit(1).count(), same.limit(1).count()
+        if not moved and not joined:
             break
-        moves = merged.withColumnRenamed("a", "cid").withColumnRenamed("b", "to")
-        label = durable(label.join(moves, "cid", "left").select("pid", F.coalesce("to", "cid").alias("cid")))
+        label = label.join(moves, "cid", "left").select("pid", F.coalesce("to", "cid").alias("cid"))
+        if joined:
+            label = label.join(connected_components(same).select(F.col("node").alias("cid"), F.col("component").alias("to")), "cid", "left").select("pid", F.coalesce("to", "cid").alias("cid"))
+        label = durable(label)
     of_name = spelled.select("tenant", "kind", "name", "pid").distinct().join(label, "pid")
     # the same name can be read as two kinds where types differ; each mention goes by its own
     typed = mentions.mapInPandas(_kinds, "key string, tenant string, name string, kind string") if dict(mentions.dtypes)["key"] == "string" else mentions.mapInPandas(_kinds, f"key {dict(mentions.dtypes)['key']}, tenant string, name string, kind string")

@@ -60,3 +60,26 @@ def test_long_names(spark):
     rows = [(1, f"Anna {long}", "person", "t"), (2, f"Anna {long[:-1]}", "person", "t"), (3, f"Anna {long[::-1]}q", "person", "t"), (4, long, "org", "t"), (5, "1" * 50_000, None, "t")]
     df = spark.createDataFrame(rows, "entity_id long, name string, etype string, tenant_id string")
     assert {tuple(r) for r in names.linked_pairs(names.resolve(df)).collect()} >= {(1, 2)}
+
+
+def test_merged_profiles_are_matched_again(spark):
+    rows = [
+        (1, "Jonathan Zulomagu"), (2, "Jon Zulomgu"), (3, "J. Zulmgu"),  # 3 fits only the spelling that 2 brings
+        (11, "Jonathan Kabdif"), (12, "Jon Kubdif"), (13, "J. Kuvdif"), (14, "Jonathan Kuvwif"),  # 12 goes to 11 and 13 to 14; then these meet by 12 and 13
+        (5, "Robert Kiduskigli"), (6, "Bob Kiduskigli"), (7, "B. Kiduskigli"),
+        (8, "Robert Hamovira"), (9, "Bert Hamovira"), (10, "A. Hamovira"),  # Bert is Robert here, so no Albert
+    ]
+    df = spark.createDataFrame([(i, n, "person", "t") for i, n in rows], "entity_id long, name string, etype string, tenant_id string")
+    got = {tuple(r) for r in names.linked_pairs(names.resolve(df)).collect()}
+    assert got == {*itertools.combinations((1, 2, 3), 2), *itertools.combinations((11, 12, 13, 14), 2), *itertools.combinations((5, 6, 7), 2), (8, 9)}
+
+
+def test_more_rounds_than_four(spark):
+    # each nickname is one edit from the last, so one more merges in each round
+    word = "abcdef"
+    chain = [word]
+    for i, c in enumerate("uvwxyz"):
+        chain.append(chain[-1][:i] + c + chain[-1][i + 1 :])
+    rows = [(0, f"Jonathan {chain[0]}")] + [(i, f"{'Jon' if i % 2 else 'J.'} {w}") for i, w in enumerate(chain) if i]
+    df = spark.createDataFrame([(i, n, "person", "t") for i, n in rows], "entity_id long, name string, etype string, tenant_id string")
+    assert {tuple(r) for r in names.linked_pairs(names.resolve(df)).collect()} == set(itertools.combinations(range(len(chain)), 2))
