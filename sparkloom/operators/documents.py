@@ -6,8 +6,11 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom import policy
 from sparkloom.functions import scalars
@@ -129,17 +132,53 @@ def grounded(span: Column, text: Column) -> Column:
     return F.when(short, F.concat(F.lit(" "), word, F.lit(" ")).contains(F.concat(F.lit(" "), F.lower(span), F.lit(" ")))).otherwise(F.lower(text).contains(F.lower(span)))
 
 
-def conflicts(chunks: DataFrame, key: str, text: str, topic: str) -> DataFrame:
+def _conflicting(key_type: pa.DataType):
+    """The pairs between one block of asserting and one of negating chunks that share two words or more, counted by a product of their word tables."""
+
+    def run(block: pa.Table) -> pa.Table:
+        neg = block["neg"].to_numpy(zero_copy_only=False).astype(bool)
+        words = block["words"].combine_chunks()
+        ids = words.flatten().dictionary_encode().indices.to_numpy()
+        row = np.repeat(np.arange(len(neg)), words.value_lengths().to_numpy(zero_copy_only=False))
+        keys = block["k"].combine_chunks().dictionary_encode()
+        code, place, which = keys.indices.to_numpy(), np.zeros(len(neg), np.int64), []
+        for side in (~neg, neg):  # rows of one key are one chunk
+            distinct, place[side] = np.unique(code[side], return_inverse=True)
+            which.append(distinct)
+        shared = np.zeros((len(which[0]), len(which[1])), np.float32)
+        for first in range(0, ids.max(initial=-1) + 1, 4096):  # whole numbers below 2^24, so exact
+            side = [np.zeros((n, 4096), np.float32) for n in shared.shape]
+            here = (ids >= first) & (ids < first + 4096)
+            for k in (0, 1):
+                take = here & (neg[row] == bool(k))
+                side[k][place[row[take]], ids[take] - first] = 1
+            shared += side[0] @ side[1].T
+        i, j = np.nonzero(shared >= 2)
+        ka, kb = (keys.dictionary.take(pa.array(which[k][x])).cast(key_type) for k, x in ((0, i), (1, j)))
+        return pa.table({"ka": ka, "kb": kb, "n_shared": pa.array(shared[i, j].astype(np.int64))})
+
+    return run
+
+
+def conflicts(chunks: DataFrame, key: str, text: str, topic: str, block_rows: int = 1000) -> DataFrame:
     """key_a, key_b, n_shared: chunks of one topic that share two content words or more, one with a negation, the other without.
 
-    A word in more than eight chunks of a topic says nothing about a pair and makes none.
+    Every pair is given, however frequent its words: chunks of a topic meet in blocks of about block_rows of each side, so no task
+    holds a topic. Content words have three characters or more and are no stop words. Null topics and keys have no pair; rows of one key, topic and sign count as one chunk.
     """
     negated = F.lower(text).rlike(r"\b(?:not|no|never|none|without|cannot|neither|nor)\b")
-    w = chunks.select(topic, F.col(key).alias("k"), negated.alias("neg"), F.explode(F.filter(scalars.tokens(F.col(text), 4), lambda x: ~x.isin("this", "that", "with", "from", "have", "were", "been", "will", "shall", "which", "their", "without", "never", "none", "cannot", "neither"))).alias("w"))
-    rare = w.groupBy(topic, "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, policy.LINK_MAX))
-    few = w.join(rare.select(topic, "w"), [topic, "w"], "left_semi")
-    a, b = few.where("not neg").select(topic, "w", F.col("k").alias("ka")), few.where("neg").select(topic, "w", F.col("k").alias("kb"))
-    return a.join(b, [topic, "w"]).groupBy(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).agg(F.count(F.lit(1)).alias("n_shared")).where("n_shared >= 2")
+    content = F.filter(scalars.tokens(F.col("text"), 3), lambda x: ~x.isin(*policy.CONFLICT_STOP))
+    rows = chunks.select(F.col(topic).alias("topic"), F.col(key).alias("k"), negated.alias("neg"), F.col(text).alias("text")).where("topic is not null and k is not null and neg is not null")
+    per = rows.groupBy("topic").agg(*[F.ceil(F.count_if(F.col("neg") == F.lit(x)) / block_rows).cast("int").alias(n) for x, n in ((False, "n_for"), (True, "n_against"))]).where("n_for > 0 and n_against > 0")
+    # each chunk goes to its own block of its side, beside every block of the other
+    own = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    every = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    at = lambda f, g: F.struct(f.alias("f"), g.alias("g"))
+    cells = F.when(F.col("neg"), every("n_for", lambda x: at(x, own("n_against")))).otherwise(every("n_against", lambda x: at(own("n_for"), x)))
+    sides = rows.join(per, "topic").select("topic", "k", "neg", content.alias("words"), F.explode(cells).alias("at")).select("topic", "k", "neg", "words", "at.f", "at.g")
+    kind = rows.schema["k"].dataType
+    found = sides.groupBy("topic", "f", "g").applyInArrow(_conflicting(to_arrow_type(kind)), f"ka {kind.simpleString()}, kb {kind.simpleString()}, n_shared long")
+    return found.where("ka <> kb").select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"), "n_shared")
 
 
 def greedy_modularity(edges: list[tuple[str, str, float]]) -> dict[str, int]:

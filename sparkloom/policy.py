@@ -37,6 +37,7 @@ RRF_K, TRIGRAM_MIN, VECTOR_MIN, PRUNE_MIN = 60, 0.2, 0.3, 0.05
 # Documents.
 HEADING_WORDS, HEADING_CHARS, CHUNK_TOKENS, CHUNK_OVERLAP, LOW_CONFIDENCE = 8, 80, 800, 100, 0.60
 GLOSSARY_LIFT, GLOSSARY_OOV, LINK_MIN, LINK_MAX, STALE_DAYS, CARD_CHARS = 1.5, -6.0, 2, 8, 365, 480
+CONFLICT_STOP = ("the", "are", "was", "were", "and", "for", "with", "this", "that", "not", "has", "have", "had", "but")
 RESOLUTION_QUANTILE, RESOLUTION_FLOOR, SAME_CHUNK_BONUS, COMMUNITY_MIN = 0.85, 0.60, 0.05, 3
 # Boards and guards.
 TIEOUT_TOLERANCE, JACCARD_FLOOR, GRAIN_TOLERANCE = 0.01, 0.50, 0.05

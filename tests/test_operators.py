@@ -106,6 +106,17 @@ def test_documents(spark):
     assert [r.chunk_text for r in documents.table_chunks(t, "k", "text").orderBy("chunk_no").collect()] == ["| h |\n| a |", "| h |\n| b |"]
 
 
+def test_conflicts_by_frequent_and_short_words(spark):
+    rows = [(i, f"pay the tax {'not ' if i % 3 == 0 else ''}in w{i % 5}x", "t") for i in range(40)] + [(90, "pay tax", "u"), (91, "no tax pay", None)]
+    c = spark.createDataFrame(rows, "k long, text string, topic string")
+    words = {k: set(t.split()) - {"the", "not", "in", "no"} for k, t, _ in rows}
+    want = {(a, b, len(words[a] & words[b])) for a in range(40) for b in range(a + 1, 40) if (a % 3 == 0) != (b % 3 == 0)}
+    for block_rows in (1000, 6):
+        got = [tuple(r) for r in documents.conflicts(c, "k", "text", "topic", block_rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert documents.conflicts(c.where("false"), "k", "text", "topic").count() == 0
+
+
 def test_communities(spark):
     clique = lambda p: [(f"{p}{i}", f"{p}{j}", 1.0) for i, j in itertools.combinations(range(5), 2)]
     e = spark.createDataFrame(clique("a") + clique("b") + [("a0", "b0", 0.2), ("x", "y", 1.0), (None, "a1", 1.0)], "a string, b string, weight double")
