@@ -1,7 +1,8 @@
 """Variant spellings of names typed by people.
 
-Method: merge-and-rematch resolution. Spellings are parsed into profiles and blocked by their tenant, kind and the spellings one
-deletion away of their main words. In a block profiles that mean the same are merged; a merged profile holds the spellings
+Method: merge-and-rematch resolution. Spellings are parsed into profiles and blocked by their tenant, kind and main words. Of the
+distinct words of a tenant and kind those that the matching rule lets pass for each other are found once, by the spellings one or
+two deletions away; a profile stands in the blocks of its words and of their like, so any two that match meet. In a block profiles that mean the same are merged; a merged profile holds the spellings
 and initials of all, its richer set re-enters blocking, until a round merges nothing more. Forms that say too little by
 themselves (initials, nicknames of several names) are merged only into the one profile of the tenant they fit. A merged
 profile meets others by any member's words and by the initials its members are written with; its given name, trade or number
@@ -21,7 +22,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.operators.graph import connected_components
 from sparkloom.session import durable
@@ -288,13 +289,48 @@ def meetings(batches):
         yield pd.DataFrame(list(out), columns=["a", "b", "strong", "by"])
 
 
-def _keyed(df: DataFrame, *keep: str) -> DataFrame:
-    """One row per profile and blocking key: the spellings one deletion away of each main word of three letters or more."""
-    word = F.explode("words").alias("w")
-    one = df.select("tenant", "kind", "words", "extra", *keep, word).where(F.length("w") >= 2)
-    # a word of over 64 letters has its two ends as keys: one edit leaves one of them as it is
-    keys = F.when(F.length("w") < 4, F.array("w")).when(F.length("w") > 64, F.array(F.concat(F.lit("<"), F.substring("w", 1, 30)), F.concat(F.lit(">"), F.substring("w", -30, 30)))).otherwise(F.array_union(F.array("w"), F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring(F.col("w"), F.lit(1), i - 1), F.substring(F.col("w"), i + 1, F.length("w"))))))
-    return one.select("*", F.explode(keys).alias("key")).drop("w").distinct()
+def _near_words(batches):
+    """The pairs (the greater first) among words with a common key that the matching rule accepts."""
+    seen: dict[tuple, bool] = {}
+    for df in batches:
+        out = []
+        for block in df["block"]:
+            words = sorted((r["word"], r["w"]) for r in block)
+            for i, (a, x) in enumerate(words):
+                for b, y in words[:i]:
+                    if (x, y) not in seen:
+                        seen[x, y] = near(a, b, allowed(a, b))
+                        if seen[x, y]:
+                            out.append((x, y))
+        if len(seen) > 1_000_000:
+            seen.clear()
+        yield pd.DataFrame(out, columns=["w", "like"])
+
+
+def _word_id() -> Column:
+    return F.xxhash64("tenant", "kind", "word")
+
+
+def like_words(distinct: DataFrame) -> DataFrame:
+    """w, likes: for a word of a tenant and kind the lesser ones that it may stand for. Pairs within one edit share a spelling one deletion away, those within two edits one of two."""
+    word = distinct.select("tenant", "kind", F.explode("words").alias("word")).where(F.length("word") >= 4).distinct()
+    less = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    once = F.array_distinct(less(F.col("word")))
+    deleted = F.when(F.length("word") < 7, once).otherwise(F.array_union(once, F.flatten(F.transform(once, less))))
+    # Of words of over 62 letters within two edits, 20 letters at an end are the same, or the 16 from the 23rd on, moved by one at most
+    ends = [F.concat(F.lit("<"), F.substring("word", 1, 20)), F.concat(F.lit(">"), F.substring("word", -20, 20)), *[F.concat(F.lit("="), F.substring("word", 23 + i, 16)) for i in (-1, 0, 1)]]
+    none = F.array().cast("array<string>")
+    keys = F.concat(F.array("word"), F.when(F.length("word") <= 64, deleted).otherwise(none), F.when(F.length("word") > 62, F.array(*ends)).otherwise(none))
+    keyed = word.select("tenant", "kind", "word", F.explode(F.array_distinct(keys)).alias("key")).select(F.xxhash64("tenant", "kind", "key").alias("key"), F.struct(_word_id().alias("w"), "word").alias("word"))
+    blocks = keyed.groupBy("key").agg(F.collect_set("word").alias("block")).where(F.size("block") > 1)
+    return blocks.select("block").mapInPandas(_near_words, "w long, like long").groupBy("w").agg(F.collect_set("like").alias("likes"))
+
+
+def _keyed(df: DataFrame, likes: DataFrame, *keep: str) -> DataFrame:
+    """One row per profile and block: those of its main words of two letters or more, and of the words they may stand for."""
+    one = df.select("tenant", "kind", "words", "extra", *keep, F.explode("words").alias("word")).where(F.length("word") >= 2).withColumn("w", _word_id())
+    keys = F.concat(F.array("w"), F.coalesce("likes", F.array().cast("array<bigint>")))
+    return one.join(likes, "w", "left").select("tenant", "kind", "words", "extra", *keep, F.explode(keys).alias("key")).distinct()
 
 
 def resolve(entities: DataFrame, key: str = "entity_id", tenant: str = "tenant_id") -> DataFrame:
@@ -304,8 +340,9 @@ def resolve(entities: DataFrame, key: str = "entity_id", tenant: str = "tenant_i
     ident = F.xxhash64("tenant", "kind", F.array_join("words", " "), F.array_join("extra", "|"))
     spelled = durable(spelled.withColumn("pid", ident))
     distinct = durable(spelled.groupBy("pid", "tenant", "kind", "words", "extra").agg(F.array_sort(F.collect_set("initial")).alias("initials")))
-    # a block holds the distinct spellings one deletion from its key that share the given name, trade or number
-    blocks = _keyed(distinct, "pid").groupBy("tenant", "kind", "key", F.array_join("extra", "|").alias("e")).agg(F.collect_list(F.struct("pid", "words")).alias("block")).where(F.size("block") > 1)
+    likes = durable(like_words(distinct))
+    # a block holds the distinct spellings with its word or one like it that share the given name, trade or number
+    blocks = _keyed(distinct, likes, "pid").groupBy("tenant", "kind", "key", F.array_join("extra", "|").alias("e")).agg(F.collect_list(F.struct("pid", "words")).alias("block")).where(F.size("block") > 1)
     links = blocks.select("block").mapInPandas(stars, "a long, b long").where("a <> b").distinct()
     links = durable(links.unionByName(distinct.select(F.col("pid").alias("a"), F.col("pid").alias("b"))))
     label = durable(connected_components(links).select(F.col("node").alias("pid"), F.col("component").alias("cid")))
@@ -319,7 +356,7 @@ def resolve(entities: DataFrame, key: str = "entity_id", tenant: str = "tenant_i
         rows = now.join(merged, "cid").select("tenant", "kind", "words", says.alias("extra"), "cid", "strong", initials.alias("initials"), (F.col("strong") & ~F.col("own")).alias("new"))
         rows = rows.groupBy("tenant", "kind", "words", "extra", "cid", "strong", "initials").agg(F.min("new").alias("new"))
         letters = F.when(F.col("kind") == "person", F.array_union(F.transform("extra", lambda x: F.substring(x, 1, 1)), "initials")).otherwise(F.array(F.lit("")))
-        blocks = _keyed(rows, "cid", "strong", "initials", "new").withColumn("letter", F.explode(letters)).groupBy("tenant", "kind", "key", "letter").agg(F.collect_list(F.struct("cid", "words", "extra", "strong", "new", "initials")).alias("block"), F.max("strong").alias("any"), F.min("strong").alias("all"), F.max("new").alias("more"))
+        blocks = _keyed(rows, likes, "cid", "strong", "initials", "new").withColumn("letter", F.explode(letters)).groupBy("tenant", "kind", "key", "letter").agg(F.collect_list(F.struct("cid", "words", "extra", "strong", "new", "initials")).alias("block"), F.max("strong").alias("any"), F.min("strong").alias("all"), F.max("new").alias("more"))
         met = durable(blocks.where(F.col("any") & (~F.col("all") | F.col("more"))).select("kind", "block").mapInPandas(meetings, "a long, b long, strong boolean, by long").distinct())
         # the initial of a full name goes before that of a short form
         fit = met.where("not strong").groupBy("a", "by").agg(F.count_distinct("b").alias("n"), F.min("b").alias("b")).groupBy("a").agg(F.min(F.struct("by", "n", "b")).alias("m"))

@@ -83,3 +83,21 @@ def test_more_rounds_than_four(spark):
     rows = [(0, f"Jonathan {chain[0]}")] + [(i, f"{'Jon' if i % 2 else 'J.'} {w}") for i, w in enumerate(chain) if i]
     df = spark.createDataFrame([(i, n, "person", "t") for i, n in rows], "entity_id long, name string, etype string, tenant_id string")
     assert {tuple(r) for r in names.linked_pairs(names.resolve(df)).collect()} == set(itertools.combinations(range(len(chain)), 2))
+
+
+def test_two_edits_meet_without_a_spelling_between(spark):
+    long = "".join(chr(97 + i * i % 26) + chr(97 + i * 7 % 23) for i in range(40))  # 80 letters
+    pairs = [("zoskemozza", "zoskeoza"), ("abcdefg", "bacdegf"), ("abcdefg", "xbcdefy"), ("kumanosir", "umanosi"), (long[:64], "q" + long[:64] + "q"), (long[:63], long[1:62] + "qq"), (long, "q" + long[1:-1]), (long, long[:10] + "q" + long[10:70] + long[71:]), (long[:65], long[1] + long[0] + long[2:63] + long[64] + long[63])]
+    pairs = [p for p in pairs if names.near(*p, names.allowed(*p))]
+    assert len(pairs) >= 8
+    rows = [(10 * i + j, f"Anna {w}", "person", f"t{i}") for i, p in enumerate(pairs) for j, w in enumerate(p)]
+    df = spark.createDataFrame(rows, "entity_id long, name string, etype string, tenant_id string")
+    assert {tuple(r) for r in names.linked_pairs(names.resolve(df)).collect()} == {(10 * i, 10 * i + 1) for i in range(len(pairs))}
+
+
+def test_like_words_against_all_pairs(spark):
+    words = sorted({"".join(w) for w in itertools.product("ab", repeat=7)} | {"".join(w) for w in itertools.product("abc", repeat=4)} | {"aaaaaaaa", "abababab", "abababa", "bbbbbbbbb"})
+    df = spark.createDataFrame([("t", "person", [w]) for w in words], "tenant string, kind string, words array<string>")
+    ids = {r.w: r.word for r in df.selectExpr("tenant", "kind", "words[0] AS word").select("word", names._word_id().alias("w")).collect()}
+    got = {(ids[r.w], ids[x]) for r in names.like_words(df).collect() for x in r.likes}
+    assert got == {(a, b) for b, a in itertools.combinations(words, 2) if names.near(a, b, names.allowed(a, b))}
