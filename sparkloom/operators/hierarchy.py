@@ -137,6 +137,28 @@ def _walk_buckets(paths: bool):
     return run
 
 
+def _on_loops(looped: DataFrame) -> DataFrame:
+    """key, on_loop (true): the nodes on a loop, from those whose chain of parents enters one.
+
+    The nodes some node has 2^r steps above it: the loop's always, and those off it with a chain that long below them.
+    Their number falls until only the loops are left; with parents within the set they then are as many as their parents.
+    """
+    up = looped.select("key", F.col("parent_key").alias("up"))
+    state = durable(up)
+    left = state.count()
+    while left:
+        # the images of the step doubled so far, and the step itself among them
+        images = state.select(F.col("up").alias("key")).distinct()
+        kept = state.join(images, "key", "left_semi")
+        there = state.select(F.col("key").alias("up"), F.col("up").alias("up2"))
+        state = durable(kept.join(there, "up").select("key", F.col("up2").alias("up")))
+        now = state.count()
+        if now == left:
+            break
+        left = now
+    return state.select("key", F.lit(True).alias("on_loop"))
+
+
 def _double_paths(nodes: DataFrame, paths: bool = True, max_rounds: int = 40) -> DataFrame:
     """Depth, ancestors and names of the nodes of oversized components, by pointer doubling over joins (no group is gathered)."""
     none = F.array().cast("array<string>")
@@ -150,11 +172,12 @@ def _double_paths(nodes: DataFrame, paths: bool = True, max_rounds: int = 40) ->
         go = state.where("up is not null and not looped").join(there, "up")
         moved = go.select("key", "component", "looped", "name", F.col("up2").alias("up"), (F.col("steps") + F.col("s2")).alias("steps"), F.concat("a2", "ancestors").alias("ancestors"), F.concat("n2", "names").alias("names"))
         state = durable(_packed(state.where("up is null or looped").unionByName(moved)))
+    on = _on_loops(nodes.where("looped"))
     below = state.where("not looped").select(F.explode("ancestors").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_below"))
     n_below = F.when(F.col("looped") | F.lit(not paths), F.lit(-1)).otherwise(F.coalesce("n_below", F.lit(0)))
-    return state.join(below, "key", "left").select(
+    return state.join(below, "key", "left").join(on, "key", "left").select(
         "key", F.col("component").alias("root_key"), F.when(F.col("looped"), F.lit(-1)).otherwise(F.col("steps")).cast("long").alias("depth"), F.when(F.col("looped"), none).otherwise(F.col("ancestors")).alias("ancestors"), F.when(F.col("looped"), none).otherwise(F.col("names")).alias("names"),
-        F.lit(-1).cast("long").alias("pre"), n_below.cast("long").alias("n_below"), F.lit(None).cast("boolean").alias("on_loop"),
+        F.lit(-1).cast("long").alias("pre"), n_below.cast("long").alias("n_below"), F.coalesce("on_loop", F.lit(False)).alias("on_loop"),
     )
 
 

@@ -65,3 +65,12 @@ def test_deep_chain_without_paths(spark):
     for limit in (10_000, 100):
         out = got(spark, rows, paths=False, max_component=limit)
         assert out[f"n{n - 1:05}"].depth == n - 1 and {r.root_id for r in out.values()} == {"n00000"} and out["n00100"].path is None
+
+
+def test_joins_against_walk_on_loops(spark):
+    rows = [(f"l{i:02}", f"l{(i + 1) % 7:02}") for i in range(7)] + [(f"t{i:02}", f"t{i - 1:02}" if i else "l03") for i in range(21)] + [("u0", "t05"), ("u1", "u0"), ("s", "s"), ("v", "s"), ("p", "q"), ("q", "p"), ("r", None), ("r1", "r"), ("r2", "r1")]
+    for paths in (True, False):
+        walked, joined = got(spark, rows, paths=paths), got(spark, rows, paths=paths, max_component=0)
+        columns = [c for c in next(iter(walked.values())).asDict() if paths or c != "n_descendants"]
+        assert {k: [r[c] for c in columns] for k, r in joined.items()} == {k: [r[c] for c in columns] for k, r in walked.items()}
+        assert {k for k, r in joined.items() if r.on_loop} == {*(f"l{i:02}" for i in range(7)), "s", "p", "q"}
