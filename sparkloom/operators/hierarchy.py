@@ -1,12 +1,14 @@
 """Parent-child rows to full hierarchies.
 
-Method: label connected components, co-locate each component, walk it depth first with node colouring. A component over
-``max_component`` nodes is never put into one task: its paths come from pointer doubling over joins, which is exact too.
+Method: label connected components, co-locate each component, walk it depth first with node colouring, put out paths,
+descendants and back-edge cycles. What a walk puts out is known beforehand: the sum of its nodes' depths. Components are
+hashed into buckets by that volume; one whose volume alone is over ``max_volume`` is never put into one task: its paths come
+from pointer doubling over joins, with every column the same as from the walk.
 
 Defined results. The newest row of an id counts (latest ``updated_at``, ties by the greatest remaining columns); a null id is
 left out; ids and parent ids are compared after ``canonical_id``. A node without a parent, or whose parent is no node, is a
-root of depth 0. A node whose chain of parents enters a loop has depth -1, root = the smallest id on the loop, no path.
-An empty table gives an empty result. Extra columns, whatever their names, are ignored.
+root of depth 0. A node whose chain of parents enters a loop has depth -1, root = the smallest id on the loop, no path, no
+ancestors and -1 descendants. An empty table gives an empty result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -16,12 +18,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.session import durable
 
-SCHEMA = "key string, root_key string, depth long, ancestors array<string>, names array<string>, pre long, n_below long, on_loop boolean"
+SCHEMA = "key string, root_key string, depth long, ancestors array<string>, names array<string>, n_below long, on_loop boolean"
+BLANKS = r"[\s\p{Z}\u200b\ufeff]+"  # tabs, line ends and no-break blanks too
 
 
 def canonical_id(c: Column) -> Column:
-    """An id in lower case, without blanks, braces and urn prefix, with the hyphens of a 32-digit form put back."""
-    plain = F.regexp_replace(F.lower(F.trim(c)), r"^(urn:uuid:|\{)|\}$", "")
+    """An id in lower case, without white space of any kind around it, braces and urn prefix, with the hyphens of a 32-digit form put back."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(c), f"^{BLANKS}|{BLANKS}$", ""), r"^(urn:uuid:|\{)|\}$", "")
     plain = F.regexp_replace(plain, r"^urn:uuid:", "")
     return F.regexp_replace(plain, r"^([0-9a-f]{8})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{12})$", r"$1-$2-$3-$4-$5")
 
@@ -43,40 +46,38 @@ def _packed(df: DataFrame) -> DataFrame:
     return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def label_components(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """nodes with ``component``: the root's key, or the smallest key on the loop the chain of parents enters; and ``looped``.
+def label_components(nodes: DataFrame) -> DataFrame:
+    """nodes with ``component``: the root's key, or the smallest key on the loop the chain of parents enters; ``looped``; and ``steps`` up to the root (-1 where looped).
 
     Pointer doubling: after round r a node knows the node 2^r steps up and the smallest key on the way. The rounds end
     when one resolves no further node: distances to a root are gapless along a chain, so no longer chain is left then.
     What is unresolved then hangs on a loop; for it the doubling goes on until the label stands still.
     """
-    state = durable(nodes.select("key", F.col("parent_key").alias("up"), F.coalesce("parent_key", "key").alias("top"), F.coalesce("parent_key", "key").alias("low")))
-    left = state.where("up is not null").count()
-    for r in range(max_rounds):
-        if not left:
-            break
-        there = state.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("low").alias("low2"))
+    one = F.when(F.col("parent_key").isNull(), 0).otherwise(1).cast("long")
+    state = durable(nodes.select("key", F.col("parent_key").alias("up"), F.coalesce("parent_key", "key").alias("top"), F.coalesce("parent_key", "key").alias("low"), one.alias("steps")))
+    left, first = state.where("up is not null").count(), True
+    while left:
+        there = state.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("low").alias("low2"), F.col("steps").alias("steps2"))
         go = state.where("up is not null").join(there, "up", "left")
-        moved = go.select("key", F.col("up2").alias("up"), F.col("top2").alias("top"), F.least("low", "low2").alias("low"))
-        state = durable(_packed(state.where("up is null").select("key", "up", "top", "low").unionByName(moved)))
+        moved = go.select("key", F.col("up2").alias("up"), F.col("top2").alias("top"), F.least("low", "low2").alias("low"), (F.col("steps") + F.col("steps2")).alias("steps"))
+        state = durable(_packed(state.where("up is null").select("key", "up", "top", "low", "steps").unionByName(moved)))
         now = state.where("up is not null").count()
-        if now == left and r >= 1:
+        if now == left and not first:
             break
-        left = now
+        left, first = now, False
     rest = state.where("up is not null").select("key", "up", "low")
-    for _ in range(max_rounds if left else 0):
+    while left:
         # label: the least key on the 2^r steps that follow the node 2^r steps up. Those stretches cover a loop without gaps,
         # so once each node's label is that of the node 2^r steps up, it is the loop's least key.
         there = rest.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("low").alias("low2"))
         step = rest.join(there, "up").select("key", "low", "low2", F.col("up2").alias("up"))
-        same = durable(step.select("key", "up", F.least("low", "low2").alias("low"), F.col("low2").alias("label")))
-        check = same.select(F.col("key").alias("up"), F.col("label").alias("label2"))
-        rest = same
-        if not same.join(check, "up").where("label <> label2").limit(1).count():
+        rest = durable(step.select("key", "up", F.least("low", "low2").alias("low"), F.col("low2").alias("label")))
+        check = rest.select(F.col("key").alias("up"), F.col("label").alias("label2"))
+        if not rest.join(check, "up").where("label <> label2").limit(1).count():
             break
-    ended = state.where("up is null").select("key", F.col("top").alias("component"), F.lit(False).alias("looped"))
+    ended = state.where("up is null").select("key", F.col("top").alias("component"), F.lit(False).alias("looped"), "steps")
     if left:
-        ended = ended.unionByName(rest.select("key", F.col("label").alias("component"), F.lit(True).alias("looped")))
+        ended = ended.unionByName(rest.select("key", F.col("label").alias("component"), F.lit(True).alias("looped"), F.lit(-1).cast("long").alias("steps")))
     return nodes.join(ended, "key")
 
 
@@ -96,7 +97,7 @@ def walk_component(keys: list[str], parents: list[str | None], names: list[str |
         while stack:
             k, leave = stack.pop()
             if leave:
-                out.append((k, root, len(path) - 1, path[:-1] if paths else [], list(path_names) if paths else [], entered[k], pre - entered[k] - 1, False))
+                out.append((k, root, len(path) - 1, path[:-1] if paths else [], list(path_names) if paths else [], pre - entered[k] - 1, False))
                 path.pop()
                 path_names.pop()
                 black.add(k)
@@ -125,14 +126,14 @@ def walk_component(keys: list[str], parents: list[str | None], names: list[str |
             loops.update(loop)
         for x in grey:
             least[x] = label
-    out += [(k, label, -1, [], [], -1, -1, k in loops) for k, label in least.items()]
+    out += [(k, label, -1, [], [], -1, k in loops) for k, label in least.items()]
     return out
 
 
 def _walk_buckets(paths: bool):
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         rows = walk_component(batch["key"].tolist(), [p if isinstance(p, str) else None for p in batch["parent_key"]], batch["name"].tolist(), paths)
-        return pd.DataFrame(rows, columns=["key", "root_key", "depth", "ancestors", "names", "pre", "n_below", "on_loop"])
+        return pd.DataFrame(rows, columns=["key", "root_key", "depth", "ancestors", "names", "n_below", "on_loop"])
 
     return run
 
@@ -159,39 +160,51 @@ def _on_loops(looped: DataFrame) -> DataFrame:
     return state.select("key", F.lit(True).alias("on_loop"))
 
 
-def _double_paths(nodes: DataFrame, paths: bool = True, max_rounds: int = 40) -> DataFrame:
-    """Depth, ancestors and names of the nodes of oversized components, by pointer doubling over joins (no group is gathered)."""
+def _double_paths(nodes: DataFrame, paths: bool = True) -> DataFrame:
+    """The columns of the walk for components too large for one task, by pointer doubling over joins (no group is gathered)."""
     none = F.array().cast("array<string>")
-    up = F.col("parent_key")
-    state = nodes.select("key", "component", "looped", "name", up.alias("up"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("steps"), (F.when(up.isNull(), none).otherwise(F.array("parent_key")) if paths else none).alias("ancestors"), (F.array("name") if paths else none).alias("names"))
-    state = durable(state)
-    for _ in range(max_rounds):
-        if not state.where("up is not null and not looped").limit(1).count():
-            break
-        there = state.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("s2"), F.col("ancestors").alias("a2"), F.col("names").alias("n2"))
-        go = state.where("up is not null and not looped").join(there, "up")
-        moved = go.select("key", "component", "looped", "name", F.col("up2").alias("up"), (F.col("steps") + F.col("s2")).alias("steps"), F.concat("a2", "ancestors").alias("ancestors"), F.concat("n2", "names").alias("names"))
-        state = durable(_packed(state.where("up is null or looped").unionByName(moved)))
+    up = F.when(~F.col("looped"), F.col("parent_key"))
+    first = F.array("parent_key") if paths else none
+    state = nodes.select("key", "component", "looped", "steps", up.alias("up"), F.when(up.isNull(), none).otherwise(first).alias("ancestors"), (F.array("name") if paths else none).alias("names"), F.lit(1).cast("long").alias("below"))
+    if paths:
+        state = durable(state)
+        while state.where("up is not null").limit(1).count():
+            there = state.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("ancestors").alias("a2"), F.col("names").alias("n2"))
+            moved = state.where("up is not null").join(there, "up").select("key", "component", "looped", "steps", F.col("up2").alias("up"), F.concat("a2", "ancestors").alias("ancestors"), F.concat("n2", "names").alias("names"), "below")
+            state = durable(_packed(state.where("up is null").unionByName(moved)))
     on = _on_loops(nodes.where("looped"))
-    below = state.where("not looped").select(F.explode("ancestors").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_below"))
-    n_below = F.when(F.col("looped") | F.lit(not paths), F.lit(-1)).otherwise(F.coalesce("n_below", F.lit(0)))
+    below = _below(nodes.where("not looped"))
     return state.join(below, "key", "left").join(on, "key", "left").select(
-        "key", F.col("component").alias("root_key"), F.when(F.col("looped"), F.lit(-1)).otherwise(F.col("steps")).cast("long").alias("depth"), F.when(F.col("looped"), none).otherwise(F.col("ancestors")).alias("ancestors"), F.when(F.col("looped"), none).otherwise(F.col("names")).alias("names"),
-        F.lit(-1).cast("long").alias("pre"), n_below.cast("long").alias("n_below"), F.coalesce("on_loop", F.lit(False)).alias("on_loop"),
+        "key", F.col("component").alias("root_key"), F.col("steps").alias("depth"), F.when(F.col("looped"), none).otherwise(F.col("ancestors")).alias("ancestors"), F.when(F.col("looped") | F.lit(not paths), none).otherwise(F.col("names")).alias("names"),
+        F.when(F.col("looped"), F.lit(-1)).otherwise(F.coalesce("n_below", F.lit(0))).cast("long").alias("n_below"), F.coalesce("on_loop", F.lit(False)).alias("on_loop"),
     )
 
 
-def build_hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id", name_col: str = "name", order_col: str = "updated_at", max_component: int = 200_000, bucket_nodes: int = 50_000, paths: bool = True) -> DataFrame:
+def _below(nodes: DataFrame) -> DataFrame:
+    """key, n_below of tree nodes, in as many rounds as the depth has binary digits and rows as there are nodes: after round r a
+    node has counted those less than 2^r steps below it; those 2^r and more below reach it through the nodes 2^r steps below."""
+    state = durable(nodes.select("key", F.col("parent_key").alias("up"), F.lit(1).cast("long").alias("seen")))
+    while state.where("up is not null").limit(1).count():
+        # the counts of the nodes 2^r steps below, summed before they meet the node
+        come = state.where("up is not null").groupBy(F.col("up").alias("key")).agg(F.sum("seen").alias("more"))
+        there = state.select(F.col("key").alias("up"), F.col("up").alias("up2"))
+        state = durable(_packed(state.join(there, "up", "left").join(come, "key", "left").select("key", F.col("up2").alias("up"), (F.col("seen") + F.coalesce("more", F.lit(0))).alias("seen"))))
+    return state.select("key", (F.col("seen") - 1).alias("n_below"))
+
+
+def build_hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id", name_col: str = "name", order_col: str = "updated_at", max_volume: int = 4_000_000, paths: bool = True) -> DataFrame:
     """One row per node: id, name, root_id, depth, path, ancestor_ids, n_descendants, on_loop. See the module's text for the cases.
 
-    Paths and ancestors grow with the depth; ``paths=False`` leaves them empty where only roots and depths are wanted.
+    Paths and ancestors grow with the depth; ``paths=False`` leaves them empty where only roots and depths are wanted. max_volume:
+    the most nodes and ancestor entries a component walked in one task may have; it changes the way, not the result.
     """
     nodes = durable(label_components(newest_nodes(rows, id_col, parent_col, name_col, order_col)))
-    sizes = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    large = sizes.where(F.col("size") > max_component).select("component")
+    cost = F.sum(F.lit(1) + F.greatest("steps", F.lit(0))) if paths else F.count(F.lit(1))
+    sizes = durable(nodes.groupBy("component").agg(cost.alias("size")))
+    large = sizes.where(F.col("size") > max_volume).select("component")
     n_large = large.count()
-    total = nodes.count()
-    buckets = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-total // bucket_nodes))
+    total = sizes.where(F.col("size") <= max_volume).agg(F.sum("size")).first()[0] or 0
+    buckets = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-total // max(max_volume // 8, 1)))
     small = nodes.join(large, "component", "left_anti") if n_large else nodes
     walked = small.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).select("bucket", "key", "parent_key", "name").groupBy("bucket").applyInPandas(_walk_buckets(paths), SCHEMA)
     if n_large:

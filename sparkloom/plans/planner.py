@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from sparkloom import policy
 from sparkloom.plans.temporal import parse_period
 
-AGGREGATIONS = (("COUNT", r"\bhow many\b|\bcount\b|\bnumber of\b"), ("AVG", r"\baverage\b|\bavg\b|\bmean\b"), ("MAX", r"\bmax(?:imum)?\b|\bhighest\b|\blargest\b"), ("MIN", r"\bmin(?:imum)?\b|\blowest\b|\bsmallest\b"), ("SUM", r"\btotal\b|\bsum\b|\boverall\b"))
+# The phrases that ask for an aggregation, the first that occurs deciding.
+AGGREGATIONS = {"COUNT": ("how many", "count", "number of"), "AVG": ("average", "avg", "mean"), "MAX": ("max", "maximum", "highest", "largest"), "MIN": ("min", "minimum", "lowest", "smallest"), "SUM": ("total", "sum", "overall")}
 PERIODS = (("month", r"\bmonthly\b|\bby month\b|\bper month\b|\bmonth[- ]wise\b"), ("quarter", r"\bquarterly\b|\bby quarter\b|\bper quarter\b"), ("year", r"\byearly\b|\bannual(?:ly)?\b|\bby year\b|\bper year\b"))
 HARD = r"\bwhy\b|\bcorrelat|\bforecast|\bpredict|\bcompare\b|\bversus\b|\bvs\b|\bexplain\b"
 
@@ -28,7 +29,7 @@ class Intent:
 
 def parse_intent(question: str, today: date) -> Intent:
     q = question.lower()
-    aggs = [a for a, rx in AGGREGATIONS if re.search(rx, q)]
+    aggs = [a for a, phrases in AGGREGATIONS.items() if any(re.search(rf"\b{p}\b", q) for p in phrases)]
     top = re.search(r"\btop\s+(\d+)\b", q)
     if top and not aggs:
         aggs = ["SUM"]
@@ -55,6 +56,10 @@ def _likeness(words: set[str], label: str) -> float:
     return len(words & own) / len(own) if own else 0.0
 
 
+def _hits(words: set[str], label: str) -> int:
+    return len(words & set(label.lower().replace("_", " ").split()))
+
+
 def plan(question: str, tables: dict[str, DataFrame], roles: list[Column], edges: list[tuple[str, str, str, str, float]], today: date) -> DataFrame:
     """The question's rows. edges: (table_a, column_a, table_b, column_b, confidence) of approved joins.
 
@@ -67,8 +72,10 @@ def plan(question: str, tables: dict[str, DataFrame], roles: list[Column], edges
     words = set(re.findall(r"[a-z]+", question.lower()))
     agg = intent.aggregations[0]
     measures = [c for c in roles if c.kind == "additive_measure" or (c.kind == "non_additive_measure" and agg != "SUM")]
-    named = words - {w for a, rx in AGGREGATIONS if a == agg for w in re.findall("[a-z]+", rx)}  # the word that asks for the aggregation names no column
-    measure = max(measures, key=lambda c: (_likeness(named, c.label), _likeness(words, c.label), -len(c.label)), default=None) if agg not in ("RAW", "COUNT") else None
+    named = words - {w for p in AGGREGATIONS.get(agg, ()) for w in p.split()}  # the word that asks for the aggregation names no column
+    # a label that repeats the aggregation's word ("total price") is as likely by its other words; then the label with more words in the question, then the shorter
+    asks = lambda c: (_likeness(named, c.label), _hits(named, c.label), _likeness(words, c.label), -len(c.label), c.table, c.name)
+    measure = max(measures, key=asks, default=None) if agg not in ("RAW", "COUNT") else None
     if agg not in ("RAW", "COUNT") and (measure is None or _likeness(words, measure.label) == 0):
         raise ValueError("no measure the question names")
     dims = []

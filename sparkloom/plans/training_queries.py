@@ -9,7 +9,7 @@ from sparkloom.session import table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.build_hierarchy(table(spark, d, "folders"), paths=False).select("id", "root_id", "depth")
+    return hierarchy.build_hierarchy(table(spark, d, "folders")).select("id", "root_id", "depth")
 
 
 def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +37,7 @@ def p5_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_table": p5_table, "p5_columns": p5_columns, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants}
-_KEY = r"regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^(urn:uuid:|\{{)|\}}$', '', 'g'), '^urn:uuid:', ''), '^([0-9a-f]{{8}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{12}})$', '\1-\2-\3-\4-\5')"
+_KEY = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '^[\s\pZ]+|[\s\pZ]+$', '', 'g'), '^(urn:uuid:|\{{)|\}}$', '', 'g'), '^urn:uuid:', ''), '^([0-9a-f]{{8}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{12}})$', '\1-\2-\3-\4-\5')"
 _NODES = (
     "nodes AS (SELECT key, id, name, parent FROM (SELECT " + _KEY.format("id") + " AS key, id, name, " + _KEY.format("parent_id") + " AS parent, "
     "row_number() OVER (PARTITION BY " + _KEY.format("id") + " ORDER BY updated_at DESC NULLS LAST, id DESC, parent_id DESC NULLS LAST, name DESC NULLS LAST) AS rn FROM folders WHERE id IS NOT NULL) WHERE rn = 1), "
