@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from sparkloom.session import durable
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 30) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its least node): alternating large-star and small-star steps, which halve the longest chains.
 
     Each step is a map-side combined minimum and a join, so the centre of a hub is no hot task; AQE splits its join rows.
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     pairs = durable(kept.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     pairs = pairs.where("u <> v")
-    for _ in range(max_rounds):
+    while True:  # until at rest
         both = pairs.union(pairs.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -56,16 +56,22 @@ def pagerank(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "weight
 
 
 def bounded_paths(edges: DataFrame, starts: DataFrame, max_hops: int = 4, a: str = "a", b: str = "b", confidence: str = "confidence", per_pair: int = 8) -> DataFrame:
-    """start, end, hops, path, confidence (the least along the path): simple paths of at most max_hops from the starts, the per_pair best for each end."""
+    """start, end, hops, path, confidence (the least along the path): simple paths of at most max_hops from the starts, the per_pair best for each end.
+
+    Paths come in order of hops, so an end that has per_pair shorter ones takes no longer; a path still leads on from such an end. A level's
+    paths to one end are numbered after a partial limit in each task, so a hub's paths are no unbounded group.
+    """
     e = undirected(edges, a, b, F.col(confidence).alias("c"))
     level = starts.select(F.col(starts.columns[0]).alias("start")).distinct().select("start", F.col("start").alias("end"), F.array("start").alias("path"), F.lit(None).cast("double").alias("confidence"))
+    w = Window.partitionBy("start", "end").orderBy(F.desc("confidence"), F.array_join("path", ">"))
     found = None
-    for _ in range(max_hops):
+    for hop in range(1, max_hops + 1):
         step = level.join(e, level.end == e.src).where(~F.array_contains("path", F.col("dst")))
         level = step.select("start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path"), F.least(F.col("confidence"), F.col("c")).alias("confidence"))
-        found = level if found is None else found.unionByName(level)
-    w = Window.partitionBy("start", "end").orderBy("hops", F.desc("confidence"), F.array_join("path", ">"))
-    return found.withColumn("hops", (F.size("path") - 1).cast("long")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_pair).select("start", "end", "hops", F.array_join("path", ">").alias("path"), "confidence")
+        best = level.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_pair).withColumn("hops", F.lit(hop).cast("long"))
+        found = best if found is None else found.unionByName(best)
+    last = Window.partitionBy("start", "end").orderBy("hops", "r")
+    return found.withColumn("n", F.row_number().over(last)).where(F.col("n") <= per_pair).select("start", "end", "hops", F.array_join("path", ">").alias("path"), "confidence")
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

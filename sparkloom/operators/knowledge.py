@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkloom import policy
 from sparkloom.operators import graph, search
+from sparkloom.session import durable
 
 
 def walk_to_chunks(edges: DataFrame, mentions: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
@@ -27,6 +28,23 @@ def walk_to_chunks(edges: DataFrame, mentions: DataFrame, seeds: DataFrame, hops
     return reached.join(mentions, "entity").groupBy("seed", "chunk").agg(F.min("hops").alias("hops"))
 
 
+def walk_co_mentions(mentions: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+    """seed, chunk, hops: chunks at most ``hops`` co-mentions from a seed, over mentions(entity, chunk) alone: a step leads from an entity to all entities of its chunks.
+
+    Entities meet through their chunks, each seed and chunk once, so a crowded chunk costs its entities, not their pairs.
+    """
+    level = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct().withColumn("entity", F.col("seed"))
+    known, reached = level, None
+    for h in range(hops + 1):
+        chunks = level.join(mentions, "entity").select("seed", "chunk").distinct()
+        new = chunks if reached is None else chunks.join(reached.select("seed", "chunk"), ["seed", "chunk"], "left_anti")
+        new = durable(new.withColumn("hops", F.lit(h).cast("long")))
+        reached = new if reached is None else reached.unionByName(new)
+        level = new.join(mentions, "chunk").select("seed", "entity").distinct().join(known, ["seed", "entity"], "left_anti")
+        known = known.unionByName(level)
+    return reached
+
+
 def quotable(hits: DataFrame, sources: DataFrame) -> DataFrame:
     """chunk, score: hits(id, score) that are cards are replaced by their source chunks, sources(card, chunk); the best score of a chunk stays."""
     cards = hits.join(sources, hits.id == sources.card).select("chunk", "score")

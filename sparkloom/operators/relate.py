@@ -23,11 +23,15 @@ def column_values(tables: dict[str, DataFrame], columns: list[tuple[str, str]])
     return out
 
 
-def key_registry(values: DataFrame) -> DataFrame:
-    """file_name, column_name, n_rows, cardinality, unique_rate, null_rate, key_kind (pk, fk or null) over all rows."""
+def hashed_values(values: DataFrame) -> DataFrame:
+    """file_name, column_name, fp, n: each column's distinct normalised values with their rows; null for cells without a value. The one pass both the registry and the overlap need."""
     raw = values.groupBy("file_name", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))  # each value is normalised and hashed once
-    per_value = raw.withColumn("fp", fingerprint(F.col("value"))).groupBy("file_name", "column_name", "fp").agg(F.sum("n").alias("n"))
-    reg = per_value.groupBy("file_name", "column_name").agg(F.sum("n").alias("n_rows"), F.count("fp").alias("cardinality"), F.coalesce(F.sum(F.when(F.col("fp").isNull(), F.col("n"))), F.lit(0)).alias("nulls"))
+    return raw.withColumn("fp", fingerprint(F.col("value"))).groupBy("file_name", "column_name", "fp").agg(F.sum("n").alias("n"))
+
+
+def key_registry(hashed: DataFrame) -> DataFrame:
+    """file_name, column_name, n_rows, cardinality, unique_rate, null_rate, key_kind (pk, fk or null) over all rows, from ``hashed_values``."""
+    reg = hashed.groupBy("file_name", "column_name").agg(F.sum("n").alias("n_rows"), F.count("fp").alias("cardinality"), F.coalesce(F.sum(F.when(F.col("fp").isNull(), F.col("n"))), F.lit(0)).alias("nulls"))
     unique = F.coalesce(F.try_divide("cardinality", F.col("n_rows") - F.col("nulls")), F.lit(0.0))
     null = F.coalesce(F.try_divide("nulls", "n_rows"), F.lit(1.0))
     return reg.select("file_name", "column_name", "n_rows", "cardinality", unique.alias("unique_rate"), null.alias("null_rate")).withColumn("key_kind", key_kind(F.lit(None).cast("string"), F.col("unique_rate"), F.col("null_rate")))
@@ -41,12 +45,9 @@ def key_kind(role: Column, unique: Column, null: Column) -> Column:
     return F.when(F.coalesce(named, F.lit(False)), by_role).otherwise(generic)
 
 
-def fingerprint_overlap(values: DataFrame) -> DataFrame:
-    """file_a, column_a, file_b, column_b, n_shared, overlap (of the smaller set), cardinality_a, cardinality_b of columns of different files that share values."""
-    place = F.concat_ws("\u0001", "file_name", "column_name")
-    # counted, not made distinct: else the optimiser drops this step before the next and each cell is hashed
-    once = values.where("value is not null").groupBy("file_name", "column_name", "value").agg(F.count(F.lit(1)).alias("k"))
-    fps = once.select(place.alias("p"), fingerprint(F.col("value")).alias("fp")).where("fp is not null")
+def fingerprint_overlap(hashed: DataFrame) -> DataFrame:
+    """file_a, column_a, file_b, column_b, n_shared, overlap (of the smaller set), cardinality_a, cardinality_b of columns of different files that share values, from ``hashed_values``."""
+    fps = hashed.where("fp is not null").select(F.concat_ws("\u0001", "file_name", "column_name").alias("p"), "fp")
     signatures = durable(fps.groupBy("fp").agg(F.array_sort(F.collect_set("p")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")))  # one row per distinct set of columns
     sizes = signatures.select(F.explode("s").alias("p"), "n").groupBy("p").agg(F.sum("n").alias("size"))
     sets = signatures.where(F.size("s") > 1)

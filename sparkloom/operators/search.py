@@ -20,23 +20,25 @@ def bm25(docs: DataFrame, terms: list[str], key: str, text: str, top: int = 20,
 
 
 def bm25_many(docs: DataFrame, questions: dict[str, list[str]], key: str, text: str, top: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """q, key, score: the top documents of each question. Terms are words in lower case; words are lower-case runs of letters and figures, without stemming or stop words.
+    """q, key, score: the top documents of each question. Terms are words in lower case; words are lower-case runs of letters and figures, without stemming or stop words; a term's other signs are matched as they are.
 
     Whatever the number of questions, the corpus is read twice: once for its figures (documents, mean length, a count for each term), once for the
     scores, of which each task passes on ``top`` rows a question. Nothing is indexed, shuffled or kept. Ties go to the smaller key.
     """
-    terms = list(dict.fromkeys(t for ts in questions.values() for t in ts))
+    questions = {q: [t.lower() for t in ts] for q, ts in questions.items()}
+    terms = list(dict.fromkeys(t for ts in questions.values() for t in ts if t))
+    plain = lambda t: "".join(x if x.isalnum() else "\\" + x for x in t)  # noqa: E731  a term's signs are no pattern
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     inside = r"[\p{L}\p{N}]"
     # a plain search comes before the word count, so texts without a term cost no pattern match
-    tf = [F.when(low.contains(t), F.regexp_count(low, F.lit(f"(?<!{inside}){t}(?!{inside})"))).otherwise(0) for t in terms]
+    tf = [F.when(low.contains(t), F.regexp_count(low, F.lit(f"(?<!{inside}){plain(t)}(?!{inside})"))).otherwise(0) for t in terms]
     base = docs.select(F.col(key), F.regexp_count(low, F.lit(f"{inside}+")).alias("_n"), *[c.alias(f"_t{i}") for i, c in enumerate(tf)])
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("mean"), *[F.sum(F.when(F.col(f"_t{i}") > 0, 1).otherwise(0)).alias(f"d{i}") for i in range(len(terms))]).first()
     n, mean = stats["n"] or 0, stats["mean"] or 1.0
     scores = []
     for q, ts in questions.items():
         score = F.lit(0.0)
-        for t in ts:
+        for t in filter(None, ts):
             i = terms.index(t)
             df, f = stats[f"d{i}"] or 0, F.col(f"_t{i}")
             score = score + float(np.log(1 + (n - df + 0.5) / (df + 0.5))) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_n") / mean))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparkloom import policy
 from sparkloom.functions import scalars
-from sparkloom.operators import board, documents, drift, graph, knowledge, relate, search
+from sparkloom.operators import board, documents, drift, graph, hierarchy, knowledge, relate, search
 from sparkloom.plans.registry import query, quoted
+from sparkloom.plans.training_queries import _KEY
 from sparkloom.session import durable, table
 
 KEYS = [
@@ -17,7 +18,7 @@ KEYS = [
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
-    return relate.column_values({t: table(spark, d, t) for t in dict.fromkeys(t for t, _ in KEYS)}, KEYS)
+    return relate.hashed_values(relate.column_values({t: table(spark, d, t) for t in dict.fromkeys(t for t, _ in KEYS)}, KEYS))
 
 
 _NORMAL = "CASE WHEN lower(trim({0})) NOT IN (" + quoted(policy.NULL_TOKENS) + ") AND trim({0}) <> '' THEN regexp_replace(regexp_replace(lower(trim({0})), '\\s+', ' ', 'g'), '^0+(\\d+)$', '\\1') END"
@@ -47,7 +48,7 @@ def fingerprint_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    v = _values(spark, d)
+    v = durable(_values(spark, d))  # read, normalised and hashed once
     return relate.edges(relate.fingerprint_overlap(v), relate.key_registry(v))
 
 
@@ -105,12 +106,12 @@ def grain_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- graphs
 
-_FOLDER_EDGES = "e AS (SELECT DISTINCT id AS a, parent_id AS b FROM folders WHERE id IS NOT NULL AND parent_id IN (SELECT id FROM folders))"
+_FOLDER_EDGES = "k AS (SELECT " + _KEY.format("id") + " AS a, " + _KEY.format("parent_id") + " AS b FROM folders), e AS (SELECT DISTINCT a, b FROM k WHERE a IS NOT NULL AND b IN (SELECT a FROM k))"
 
 
 def _folder_edges(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "folders")
-    return f.select(F.col("id").alias("a"), F.col("parent_id").alias("b")).where("a is not null").join(f.select(F.col("id").alias("b")).distinct(), "b", "left_semi").distinct()
+    f = table(spark, d, "folders").select(hierarchy.canonical_id(F.col("id")).alias("a"), hierarchy.canonical_id(F.col("parent_id")).alias("b")).where("a is not null").distinct()
+    return f.join(f.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
 
 
 @query("WITH RECURSIVE " + _FOLDER_EDGES + ", both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, a AS seen FROM both_ UNION SELECT r.node, x.b FROM reach r JOIN both_ x ON r.seen = x.a) SELECT node, min(seen) AS component FROM reach GROUP BY 1")
@@ -178,11 +179,9 @@ def pagerank_trade(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def communities_of_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Communities of names that stand in the same chunk; names of a chunk are linked along their order, which keeps a crowded chunk linear."""
-    e = table(spark, d, "entities").where("name is not null and src_chunk_id is not null").select("src_chunk_id", "tenant_id", F.lower("name").alias("n"), "confidence").distinct()
-    w = Window.partitionBy("src_chunk_id").orderBy("n")
-    links = e.withColumn("b", F.lead("n").over(w)).where("b is not null and b <> n").select(F.concat_ws(":", "tenant_id", "n").alias("a"), F.concat_ws(":", "tenant_id", "b").alias("b"), F.coalesce("confidence", F.lit(0.5)).alias("weight"))
-    return documents.communities(links)
+    """Communities of names and the chunks they stand in. Each name is linked to its chunks, so all names of a chunk are joined without a row for each pair of them."""
+    e = table(spark, d, "entities").where("name is not null and src_chunk_id is not null")
+    return documents.communities(e.groupBy(F.concat_ws(":", F.lit("n"), "tenant_id", F.lower("name")).alias("a"), F.concat_ws(":", F.lit("c"), "src_chunk_id").alias("b")).agg(F.max(F.coalesce("confidence", F.lit(0.5))).alias("weight")))
 
 
 # ---- retrieval
@@ -312,9 +311,14 @@ def chunk_text_greedy(spark: SparkSession, d: str) -> DataFrame:
     return documents.chunk_text(table(spark, d, "documents"), "doc_id", "text", 120, 20)
 
 
-@query()
+@query("WITH p AS (SELECT string_split(p_name, ' ') AS w FROM part), l AS (SELECT array_to_string(list_transform(w, lambda x: upper(x[1]) || substr(x, 2)), ' ') AS long_form, upper(array_to_string(list_transform(w, lambda x: x[1]), '')) AS short FROM p WHERE len(w) >= 2) SELECT short, CASE WHEN count(DISTINCT lower(long_form)) > 1 THEN 'CONFLICTING' ELSE 'STATED' END AS status, min(long_form) AS long_form FROM l GROUP BY 1")
 def acronym_definitions(spark: SparkSession, d: str) -> DataFrame:
-    return documents.reconcile_terms(documents.definitions(table(spark, d, "sections"), "section_id", "text"))
+    """Short forms of parts, read from sentences that define them in three ways; one of several expansions is conflicting."""
+    w = F.transform(F.split("p_name", " "), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1000)))
+    long, short = F.array_join(w, " "), F.upper(F.array_join(F.transform(w, lambda x: F.substring(x, 1, 1)), ""))
+    way = F.pmod("p_partkey", F.lit(3))
+    text = F.when(way == 0, F.concat(F.lit("we stock the "), long, F.lit(" ("), short, F.lit(") here."))).when(way == 1, F.concat(F.lit("of these "), short, F.lit(" ("), long, F.lit(") is one."))).otherwise(F.concat(F.lit("in short "), short, F.lit(" stands for "), long, F.lit(".")))
+    return documents.reconcile_terms(documents.definitions(table(spark, d, "part").where("p_name like '% %'").select("p_partkey", text.alias("text")), "p_partkey", "text"))
 
 
 @query()
@@ -371,19 +375,26 @@ def graph_health(spark: SparkSession, d: str) -> DataFrame:
     return h.withColumns({c: F.round(c, 6) for c in ("coverage", "p50", "p95", "weak_ratio", "orphan_ratio")})
 
 
-_MENTIONS = "m AS (SELECT DISTINCT entity_id AS entity, src_chunk_id AS chunk, tenant_id FROM entities WHERE src_chunk_id IS NOT NULL), n AS (SELECT DISTINCT entity, lead(entity) OVER (PARTITION BY chunk ORDER BY entity) AS b FROM m), e AS (SELECT entity AS a, b FROM n WHERE b IS NOT NULL UNION SELECT b, entity FROM n WHERE b IS NOT NULL)"
+_MENTIONS = "m AS (SELECT DISTINCT tenant_id || ':' || lower(name) AS entity, src_chunk_id AS chunk FROM entities WHERE src_chunk_id IS NOT NULL AND name IS NOT NULL AND tenant_id IS NOT NULL)"
 
 
-@query("WITH " + _MENTIONS + ", s AS (SELECT DISTINCT entity AS seed FROM m WHERE entity % 50 = 0), r AS (SELECT seed, seed AS entity, 0 AS hops FROM s UNION ALL SELECT seed, e.b, 1 FROM s JOIN e ON s.seed = e.a UNION ALL SELECT seed, f.b, 2 FROM s JOIN e ON s.seed = e.a JOIN e f ON e.b = f.a) SELECT seed, chunk, CAST(min(hops) AS BIGINT) AS hops FROM r JOIN m ON r.entity = m.entity GROUP BY 1, 2")
+@query("WITH " + _MENTIONS + ", s AS (SELECT DISTINCT tenant_id || ':' || lower(name) AS seed FROM entities WHERE entity_id % 50 = 0 AND src_chunk_id IS NOT NULL AND name IS NOT NULL AND tenant_id IS NOT NULL), c0 AS (SELECT DISTINCT seed, chunk FROM s JOIN m ON seed = entity), e1 AS (SELECT DISTINCT seed, entity FROM c0 JOIN m USING (chunk)), c1 AS (SELECT DISTINCT seed, chunk FROM e1 JOIN m USING (entity)), e2 AS (SELECT DISTINCT seed, entity FROM c1 JOIN m USING (chunk)), c2 AS (SELECT DISTINCT seed, chunk FROM e2 JOIN m USING (entity)) SELECT seed, chunk, CAST(min(h) AS BIGINT) AS hops FROM (SELECT *, 0 AS h FROM c0 UNION ALL SELECT *, 1 FROM c1 UNION ALL SELECT *, 2 FROM c2) GROUP BY 1, 2")
 def graph_walk_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks within two steps of every entity whose id is divisible by 50; entities of a chunk are linked along their order."""
-    m = table(spark, d, "entities").where("src_chunk_id is not null").select(F.col("entity_id").alias("entity"), F.col("src_chunk_id").alias("chunk")).distinct()
-    e = m.select(F.col("entity").alias("a"), F.lead("entity").over(Window.partitionBy("chunk").orderBy("entity")).alias("b")).where("b is not null")
-    return knowledge.walk_to_chunks(e, m, m.where("entity % 50 = 0").select("entity"))
+    """Chunks within two steps of the name of every mention whose id is divisible by 50; a step leads to all names of a chunk."""
+    e = table(spark, d, "entities").where("src_chunk_id is not null and name is not null and tenant_id is not null").select("entity_id", F.concat_ws(":", "tenant_id", F.lower("name")).alias("entity"), F.col("src_chunk_id").alias("chunk"))
+    return knowledge.walk_co_mentions(e.select("entity", "chunk").distinct(), e.where("entity_id % 50 = 0").select("entity").distinct())
 
 
-@query()
+_CARDS = "c AS (SELECT doc_id AS unit, card_id AS k, min(embedding) AS e FROM doc_cards WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 GROUP BY 1, 2)"
+
+
+@query(
+    "WITH RECURSIVE " + _CARDS + ", p AS (SELECT a.unit, a.k AS x, b.k AS y, greatest(0, least(1, list_cosine_similarity(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])))) AS s FROM c a JOIN c b ON a.unit = b.unit AND a.k < b.k), q AS (SELECT unit, greatest(quantile_cont(s, 0.85), 0.6) AS band FROM p GROUP BY 1), "
+    "l AS (SELECT x, y FROM p JOIN q USING (unit) WHERE s >= band), u AS (SELECT x AS a, y AS b FROM l UNION SELECT y, x FROM l), r AS (SELECT k AS node, k AS seen FROM c UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a) SELECT node AS card_id, min(seen) AS cluster FROM r GROUP BY 1"
+)
 def entity_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of one label merged inside blocks of a hundred ids, the units of this table."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 100).alias("unit"), F.col("vec_id").cast("string").alias("chunk"), "embedding")
-    return knowledge.merge_mentions(e, "unit", "vec_id", "label", "chunk", "embedding")
+    """Cards of one document merged by their vectors."""
+    e = F.col("embedding")
+    sound = table(spark, d, "doc_cards").where((F.size(e) == 64) & ~F.exists(e, lambda x: F.isnan(x)) & F.exists(e, lambda x: x != 0))
+    cards = sound.groupBy("doc_id", "card_id").agg(F.min("embedding").alias("embedding")).select("doc_id", "card_id", F.lit("card").alias("kind"), F.lit(None).cast("string").alias("chunk"), "embedding")
+    return knowledge.merge_mentions(cards, "doc_id", "card_id", "kind", "chunk", "embedding")

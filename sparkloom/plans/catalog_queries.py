@@ -141,17 +141,17 @@ _VALID = "len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: a
 
 
 @query(
-    "WITH b AS (SELECT card_id, row_number() OVER (ORDER BY score DESC, card_id) AS rank, 0 AS l FROM (" + _bm25_sql(["inventory", "delayed"], 30).replace("doc_id", "card_id").replace("FROM documents", "FROM (SELECT card_id, any_value(text) AS text FROM doc_cards GROUP BY 1)") + ")), "
-    "c AS (SELECT card_id, any_value(embedding) AS e FROM doc_cards WHERE " + _VALID + " GROUP BY 1), v AS (SELECT card_id, row_number() OVER (ORDER BY s DESC, card_id) AS rank, 1 AS l FROM (SELECT c.card_id, list_cosine_similarity(CAST(c.e AS DOUBLE[]), CAST(q.e AS DOUBLE[])) AS s FROM c, (SELECT * FROM c ORDER BY card_id LIMIT 1) q WHERE c.card_id <> q.card_id) ORDER BY s DESC, card_id LIMIT 30), "
+    "WITH b AS (SELECT card_id, row_number() OVER (ORDER BY score DESC, card_id) AS rank, 0 AS l FROM (" + _bm25_sql(["inventory", "delayed"], 30).replace("doc_id", "card_id").replace("FROM documents", "FROM (SELECT card_id, min(text) AS text FROM doc_cards GROUP BY 1)") + ")), "
+    "c AS (SELECT card_id, min(embedding) AS e FROM doc_cards WHERE " + _VALID + " GROUP BY 1), v AS (SELECT card_id, row_number() OVER (ORDER BY s DESC, card_id) AS rank, 1 AS l FROM (SELECT c.card_id, list_cosine_similarity(CAST(c.e AS DOUBLE[]), CAST(q.e AS DOUBLE[])) AS s FROM c, (SELECT * FROM c ORDER BY card_id LIMIT 1) q WHERE c.card_id <> q.card_id) ORDER BY s DESC, card_id LIMIT 30), "
     "u AS (SELECT * FROM b UNION ALL SELECT * FROM v) SELECT card_id, round(sum(1.0 / (60 + rank)), 10) AS score FROM u GROUP BY 1 ORDER BY score DESC, min((l, rank)), card_id LIMIT 20"
 )
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     """Word and vector search over cards, fused by rank."""
     cards = table(spark, d, "doc_cards").select("card_id", "text", "embedding")
-    texts = cards.groupBy("card_id").agg(F.first("text").alias("text"))
+    texts = cards.groupBy("card_id").agg(F.min("text").alias("text"))
     words = search.bm25(texts, ["inventory", "delayed"], "card_id", "text", 30)
     e = F.col("embedding")
-    vectors = cards.where((F.size(e) == 64) & ~F.exists(e, lambda x: F.isnan(x)) & F.exists(e, lambda x: x != 0)).groupBy("card_id").agg(F.first("embedding").alias("embedding"))
+    vectors = cards.where((F.size(e) == 64) & ~F.exists(e, lambda x: F.isnan(x)) & F.exists(e, lambda x: x != 0)).groupBy("card_id").agg(F.min("embedding").alias("embedding"))
     near = search.exact_topk(vectors, vectors.orderBy("card_id").limit(1), "card_id", "embedding", 30).select("card_id", "score")
     both = [durable(x) for x in (words, near)]  # two top-k lists
     return search.rrf(both, "card_id")

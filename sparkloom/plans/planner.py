@@ -76,7 +76,7 @@ def plan(question: str, tables: dict[str, DataFrame], roles: list[Column], edges
     # a label that repeats the aggregation's word ("total price") is as likely by its other words; then the label with more words in the question, then the shorter
     asks = lambda c: (_likeness(named, c.label), _hits(named, c.label), _likeness(words, c.label), -len(c.label), c.table, c.name)
     measure = max(measures, key=asks, default=None) if agg not in ("RAW", "COUNT") else None
-    if agg not in ("RAW", "COUNT") and (measure is None or _likeness(words, measure.label) == 0):
+    if agg not in ("RAW", "COUNT") and (measure is None or (_likeness(named, measure.label) == 0 and _likeness(words, measure.label) < 1)):
         raise ValueError("no measure the question names")
     dims = []
     for label in intent.labels:

@@ -7,12 +7,13 @@ import csv
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkloom.operators.cleaning import clean_table, unique_names
 from sparkloom.plans.guards import statement_class
 
 DELIMITERS = (",", ";", "\t", "|", " ")
+LINE_END = re.compile(r"\r\n|\r|\n")
 
 
 def detect_encoding(head: bytes) -> str:
@@ -57,34 +58,60 @@ def find_header(rows: list[list[str]]) -> int:
     return max(range(min(15, len(rows))), key=lambda i: (score(rows[i]), -i)) if rows else 0
 
 
+def read_head(spark: SparkSession, path: str, n_bytes: int = 256 * 1024) -> bytes:
+    """The first bytes of a file; of a folder or pattern those of its largest file. Only these bytes are read."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = list(fs.globStatus(at) or [])
+    files = [f for s in found for f in ([s] if s.isFile() else list(fs.listStatus(s.getPath()))) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    if not files:
+        raise FileNotFoundError(path)
+    largest = max(files, key=lambda f: (f.getLen(), f.getPath().toString()))
+    stream = fs.open(largest.getPath())
+    try:
+        return bytes(stream.readNBytes(n_bytes))
+    finally:
+        stream.close()
+
+
 def probe(spark: SparkSession, path: str, n_bytes: int = 256 * 1024) -> dict:
-    """Encoding, delimiter, header row and names, from the head of the file."""
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.expr(f"substring(content, 1, {n_bytes})").alias("c")).orderBy(F.length("c").desc()).first().c)
+    """Encoding, delimiter, header line (counted from 0 over all lines, blank ones too) and names, from the head of the file."""
+    head = read_head(spark, path, n_bytes)
     encoding = detect_encoding(head)
-    text = head.decode(encoding, "replace").lstrip("﻿")
+    text = head.decode(encoding, "replace").lstrip("\ufeff")
     d = detect_delimiter(text)
-    rows = list(csv.reader(text.splitlines()[:40], delimiter=d))
+    rows = [next(csv.reader([x], delimiter=d), []) for x in LINE_END.split(text)[:40]]  # as the reader cuts them
     at = find_header(rows)
     return {"encoding": encoding, "delimiter": d, "header_row": at, "names": unique_names(rows[at]) if rows else []}
 
 
+def _decoded(encoding: str) -> Column:
+    """The text of a line read as raw bytes."""
+    raw = F.col("value").cast("binary")
+    if encoding == "UTF-8":
+        return F.col("value")
+    if encoding == "windows-1252":  # ISO 8859-1 but for the places 80 to 9F
+        places = bytes(range(0x80, 0xA0))
+        return F.translate(F.decode(raw, "ISO-8859-1"), places.decode("latin-1"), places.decode("cp1252", "replace"))
+    return F.regexp_replace(F.decode(raw, encoding), "\r$", "")
+
+
 def read_text_table(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited file as text columns: layout probed, rows up to the header left out, broken rows kept in the columns they have."""
+    """One delimited file as text columns: layout probed, the lines up to the header left out, broken rows kept in the columns they have.
+
+    Lines go by their place in the file, never by what they hold: a row equal to a title or with empty cells stays. Blank lines are no rows.
+    """
     p = probe(spark, path)
     schema = ", ".join(f"`{n}` string" for n in p["names"])
-    df = spark.read.schema(schema).option("sep", p["delimiter"]).option("encoding", p["encoding"]).option("mode", "PERMISSIVE").option("multiLine", "false").csv(path)
-    first = df.columns[0]
-    # rows above the header: those of the file's first lines that are the header or stand before it
-    head = spark.read.option("encoding", p["encoding"]).text(path).limit(p["header_row"] + 1).collect()
-    skip = [next(csv.reader([r.value.lstrip("﻿")], delimiter=p["delimiter"]), [""]) for r in head]
-    for r in skip:
-        key = r[0].strip() if r else ""
-        second = r[1].strip() if len(r) > 1 else None
-        same = F.coalesce(F.trim(F.col(f"`{first}`")), F.lit("")) == key
-        if second is not None and len(df.columns) > 1:
-            same = same & (F.coalesce(F.trim(F.col(f"`{df.columns[1]}`")), F.lit("")) == second)
-        df = df.where(~same)
-    return df
+    reader = spark.read.option("encoding", p["encoding"])
+    if p["encoding"].startswith("UTF-16"):
+        reader = reader.option("lineSep", "\n")
+    # a file's first block is the first of its partition, so there the row's number in the partition is its line
+    lines = reader.text(path).select("value", F.col("_metadata.file_block_start").alias("_from"), F.expr("monotonically_increasing_id() & 8589934591").alias("_line"))
+    line = _decoded(p["encoding"])
+    rows = lines.where((F.col("_from") > 0) | (F.col("_line") > p["header_row"])).select(line.alias("value")).where("trim(value) <> ''")
+    return rows.select(F.from_csv("value", F.lit(schema), {"sep": p["delimiter"], "mode": "PERMISSIVE"}).alias("r")).select("r.*")
 
 
 def ingest_text(spark: SparkSession, path: str, target: str, dedup: bool = True) -> DataFrame:

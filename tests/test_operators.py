@@ -48,7 +48,7 @@ def test_profiles_of_empty_and_odd_tables(spark):
 def test_join_discovery(spark):
     ids = [f"C{i:04}" for i in range(300)]
     tables = {"master": spark.createDataFrame([(i, "x") for i in ids], "customer_id string, kind string"), "sales": spark.createDataFrame([(ids[i % 200].lower() + " ", "x") for i in range(900)] + [(None, "x")], "customer_id string, kind string")}
-    v = relate.column_values(tables, [("master", "customer_id"), ("sales", "customer_id"), ("master", "kind"), ("sales", "kind")])
+    v = relate.hashed_values(relate.column_values(tables, [("master", "customer_id"), ("sales", "customer_id"), ("master", "kind"), ("sales", "kind")]))
     reg = {(r.file_name, r.column_name): r for r in relate.key_registry(v).collect()}
     assert reg["master", "customer_id"].key_kind == "pk" and reg["sales", "customer_id"].key_kind == "fk" and reg["sales", "customer_id"].cardinality == 200
     e = relate.edges(relate.fingerprint_overlap(v), relate.key_registry(v)).collect()
@@ -146,3 +146,9 @@ def test_reconcile(spark):
     f = spark.createDataFrame([("2024 ", "T", 2.0, 50.0)], "period string, unit string, rate double, volume double")
     t = spark.createDataFrame([("2024", "t", 104.0), ("2024", "t", 120.0)], "period string, unit string, total double")
     assert sorted(r.ties for r in relate.reconcile_grain(f, t).collect()) == [False, True]
+
+
+def test_terms_with_signs_are_no_patterns(spark):
+    df = spark.createDataFrame([(1, "We write C++ and a.b here"), (2, "axb c"), (3, "C")], "id int, text string")
+    assert [r.id for r in search.bm25(df, ["c++"], "id", "text").collect()] == [1]
+    assert [r.id for r in search.bm25(df, ["A.B", ""], "id", "text").collect()] == [1]

@@ -68,3 +68,14 @@ def test_intent():
     assert planner.parse_intent("list all vendors", T).aggregations == ["RAW"]
     with pytest.raises(ValueError):
         planner.plan("why did sales fall", {}, [], [], T)
+
+
+def test_the_measure_is_the_label_the_question_names(spark):
+    t = spark.createDataFrame([("x", 1.0, 10.0, 100.0)], "kind string, total_price double, extended_price double, weight double")
+    roles = [planner.Column("t", "total_price", "additive_measure", "total price"), planner.Column("t", "extended_price", "additive_measure", "extended price"), planner.Column("t", "weight", "additive_measure", "weight"), planner.Column("t", "kind", "attribute", "kind")]
+    ask = lambda q: planner.plan(q, {"t": t}, r, [], T).first()["value"]
+    for r in (roles, roles[::-1]):
+        assert ask("total extended price by kind") == 10.0 and ask("total price by kind") == 1.0 and ask("sum of total price by kind") == 1.0
+        assert ask("total weight by kind") == 100.0 and ask("average extended price by kind") == 10.0 and ask("highest total price by kind") == 1.0
+        with pytest.raises(ValueError):
+            ask("total height by kind")
