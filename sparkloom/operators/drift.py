@@ -4,20 +4,36 @@ Method: rows are loaded as path-value maps with their raw JSON types; path-type
 months are compared in order, columns are followed through renames, and the rows are projected to the table's final columns
 and types with failed casts reported.
 
+A column is followed by its values and its name. What the values of few rows leave open is decided by what the other tables say:
+a first pass counts how often each name that went met each name that came, and how often its values proved it the same; the
+second takes pairs proven in several tables and in most of their meetings as the same also where the values alone do not.
+
+The change of a type is one of the declared types, which hold until another is declared; what the raw types say of the same
+column is reported beside it by ``observed_types``.
+
 Defined results. A file's newest metadata row that names columns counts; a month with several files takes the one read last. Column
 names are compared in lower case without outer blanks; of equal names in one file the first counts. A column without a type
 keeps its last known type; a first known type is no change. A file whose name has no date, a null record or broken JSON gives
-no row. Repeated rows count once. Empty tables give empty results. Extra columns are ignored.
+no row. Repeated rows count once. Empty tables give empty results. Extra columns are ignored. Objects are opened at any depth,
+arrays are values.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 import math
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparkloom import policy
+from sparkloom.session import durable
+
 NAME = r"^(.*?)[_\- ]?((?:19|20)\d{2})[_\-]?(0[1-9]|1[0-2])(?:[_\-][A-Za-z]+)?(?:\.[A-Za-z0-9]+)?$"
 FAMILIES = ("text", "whole", "fraction", "date", "boolean")
 # Words that say how a value is kept, not what it means; and letters of one name that stand for another word.
@@ -65,21 +81,63 @@ def monthly_columns(files: DataFrame, metadata: DataFrame) -> DataFrame:
     return month.select("container_id", "table_name", "period_key", "file_id", "position", name.alias("column_name"), family_of(F.col("c.type")).alias("family")).where("column_name <> ''").groupBy("container_id", "table_name", "period_key", "file_id", "column_name").agg(F.min(F.struct("position", "family")).alias("x")).select("container_id", "table_name", "period_key", "file_id", "column_name", "x.position", "x.family")
 
 
-def path_values(rows: DataFrame, levels: int = 3) -> DataFrame:
-    """file_id, row_no, path, kind (raw JSON type), value (as text): one row per leaf; objects deeper than ``levels`` stay JSON text."""
-    df = rows.where("file_id is not null").select("file_id", "row_no", F.expr("try_parse_json(record)").alias("v")).where("v is not null").select("file_id", "row_no", F.explode(_entries()).alias("path", "v"))
-    for _ in range(levels - 1):
-        # one pass: a leaf comes through as it is, an object as its entries
-        inner = F.when(F.expr("schema_of_variant(v)").startswith("OBJECT"), _entries())
-        df = df.select("file_id", "row_no", "path", "v", F.explode_outer(inner).alias("k", "w")).select("file_id", "row_no", F.when(F.col("k").isNull(), F.col("path")).otherwise(F.concat_ws(".", "path", "k")).alias("path"), F.when(F.col("k").isNull(), F.col("v")).otherwise(F.col("w")).alias("v"))
-    out = df
-    kind = F.expr("schema_of_variant(v)")
-    family = F.when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "whole").when(kind.rlike("DECIMAL|DOUBLE|FLOAT"), "fraction").when(kind == "STRING", "text").otherwise("nested")
-    return out.select("file_id", "row_no", F.lower(F.trim("path")).alias("path"), family.alias("kind"), F.expr("cast(v as string)").alias("value"))
+class _Number(str):
+    """A JSON number as it is written."""
+
+
+class _Whole(_Number):
+    pass
+
 
+def _no_number(s: str):
+    raise ValueError(s)
 
-def _entries() -> Column:
-    return F.expr("try_variant_get(v, '$', 'map<string,variant>')")
+
+def leaves_of(record: str | None) -> list[tuple[str, str, str | None]] | None:
+    """(path, raw JSON type, value as text) of each leaf of an object, objects opened at any depth; None where there is no object."""
+    try:
+        top = json.loads(record, parse_float=_Number, parse_int=_Whole, parse_constant=_no_number) if record else None
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(top, dict):
+        return None
+    out, todo = [], [("", top)]
+    while todo:
+        before, obj = todo.pop()
+        for k, v in obj.items():
+            path = before + k.strip().lower()
+            if isinstance(v, _Number):
+                out.append((path, "whole" if isinstance(v, _Whole) else "fraction", str(v)))
+            elif isinstance(v, str):
+                out.append((path, "text", v))
+            elif v is None:
+                out.append((path, "null", None))
+            elif isinstance(v, bool):
+                out.append((path, "boolean", "true" if v else "false"))
+            elif isinstance(v, dict):
+                todo.append((path + ".", v))
+            else:
+                out.append((path, "nested", json.dumps(v, ensure_ascii=False)))
+    return out
+
+
+def path_values(rows: DataFrame) -> DataFrame:
+    """file_id, path, kind (raw JSON type), value (as text): one row per leaf of a distinct record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            back, path, kind, value = [], [], [], []
+            for i, record in enumerate(batch.column(1).to_pylist()):
+                for p, k, v in leaves_of(record) or ():
+                    back.append(i)
+                    path.append(p)
+                    kind.append(k)
+                    value.append(v)
+            text = pa.string()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(back, pa.int64())), pa.array(path, text), pa.array(kind, text), pa.array(value, text)], names=["file_id", "path", "kind", "value"])
+
+    distinct = rows.where("file_id is not null and record is not null").select("file_id", "record", "row_no").distinct()
+    return distinct.select("file_id", "record").mapInArrow(run, "file_id string, path string, kind string, value string")
 
 
 def date_value(c: Column) -> Column:
@@ -95,21 +153,32 @@ def number_value(c: Column) -> Column:
     return F.when(comma, F.regexp_replace(F.regexp_replace(plain, r"\.", ""), ",", ".")).otherwise(F.regexp_replace(plain, ",", "")).try_cast("double")
 
 
-def path_statistics(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per month of a table and path: how often each raw type occurs, the commonest shape and values, the middle number and day."""
+def named_files(files: DataFrame) -> DataFrame:
+    """file_id, container_id, table_name, period_key of the files whose name has a date."""
     table, period = table_of(F.col("name"))
-    named = files.where("id is not null").select(F.col("id").alias("file_id"), "container_id", table.alias("table_name"), period.alias("period_key")).where("table_name is not null").distinct()
-    values = path_values(rows.select("file_id", "row_no", "record").distinct())
-    mask = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring("value", 1, 24), "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "9")
-    start = F.to_date(F.concat_ws("_", "period_key", F.lit("01")), "yyyy_MM_dd")
-    day = F.when(F.col("kind").isin("text", "whole"), F.datediff(date_value(F.col("value")), start))
-    number = F.when(F.col("kind").isin("whole", "fraction", "text"), number_value(F.col("value")))
+    return files.where("id is not null").select(F.col("id").alias("file_id"), "container_id", table.alias("table_name"), period.alias("period_key")).where("table_name is not null").distinct()
+
+
+def path_statistics(rows: DataFrame) -> DataFrame:
+    """Per file and path: how often each raw type occurs, the commonest shape and beginning, the middle, least and greatest number and day, and their sums.
+
+    Counts and sums are combined before the shuffle, so a file of any size is no hot group.
+    """
+    values = path_values(rows)
+    mask = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "9")
+    # a pattern of dates is tried only where the value's beginning can be one
+    could = F.col("kind").isin("text", "whole") & F.substring("value", 1, 3).rlike(r"^\d\d[\d./-]")
+    day = F.when(could, F.unix_date(date_value(F.col("value"))))
+    number = F.when(F.col("kind").isin("whole", "fraction"), F.col("value").try_cast("double")).when(F.col("kind") == "text", F.when(F.col("value").rlike(r"\d"), number_value(F.col("value"))))
     lead = F.when(F.col("kind") == "text", F.regexp_extract("value", r"^\D{1,6}", 0))
-    full = values.join(named, "file_id").withColumn("mask", mask).withColumn("day", day).withColumn("number", number).withColumn("lead", lead)
+    full = values.select("file_id", "path", "kind", mask.alias("mask"), day.cast("double").alias("day"), number.alias("number"), lead.alias("lead"))
+    size = F.when(F.col("number") != 0, F.log10(F.abs("number")))
     count = lambda k: F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(f"n_{k}")
-    return full.groupBy("container_id", "table_name", "period_key", "path").agg(
+    sums = lambda c, n: [F.count(c).alias(f"{n}0"), F.sum(c).alias(f"{n}1"), F.sum(c * c).alias(f"{n}2")]
+    return full.groupBy("file_id", "path").agg(
         count("text"), count("whole"), count("fraction"), count("boolean"), F.mode("mask", True).alias("mask"), F.mode("lead", True).alias("lead"),
         F.percentile_approx("number", 0.5).alias("number"), F.min("number").alias("lo"), F.max("number").alias("hi"), F.percentile_approx("day", 0.5).alias("day"),
+        *sums(size, "size"), *sums(F.col("day"), "day"), *sums(F.col("number"), "num"),
     )
 
 
@@ -143,24 +212,53 @@ def name_likeness(a: str, b: str) -> float:
     return 0.5 * len(ga & gb) / max(1, len(ga | gb))
 
 
+EPOCH = dt.date(1970, 1, 1)
+SERIAL_ZERO = (dt.date.fromisoformat(policy.SERIAL_EPOCH) - EPOCH).days
+
+
+def _moments(s: list[tuple[float, float, float]]) -> tuple[float, float, float]:
+    """Count, mean and variance of merged (count, sum, sum of squares)."""
+    n, t, q = (sum(x[i] for x in s) for i in range(3))
+    return (n, t / n, max(0.0, q / n - (t / n) ** 2)) if n else (0.0, 0.0, 0.0)
+
+
+def _apart(x: tuple, y: tuple, least: float) -> float:
+    """How many standard errors two means are apart; least: the least deviation one value has."""
+    spread = (x[0] * x[2] + y[0] * y[2]) / (x[0] + y[0])
+    return abs(x[1] - y[1]) / math.sqrt(max(spread, least**2) * (1 / x[0] + 1 / y[0]))
+
+
+def in_month(stat: dict, period: str) -> dict:
+    """A file's statistics of a column with its days counted from the month's beginning; whole numbers that are a date's serial near the month are days too."""
+    start = (dt.date(int(period[:4]), int(period[5:7]), 1) - EPOCH).days
+    n, t, q = stat["day0"], stat["day1"] or 0.0, stat["day2"] or 0.0
+    day = stat["day"]
+    if not n and stat["n_whole"] and policy.SERIAL_MIN <= (stat["lo"] or 0) and (stat["hi"] or 0) <= policy.SERIAL_MAX and abs(stat["number"] + SERIAL_ZERO - start) <= 400:
+        n, t, q, day = stat["num0"], stat["num1"] + stat["num0"] * SERIAL_ZERO, stat["num2"] + 2 * SERIAL_ZERO * stat["num1"] + stat["num0"] * SERIAL_ZERO**2, stat["number"] + SERIAL_ZERO
+    gone = lambda v: v is None or v != v
+    return stat | {"day": None if not n or gone(day) else day - start, "days": (n, t - n * start, q - 2 * start * t + n * start**2), "sizes": (stat["size0"], stat["size1"] or 0.0, stat["size2"] or 0.0), **{k: None if gone(stat[k]) else stat[k] for k in ("number", "lo", "hi")}}
+
+
 def data_likeness(a: list[dict], b: list[dict]) -> float | None:
-    """How alike the values of two columns are over the months of each; None without values."""
+    """How alike the values of two columns are over the files of each; None without values.
+
+    Middle values near each other are alike; so are means few standard errors apart, which few rows allow to be far.
+    """
     if not a or not b:
         return None
 
     def total(s: list[dict]) -> dict:
         k = {f: sum(x[f"n_{f}"] for x in s) for f in ("text", "whole", "fraction", "boolean")}
-        nums = sorted(x["number"] for x in s if x["number"] is not None and not math.isnan(x["number"]))
-        days = sorted(x["day"] for x in s if x["day"] is not None and not math.isnan(x["day"]))
-        lows = [x["lo"] for x in s if x["lo"] is not None and not math.isnan(x["lo"])]
-        highs = [x["hi"] for x in s if x["hi"] is not None and not math.isnan(x["hi"])]
-        masks = [x["mask"] for x in s if isinstance(x["mask"], str)]
-        leads = [x["lead"] for x in s if isinstance(x["lead"], str)]
-        return k | {"number": nums[len(nums) // 2] if nums else None, "day": days[len(days) // 2] if days else None, "mask": max(set(masks), key=masks.count) if masks else "", "lead": max(set(leads), key=leads.count) if leads else "", "lo": min(lows, default=None), "hi": max(highs, default=None)}
+        nums = sorted(x["number"] for x in s if x["number"] is not None)
+        days = sorted(x["day"] for x in s if x["day"] is not None)
+        lows, highs = [x["lo"] for x in s if x["lo"] is not None], [x["hi"] for x in s if x["hi"] is not None]
+        masks, leads = [x["mask"] for x in s if isinstance(x["mask"], str)], [x["lead"] for x in s if isinstance(x["lead"], str)]
+        return k | {"number": nums[len(nums) // 2] if nums else None, "day": days[len(days) // 2] if days else None, "mask": max(set(masks), key=masks.count) if masks else "", "lead": max(set(leads), key=leads.count) if leads else "", "lo": min(lows, default=None), "hi": max(highs, default=None), "days": _moments([x["days"] for x in s]), "sizes": _moments([x["sizes"] for x in s])}
 
+    alike = lambda z: max(0.0, 1 - z / 4)
     x, y = total(a), total(b)
     if x["day"] is not None and y["day"] is not None:
-        return max(0.0, 1 - abs(x["day"] - y["day"]) / 30)
+        return max(0.0, 1 - abs(x["day"] - y["day"]) / 30, alike(_apart(x["days"], y["days"], 3.0)) if min(x["days"][0], y["days"][0]) > 2 else 0.0)
     if (x["day"] is None) != (y["day"] is None):
         return 0.1
     main = lambda t: "boolean" if t["boolean"] else "number" if t["number"] is not None and t["whole"] + t["fraction"] + t["text"] and not re.search("[A-Za-z]", t["mask"]) else "text"
@@ -176,6 +274,8 @@ def data_likeness(a: list[dict], b: list[dict]) -> float | None:
         wide, narrow = sorted((x, y), key=spread, reverse=True)
         if wide["lo"] * 0.7 <= narrow["lo"] and narrow["hi"] <= wide["hi"] * 1.4 and p * q > 0:
             near = max(near, 0.75)
+        if min(x["sizes"][0], y["sizes"][0]) > 2 and p * q > 0:
+            near = max(near, min(0.65, alike(_apart(x["sizes"], y["sizes"], 0.15))))
         if spread(narrow) < 0.01 < 0.2 < spread(wide) and sum(k["n_whole"] for k in (*a, *b)) > 4:
             near = 0.0  # a year beside a quantity
         return near * (1 if whole else 0.8)
@@ -186,19 +286,20 @@ def data_likeness(a: list[dict], b: list[dict]) -> float | None:
     return 0.2
 
 
-def follow_table(months: dict[str, dict[str, str | None]], stats: dict[tuple[str, str], dict]) -> tuple[list[tuple], list[tuple]]:
-    """Changes (period, kind, before, after) and columns (period, name, logical column, known family) of one table's months in order.
+def follow_table(months: dict[str, dict[str, str | None]], stats: dict[tuple[str, str], list[dict]], proven: frozenset = frozenset()) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Changes (period, kind, before, after), columns (period, name, logical column, known family) of one table's months in order, and the meetings (name that went, name that came, whether taken as one).
 
-    months: period to column to declared family. Removed and added columns of one month are matched best first.
+    months: period to column to declared family; stats: period and column to the statistics of the month's files. Removed and added columns
+    of one month are matched best first; a pair of names in ``proven`` needs no further proof.
     """
-    changes, placed = [], []
+    changes, placed, met = [], [], []
     before: dict[str, int] = {}
     family: dict[int, str | None] = {}
     last_name: dict[int, str] = {}
     by_name: dict[str, int] = {}
     history: dict[str, list[dict]] = {}
-    for (p, c), s in sorted(stats.items()):
-        history.setdefault(c, []).append(s)
+    for (p, c), s in sorted(stats.items(), key=lambda x: x[0]):
+        history.setdefault(c, []).extend(in_month(x, p) for x in s)
     n = 0
     for k, p in enumerate(sorted(months)):
         now = months[p]
@@ -220,12 +321,15 @@ def follow_table(months: dict[str, dict[str, str | None]], stats: dict[tuple[str
                         ok = (d >= 0.5 and m >= 0.3) or d >= (0.7 if same else 0.85) or (m >= 0.7 and d >= 0.1 and same)
                         if d == 0.6 and m < 0.3:  # truth values say nothing by themselves
                             ok = False
+                    if (a, b) in proven and (same or d is not None and d > 0.1):
+                        ok, score = True, score + 0.5
                     if ok:
                         scored.append((-score, a, b))
             pair: dict[str, str] = {}
             for _, a, b in sorted(scored):
                 if a not in pair and b not in pair.values():
                     pair[a] = b
+            met += [(a, b, pair.get(a) == b) for a in gone for b in come]
             for a, b in pair.items():
                 ids[b] = before[a]
                 changes.append((p, "renamed", a, b))
@@ -246,32 +350,56 @@ def follow_table(months: dict[str, dict[str, str | None]], stats: dict[tuple[str
             by_name[c] = i
             placed.append((p, c, i))
         before = {c: ids[c] for c in now}
-    return changes, [(p, c, last_name[i], family[i]) for p, c, i in placed]
-
-
-def _follow(cols: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
-    """follow_table for each table of a bucket."""
-    tables: dict[tuple, dict[str, dict[str, str | None]]] = {}
-    cols = cols.sort_values(["container_id", "table_name", "period_key", "position"], kind="stable")
-    for c, t, p, name, f in zip(cols["container_id"], cols["table_name"], cols["period_key"], cols["column_name"], cols["family"]):
-        tables.setdefault((c, t), {}).setdefault(p, {})[name] = f if isinstance(f, str) else None
-    found: dict[tuple, dict[tuple[str, str], dict]] = {}
-    for r in stats.to_dict("records"):
-        found.setdefault((r["container_id"], r["table_name"]), {})[r["period_key"], r["path"]] = r
-    rows = []
-    for key, months in tables.items():
-        changes, placed = follow_table(months, found.get(key, {}))
-        rows += [(*key, "change", *c, None, None) for c in changes] + [(*key, "column", p, None, None, c, logical, f) for p, c, logical, f in placed]
-    return pd.DataFrame(rows, columns=["container_id", "table_name", "row_kind", "period_key", "change_kind", "column_before", "column_after", "logical_column", "family"])
+    return changes, [(p, c, last_name[i], family[i]) for p, c, i in placed], met
+
+
+def _follow(only_met: bool):
+    """follow_table for each table of a bucket; rows without a container are proven pairs of names."""
+
+    def run(cols: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
+        tables: dict[tuple, dict[str, dict[str, str | None]]] = {}
+        given = cols["container_id"].isna()
+        proven = frozenset(zip(cols["column_name"][given], cols["family"][given]))
+        cols = cols[~given].sort_values(["container_id", "table_name", "period_key", "position"], kind="stable")
+        for c, t, p, name, f in zip(cols["container_id"], cols["table_name"], cols["period_key"], cols["column_name"], cols["family"]):
+            tables.setdefault((c, t), {}).setdefault(p, {})[name] = f if isinstance(f, str) else None
+        found: dict[tuple, dict[tuple[str, str], list[dict]]] = {}
+        for r in stats.sort_values("file_id", kind="stable").to_dict("records"):
+            found.setdefault((r["container_id"], r["table_name"]), {}).setdefault((r["period_key"], r["path"]), []).append(r)
+        rows = []
+        for key, months in tables.items():
+            changes, placed, met = follow_table(months, found.get(key, {}), proven)
+            if only_met:
+                rows += [(*key, "met", None, "same" if same else "other", a, b, None, None) for a, b, same in met]
+            else:
+                rows += [(*key, "change", *c, None, None) for c in changes] + [(*key, "column", p, None, None, c, logical, f) for p, c, logical, f in placed]
+        return pd.DataFrame(rows, columns=["container_id", "table_name", "row_kind", "period_key", "change_kind", "column_before", "column_after", "logical_column", "family"])
+
+    return run
+
+
+def proven_pairs(met: DataFrame, min_tables: int = 3, min_share: float = 0.6) -> DataFrame:
+    """a, b: names of which the one's values went on under the other in at least min_tables tables and min_share of the tables where the one went as the other came. Both ways of a pair count together."""
+    pair = met.select("container_id", "table_name", F.least("column_before", "column_after").alias("a"), F.greatest("column_before", "column_after").alias("b"), (F.col("change_kind") == "same").cast("int").alias("same"))
+    per_table = pair.groupBy("a", "b", "container_id", "table_name").agg(F.max("same").alias("same"))
+    kept = per_table.groupBy("a", "b").agg(F.sum("same").alias("n"), F.count(F.lit(1)).alias("of")).where((F.col("n") >= min_tables) & (F.col("n") >= min_share * F.col("of")))
+    return kept.select("a", "b").unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def follow(files: DataFrame, metadata: DataFrame, rows: DataFrame, bucket_files: int = 2000) -> DataFrame:
-    """Changes and column places of all tables. Tables are hashed into buckets of about ``bucket_files`` files; a table has one row per month and column there, whatever its rows."""
+    """Changes and column places of all tables. Tables are hashed into buckets of about ``bucket_files`` files; a table has one row per month and column and one per file and path there, whatever its rows."""
     n = max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // bucket_files))
     bucket = F.pmod(F.xxhash64("container_id", "table_name"), F.lit(n)).alias("bucket")
-    cols = monthly_columns(files, metadata).where("container_id is not null").select(bucket, "container_id", "table_name", "period_key", "column_name", "position", "family").groupBy("bucket")
-    stats = path_statistics(files, rows).where("container_id is not null").select(bucket, "*").groupBy("bucket")
-    return cols.cogroup(stats).applyInPandas(_follow, "container_id string, table_name string, " + OUT)
+    cols = durable(monthly_columns(files, metadata).where("container_id is not null").select(bucket, "container_id", "table_name", "period_key", "column_name", "position", "family"))
+    stats = durable(path_statistics(rows).join(named_files(files).where("container_id is not null"), "file_id").select(bucket, "*")).groupBy("bucket")
+    schema = "container_id string, table_name string, " + OUT
+    met = cols.groupBy("bucket").cogroup(stats).applyInPandas(_follow(True), schema)
+    pairs = durable(proven_pairs(met))
+    # each bucket gets the proven pairs of which it has both names
+    has = cols.select("bucket", F.col("column_name").alias("a")).distinct()
+    given = pairs.join(has, "a").join(has.select("bucket", F.col("a").alias("b")), ["bucket", "b"]).select("bucket", F.col("a").alias("column_name"), F.col("b").alias("family"))
+    none = {c: F.lit(None).cast(dict(cols.dtypes)[c]) for c in ("container_id", "table_name", "period_key", "position")}
+    return cols.unionByName(given.withColumns(none)).groupBy("bucket").cogroup(stats).applyInPandas(_follow(False), schema)
 
 
 def changes_of(followed: DataFrame) -> DataFrame:
@@ -283,30 +411,129 @@ def columns_of(followed: DataFrame) -> DataFrame:
     return followed.where("row_kind = 'column'").select("container_id", "table_name", "period_key", F.col("column_after").alias("column_name"), "logical_column", "family")
 
 
-def cast_value(value: Column, family: Column) -> Column:
-    """The value in the family's one written form; null where it cannot be read so."""
-    number = number_value(value)
-    low = F.lower(F.trim(value))
-    return (
-        F.when(family == "whole", F.when(number == F.floor(number), number.cast("bigint").cast("string")))
-        .when(family == "fraction", number.cast("string")).when(family == "date", date_value(value).cast("string"))
-        .when(family == "boolean", F.when(low.isin("true", "t", "yes", "y", "1", "x"), "true").when(low.isin("false", "f", "no", "n", "0", ""), "false"))
-        .otherwise(value)
-    )
+TYPED = "family string, text string, whole bigint, fraction double, date date, truth boolean"
+TRUE_WORDS, FALSE_WORDS = ("true", "t", "yes", "y", "1", "x"), ("false", "f", "no", "n", "0")
+_DATES = ((re.compile(r"(\d{4})[-/](\d{2})[-/](\d{2})"), "ymd"), (re.compile(r"(\d{2})[./](\d{2})[./](\d{4})"), "dmy"), (re.compile(r"((?:19|20)\d{2})([01]\d)([0-3]\d)\Z"), "ymd"))
+_MONTH_NAME = re.compile(r"(\d{2})-([A-Za-z]{3})-(\d{4})")
+_MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
+
+
+def read_number(value: str) -> float | None:
+    """As ``number_value``."""
+    plain = re.sub(r"[\s\u00a0'$€£%]", "", value)
+    plain = plain.replace(".", "").replace(",", ".") if re.fullmatch(r"[+-]?[\d.]*,\d{1,2}", plain) else plain.replace(",", "")
+    return float(plain) if re.fullmatch(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", plain) else None
+
+
+def read_date(value: str) -> dt.date | None:
+    """As ``date_value``; and a spreadsheet's serial."""
+    value = value.strip()
+    try:
+        for rx, order in _DATES:
+            if m := rx.match(value):
+                y, mo, d = m.groups() if order == "ymd" else m.groups()[::-1]
+                return dt.date(int(y), int(mo), int(d))
+        if (m := _MONTH_NAME.match(value)) and m[2].lower() in _MONTHS:
+            return dt.date(int(m[3]), _MONTHS[m[2].lower()], int(m[1]))
+    except ValueError:
+        return None
+    if re.fullmatch(r"\d{4,5}(?:\.0+)?", value) and policy.SERIAL_MIN <= float(value) <= policy.SERIAL_MAX:
+        return EPOCH + dt.timedelta(days=SERIAL_ZERO + int(float(value)))
+    return None
+
+
+@lru_cache(maxsize=100_000)
+def typed_value(value: str | None, family: str | None) -> tuple[object, bool]:
+    """The value in a family's type, and whether it could not be cast; a blank text is no value of any type but text."""
+    if value is None or family in (None, "text"):
+        return value, False
+    if not value.strip():
+        return None, False
+    if family == "date":
+        out: object = read_date(value)
+    elif family == "boolean":
+        low = value.strip().lower()
+        out = True if low in TRUE_WORDS else False if low in FALSE_WORDS else None
+    else:
+        number = read_number(value)
+        out = number if family == "fraction" or number is None else int(number) if number == int(number) and abs(number) < 2**63 else None
+    return out, out is None
+
+
+SLOTS = {"text": 1, "whole": 2, "fraction": 3, "date": 4, "boolean": 5}
+
+
+@lru_cache(maxsize=10_000)
+def _places(text: str | None) -> dict[str, tuple[str, str | None]]:
+    return {x["column_name"]: (x["logical_column"], x.get("family")) for x in json.loads(text or "[]")}
+
+
+def project_record(record: str | None, places: str | None) -> tuple[dict[str, tuple], list[str]] | None:
+    """Logical column to its typed value (family, text, whole, fraction, date, truth), and the columns whose value could not be cast. Of two paths that go to one column the lesser value with a type counts."""
+    leaves = leaves_of(record)
+    if leaves is None:
+        return None
+    where = _places(places)
+    fields: dict[str, tuple] = {}
+    failed: set[str] = set()
+    for path, kind, value in sorted(leaves, key=lambda x: (x[0], x[2] or "")):
+        name, family = where.get(path, (path, None))
+        out, bad = typed_value(value, family) if kind != "null" else (None, False)
+        if bad:
+            failed.add(name)
+        if out is None and name in fields:
+            continue
+        if name not in fields or all(v is None for v in fields[name][1:]):
+            cell: list = [family or "text", None, None, None, None, None]
+            cell[SLOTS[family or "text"]] = out
+            fields[name] = tuple(cell)
+    return dict(sorted(fields.items())), sorted(failed)
 
 
 def unify(files: DataFrame, rows: DataFrame, followed: DataFrame) -> DataFrame:
-    """One row per record: container_id, table_name, period_key, file_id, row_no, fields (logical column to value in the column's final type), failed (logical columns whose value could not be cast)."""
-    table, period = table_of(F.col("name"))
-    named = files.where("id is not null").select(F.col("id").alias("file_id"), "container_id", table.alias("table_name"), period.alias("period_key")).where("table_name is not null").distinct()
-    values = path_values(rows.select("file_id", "row_no", "record").distinct()).join(named, "file_id")
-    places = columns_of(followed)
-    known = values.join(places, (values.path == places.column_name) & (values.container_id == places.container_id) & (values.table_name == places.table_name) & (values.period_key == places.period_key), "left").select(
-        values.container_id, values.table_name, values.period_key, "file_id", "row_no", F.coalesce("logical_column", "path").alias("column_name"), "kind", "value", "family")
-    cast = known.withColumn("out", F.when(F.col("kind") != "null", cast_value(F.col("value"), F.col("family"))))
-    failed = F.when((F.col("kind") != "null") & F.col("value").isNotNull() & F.col("out").isNull(), F.col("column_name"))
-    one = cast.groupBy("container_id", "table_name", "period_key", "file_id", "row_no", "column_name").agg(F.min("out").alias("out"), F.min(failed).alias("failed"))
-    return one.groupBy("container_id", "table_name", "period_key", "file_id", "row_no").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column_name", "out")))).alias("fields"), F.array_sort(F.collect_list("failed")).alias("failed"))
+    """One row per record: container_id, table_name, period_key, file_id, row_no, fields (logical column to its value in the column's final type), failed (logical columns whose value could not be cast).
+
+    A month's places are one text a file, joined to the records, which are then projected each by itself: they are shuffled for their repeats and for this join only.
+    """
+    list_ = F.to_json(F.array_sort(F.collect_list(F.struct("column_name", "logical_column", "family"))))
+    places = columns_of(followed).groupBy("container_id", "table_name", "period_key").agg(list_.alias("places"))  # a month's columns
+    of_file = named_files(files).join(places, ["container_id", "table_name", "period_key"], "left")
+    joined = rows.where("file_id is not null and record is not null").select("file_id", "row_no", "record").distinct().join(of_file, "file_id")
+    fields = pa.map_(pa.string(), pa.struct([("family", pa.string()), ("text", pa.string()), ("whole", pa.int64()), ("fraction", pa.float64()), ("date", pa.date32()), ("truth", pa.bool_())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            back, cells, sizes, failed = [], [], [0], []
+            for i, (record, where) in enumerate(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist())):
+                got = project_record(record, where)
+                if got is not None:
+                    back.append(i)
+                    cells += got[0].items()
+                    sizes.append(len(cells))
+                    failed.append(got[1])
+            kept = pa.array(back, pa.int64())
+            parts = pa.StructArray.from_arrays([pa.array([c[1][k] for c in cells], f.type) for k, f in enumerate(fields.item_type)], fields=list(fields.item_type))
+            maps = pa.MapArray.from_arrays(pa.array(sizes, pa.int32()), pa.array([c[0] for c in cells], pa.string()), parts)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(kept) for k in range(5)), maps, pa.array(failed, pa.list_(pa.string()))], names=["container_id", "table_name", "period_key", "file_id", "row_no", "fields", "failed"])
+
+    kind = dict(rows.dtypes)["row_no"]
+    return joined.select("container_id", "table_name", "period_key", "file_id", "row_no", "record", "places").mapInArrow(run, f"container_id string, table_name string, period_key string, file_id string, row_no {kind}, fields map<string,struct<{', '.join(x.replace(' ', ':') for x in TYPED.split(', '))}>>, failed array<string>")
+
+
+def observed_types(files: DataFrame, metadata: DataFrame, rows: DataFrame) -> DataFrame:
+    """container_id, table_name, period_key, column_name, declared, observed, n_values: what a month's files say of a column's type and what the raw types of their values are.
+
+    observed is the family of all values; whole and fractional numbers together are fraction, other mixtures are mixed. Text that reads as a date throughout is date.
+    """
+    count = lambda k: F.col(f"n_{k}")
+    stats = path_statistics(rows).join(named_files(files), "file_id").groupBy("container_id", "table_name", "period_key", F.col("path").alias("column_name")).agg(*[F.sum(f"n_{k}").alias(f"n_{k}") for k in ("text", "whole", "fraction", "boolean")], F.sum("day0").alias("days"))
+    n = count("text") + count("whole") + count("fraction") + count("boolean")
+    observed = (
+        F.when(n == 0, None).when((count("text") == n) & (F.col("days") == n), "date").when(count("text") == n, "text").when(count("boolean") == n, "boolean")
+        .when(count("whole") == n, "whole").when(count("whole") + count("fraction") == n, "fraction").otherwise("mixed")
+    )
+    declared = monthly_columns(files, metadata).select("container_id", "table_name", "period_key", "column_name", F.col("family").alias("declared"))
+    return stats.select("container_id", "table_name", "period_key", "column_name", observed.alias("observed"), n.alias("n_values")).join(declared, ["container_id", "table_name", "period_key", "column_name"], "left").select("container_id", "table_name", "period_key", "column_name", "declared", "observed", "n_values")
 
 
 def table_columns(followed: DataFrame) -> DataFrame:
@@ -316,5 +543,5 @@ def table_columns(followed: DataFrame) -> DataFrame:
 
 def project_table(unified: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     """One logical table with typed columns, from its rows of ``unify`` and its (column, family) of ``table_columns``."""
-    kinds = {"whole": "bigint", "fraction": "double", "date": "date", "boolean": "boolean"}
-    return unified.select("period_key", "file_id", "row_no", *[F.col("fields")[c].cast(kinds.get(f, "string")).alias(c) for c, f in columns], "failed")
+    slots = {"whole": "whole", "fraction": "fraction", "date": "date", "boolean": "truth"}
+    return unified.select("period_key", "file_id", "row_no", *[F.col("fields")[c][slots.get(f, "text")].alias(c) for c, f in columns], "failed")

@@ -32,11 +32,16 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.unify(table(spark, d, "files"), table(spark, d, "file_rows"), _followed(spark, d))
 
 
+def p5_observed(spark: SparkSession, d: str) -> DataFrame:
+    """Declared types beside the raw types of the values, by month and column."""
+    return drift.observed_types(table(spark, d, "files"), table(spark, d, "file_metadata"), table(spark, d, "file_rows"))
+
+
 def p5_columns(spark: SparkSession, d: str) -> DataFrame:
     return drift.table_columns(_followed(spark, d))
 
 
-QUERIES = {"p5_found": p5_found, "p5_table": p5_table, "p5_columns": p5_columns, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants}
+QUERIES = {"p5_found": p5_found, "p5_table": p5_table, "p5_columns": p5_columns, "p5_observed": p5_observed, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants}
 _KEY = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '^[\s\pZ]+|[\s\pZ]+$', '', 'g'), '^(urn:uuid:|\{{)|\}}$', '', 'g'), '^urn:uuid:', ''), '^([0-9a-f]{{8}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{12}})$', '\1-\2-\3-\4-\5')"
 _NODES = (
     "nodes AS (SELECT key, id, name, parent FROM (SELECT " + _KEY.format("id") + " AS key, id, name, " + _KEY.format("parent_id") + " AS parent, "
