@@ -24,7 +24,7 @@ import datetime as dt
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -121,25 +121,6 @@ def leaves_of(record: str | None) -> list[tuple[str, str, str | None]] | None:
     return out
 
 
-def path_values(rows: DataFrame) -> DataFrame:
-    """file_id, path, kind (raw JSON type), value (as text): one row per leaf of a distinct record."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            back, path, kind, value = [], [], [], []
-            for i, record in enumerate(batch.column(1).to_pylist()):
-                for p, k, v in leaves_of(record) or ():
-                    back.append(i)
-                    path.append(p)
-                    kind.append(k)
-                    value.append(v)
-            text = pa.string()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(back, pa.int64())), pa.array(path, text), pa.array(kind, text), pa.array(value, text)], names=["file_id", "path", "kind", "value"])
-
-    distinct = rows.where("file_id is not null and record is not null").select("file_id", "record", "row_no").distinct()
-    return distinct.select("file_id", "record").mapInArrow(run, "file_id string, path string, kind string, value string")
-
-
 def date_value(c: Column) -> Column:
     """A date from the usual written forms; null otherwise."""
     forms = (("^\\d{4}-\\d{2}-\\d{2}", "yyyy-MM-dd", 10), ("^\\d{2}\\.\\d{2}\\.\\d{4}", "dd.MM.yyyy", 10), ("^\\d{2}/\\d{2}/\\d{4}", "dd/MM/yyyy", 10), ("^\\d{2}-[A-Za-z]{3}-\\d{4}", "dd-MMM-yyyy", 11), ("^\\d{4}/\\d{2}/\\d{2}", "yyyy/MM/dd", 10), ("^(?:19|20)\\d{2}[01]\\d[0-3]\\d$", "yyyyMMdd", 8))
@@ -159,27 +140,83 @@ def named_files(files: DataFrame) -> DataFrame:
     return files.where("id is not null").select(F.col("id").alias("file_id"), "container_id", table.alias("table_name"), period.alias("period_key")).where("table_name is not null").distinct()
 
 
-def path_statistics(rows: DataFrame) -> DataFrame:
-    """Per file and path: how often each raw type occurs, the commonest shape and beginning, the middle, least and greatest number and day, and their sums.
+COUNTS = ("text", "whole", "fraction", "boolean")
+STATS = [(f"n_{k}", "bigint") for k in COUNTS] + [("n", "bigint"), ("mask", "string"), ("lead", "string"), *[(k, "double") for k in ("number", "lo", "hi", "day")], *[(f"{k}{i}", "double") for k in ("size", "day", "num") for i in range(3)]]
+_CLASSES = str.maketrans({**dict.fromkeys("bcdefghijklmnopqrstuvwxyz", "a"), **dict.fromkeys("BCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), **dict.fromkeys("012345678", "9")})
+_RUNS = re.compile(r"([aA9])\1+")
+_LEAD = re.compile(r"\D{1,6}")
+
+
+def _shape(value: str) -> str:
+    """The value with runs of small letters, capitals and figures as one of each."""
+    return _RUNS.sub(r"\1", value.translate(_CLASSES))
 
-    Counts and sums are combined before the shuffle, so a file of any size is no hot group.
+
+def statistics(leaves: list[tuple[str, str | None]]) -> tuple:
+    """STATS of one column's leaves (raw type, value): counts of raw types, commonest shape and beginning, middle, least and greatest number, middle day, and the count, sum and sum of squares of sizes (logarithms), days and numbers."""
+    n = dict.fromkeys(COUNTS, 0)
+    masks: dict[str, int] = {}
+    leads: dict[str, int] = {}
+    numbers, days = [], []
+    for kind, value in leaves:
+        if kind in n:
+            n[kind] += 1
+        if value is None:
+            continue
+        m = _shape(value)
+        masks[m] = masks.get(m, 0) + 1
+        if kind == "text":
+            lead = _LEAD.match(value)
+            lead = lead[0] if lead else ""
+            leads[lead] = leads.get(lead, 0) + 1
+        if kind == "text" or kind == "whole":
+            day = read_date(value, serial=False) if value[:2].isdigit() else None
+            if day is not None:
+                days.append(float((day - EPOCH).days))
+        x = float(value) if kind in ("whole", "fraction") else read_number(value) if kind == "text" and any(c.isdigit() for c in value) else None
+        if x is not None and math.isfinite(x):
+            numbers.append(x)
+    most = lambda d: min(d, key=lambda k: (-d[k], k)) if d else None
+    middle = lambda v: sorted(v)[(len(v) - 1) // 2] if v else None
+    sums = lambda v: (float(len(v)), sum(v), sum([x * x for x in v])) if v else (0.0, 0.0, 0.0)
+    sizes = [math.log10(abs(x)) for x in numbers if x]
+    return (*n.values(), len(leaves), most(masks), most(leads), middle(numbers), min(numbers, default=None), max(numbers, default=None), middle(days), *sums(sizes), *sums(days), *sums(numbers))
+
+
+def path_statistics(rows: DataFrame, block_rows: int = 65_536) -> DataFrame:
+    """Per file and path its STATS. A file's records are co-located in blocks of ``block_rows`` row numbers, each block gives one row a path, and blocks are merged: of shapes, beginnings and middle values that of the block with the most rows counts.
+
+    So records are shuffled once, for their repeats and their statistics together, and a file of any size is no hot group.
     """
-    values = path_values(rows)
-    mask = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "9")
-    # a pattern of dates is tried only where the value's beginning can be one
-    could = F.col("kind").isin("text", "whole") & F.substring("value", 1, 3).rlike(r"^\d\d[\d./-]")
-    day = F.when(could, F.unix_date(date_value(F.col("value"))))
-    number = F.when(F.col("kind").isin("whole", "fraction"), F.col("value").try_cast("double")).when(F.col("kind") == "text", F.when(F.col("value").rlike(r"\d"), number_value(F.col("value"))))
-    lead = F.when(F.col("kind") == "text", F.regexp_extract("value", r"^\D{1,6}", 0))
-    full = values.select("file_id", "path", "kind", mask.alias("mask"), day.cast("double").alias("day"), number.alias("number"), lead.alias("lead"))
-    size = F.when(F.col("number") != 0, F.log10(F.abs("number")))
-    count = lambda k: F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(f"n_{k}")
-    sums = lambda c, n: [F.count(c).alias(f"{n}0"), F.sum(c).alias(f"{n}1"), F.sum(c * c).alias(f"{n}2")]
-    return full.groupBy("file_id", "path").agg(
-        count("text"), count("whole"), count("fraction"), count("boolean"), F.mode("mask", True).alias("mask"), F.mode("lead", True).alias("lead"),
-        F.percentile_approx("number", 0.5).alias("number"), F.min("number").alias("lo"), F.max("number").alias("hi"), F.percentile_approx("day", 0.5).alias("day"),
-        *sums(size, "size"), *sums(F.col("day"), "day"), *sums(F.col("number"), "num"),
-    )
+    block = F.floor(F.col("row_no") / block_rows).alias("block")
+    distinct = rows.where("file_id is not null and record is not null").select("file_id", block, "row_no", "record").repartition("file_id", "block").distinct().sortWithinPartitions("file_id", "block")
+    schema = pa.schema([("file_id", pa.string()), ("path", pa.string()), *[(c, {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for c, t in STATS]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        out: list[tuple] = []
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+        for batch in batches:
+            for file, blk, record in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (file, blk) != now:
+                    out += [(now[0], p, *statistics(v)) for p, v in held.items()]
+                    now, held = (file, blk), {}
+                    if len(out) > 5000:
+                        yield batch_of()
+                        out.clear()
+                for p, k, v in leaves_of(record) or ():
+                    held.setdefault(p, []).append((k, v))
+        out += [(now[0], p, *statistics(v)) for p, v in held.items()]
+        if out:
+            yield batch_of()
+
+    one = distinct.select("file_id", "block", "record").mapInArrow(run, "file_id string, path string, " + ", ".join(f"{c} {t}" for c, t in STATS))
+    largest = {"mask", "lead", "number", "day"}
+    merged = [F.max_by(c, F.struct("n", "mask")) if c in largest else F.min(c) if c == "lo" else F.max(c) if c == "hi" else F.sum(c) for c, _ in STATS]
+    return one.groupBy("file_id", "path").agg(*[m.alias(c) for m, (c, _) in zip(merged, STATS)])
 
 
 def words(name: str) -> list[str]:
@@ -286,10 +323,10 @@ def data_likeness(a: list[dict], b: list[dict]) -> float | None:
     return 0.2
 
 
-def follow_table(months: dict[str, dict[str, str | None]], stats: dict[tuple[str, str], list[dict]], proven: frozenset = frozenset()) -> tuple[list[tuple], list[tuple], list[tuple]]:
+def follow_table(months: dict[str, dict[str, str | None]], history: Callable[[str], list[dict]], proven: frozenset = frozenset()) -> tuple[list[tuple], list[tuple], list[tuple]]:
     """Changes (period, kind, before, after), columns (period, name, logical column, known family) of one table's months in order, and the meetings (name that went, name that came, whether taken as one).
 
-    months: period to column to declared family; stats: period and column to the statistics of the month's files. Removed and added columns
+    months: period to column to declared family; history: the statistics of a column's files, each seen from its month. Removed and added columns
     of one month are matched best first; a pair of names in ``proven`` needs no further proof.
     """
     changes, placed, met = [], [], []
@@ -297,9 +334,6 @@ def follow_table(months: dict[str, dict[str, str | None]], stats: dict[tuple[str
     family: dict[int, str | None] = {}
     last_name: dict[int, str] = {}
     by_name: dict[str, int] = {}
-    history: dict[str, list[dict]] = {}
-    for (p, c), s in sorted(stats.items(), key=lambda x: x[0]):
-        history.setdefault(c, []).extend(in_month(x, p) for x in s)
     n = 0
     for k, p in enumerate(sorted(months)):
         now = months[p]
@@ -310,7 +344,7 @@ def follow_table(months: dict[str, dict[str, str | None]], stats: dict[tuple[str
             for a in gone:
                 for b in come:
                     fa, fb = family[before[a]], now[b]
-                    d = data_likeness(history.get(a, []), history.get(b, []))
+                    d = data_likeness(history(a), history(b))
                     m = name_likeness(a, b)
                     same = fa is None or fb is None or fa == fb
                     if d is None:
@@ -353,29 +387,31 @@ def follow_table(months: dict[str, dict[str, str | None]], stats: dict[tuple[str
     return changes, [(p, c, last_name[i], family[i]) for p, c, i in placed], met
 
 
-def _follow(only_met: bool):
+def _follow(cols: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
     """follow_table for each table of a bucket; rows without a container are proven pairs of names."""
-
-    def run(cols: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
-        tables: dict[tuple, dict[str, dict[str, str | None]]] = {}
-        given = cols["container_id"].isna()
-        proven = frozenset(zip(cols["column_name"][given], cols["family"][given]))
-        cols = cols[~given].sort_values(["container_id", "table_name", "period_key", "position"], kind="stable")
-        for c, t, p, name, f in zip(cols["container_id"], cols["table_name"], cols["period_key"], cols["column_name"], cols["family"]):
-            tables.setdefault((c, t), {}).setdefault(p, {})[name] = f if isinstance(f, str) else None
-        found: dict[tuple, dict[tuple[str, str], list[dict]]] = {}
-        for r in stats.sort_values("file_id", kind="stable").to_dict("records"):
-            found.setdefault((r["container_id"], r["table_name"]), {}).setdefault((r["period_key"], r["path"]), []).append(r)
-        rows = []
-        for key, months in tables.items():
-            changes, placed, met = follow_table(months, found.get(key, {}), proven)
-            if only_met:
-                rows += [(*key, "met", None, "same" if same else "other", a, b, None, None) for a, b, same in met]
-            else:
-                rows += [(*key, "change", *c, None, None) for c in changes] + [(*key, "column", p, None, None, c, logical, f) for p, c, logical, f in placed]
-        return pd.DataFrame(rows, columns=["container_id", "table_name", "row_kind", "period_key", "change_kind", "column_before", "column_after", "logical_column", "family"])
-
-    return run
+    tables: dict[tuple, dict[str, dict[str, str | None]]] = {}
+    given = cols["container_id"].isna()
+    proven = frozenset(zip(cols["column_name"][given], cols["family"][given]))
+    cols = cols[~given].sort_values(["container_id", "table_name", "period_key", "position"], kind="stable")
+    for c, t, p, name, f in zip(cols["container_id"], cols["table_name"], cols["period_key"], cols["column_name"], cols["family"]):
+        tables.setdefault((c, t), {}).setdefault(p, {})[name] = f if isinstance(f, str) else None
+    where: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(stats["container_id"], stats["table_name"], stats["path"])):
+        where.setdefault(key, []).append(i)
+    period, file = stats["period_key"].to_numpy(), stats["file_id"].to_numpy()
+    values = {c: stats[c].to_numpy() for c, _ in STATS}
+    rows = []
+    for key, months in tables.items():
+
+        @lru_cache(maxsize=None)  # of the few columns that went or came
+        def history(column: str, key=key) -> list[dict]:
+            at = sorted(where.get((*key, column), ()), key=lambda i: (period[i], file[i]))
+            return [in_month({c: v[i] for c, v in values.items()}, period[i]) for i in at]
+
+        changes, placed, met = follow_table(months, history, proven)
+        rows += [(*key, "met", None, "same" if same else "other", a, b, None, None) for a, b, same in met]
+        rows += [(*key, "change", *c, None, None) for c in changes] + [(*key, "column", p, None, None, c, logical, f) for p, c, logical, f in placed]
+    return pd.DataFrame(rows, columns=["container_id", "table_name", "row_kind", "period_key", "change_kind", "column_before", "column_after", "logical_column", "family"])
 
 
 def proven_pairs(met: DataFrame, min_tables: int = 3, min_share: float = 0.6) -> DataFrame:
@@ -387,19 +423,25 @@ def proven_pairs(met: DataFrame, min_tables: int = 3, min_share: float = 0.6) ->
 
 
 def follow(files: DataFrame, metadata: DataFrame, rows: DataFrame, bucket_files: int = 2000) -> DataFrame:
-    """Changes and column places of all tables. Tables are hashed into buckets of about ``bucket_files`` files; a table has one row per month and column and one per file and path there, whatever its rows."""
+    """Changes and column places of all tables. Tables are hashed into buckets of about ``bucket_files`` files; a table has one row per month and column and one per file and path there, whatever its rows.
+
+    The second pass goes over the tables only in which a proven pair of names met without being taken as one.
+    """
     n = max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // bucket_files))
     bucket = F.pmod(F.xxhash64("container_id", "table_name"), F.lit(n)).alias("bucket")
-    cols = durable(monthly_columns(files, metadata).where("container_id is not null").select(bucket, "container_id", "table_name", "period_key", "column_name", "position", "family"))
-    stats = durable(path_statistics(rows).join(named_files(files).where("container_id is not null"), "file_id").select(bucket, "*")).groupBy("bucket")
+    table = ["container_id", "table_name"]
+    cols = durable(monthly_columns(files, metadata).where("container_id is not null").select(bucket, *table, "period_key", "column_name", "position", "family"))
+    stats = durable(path_statistics(rows).join(named_files(files).where("container_id is not null"), "file_id").select(bucket, *table, "period_key", "file_id", "path", *[c for c, _ in STATS]))
     schema = "container_id string, table_name string, " + OUT
-    met = cols.groupBy("bucket").cogroup(stats).applyInPandas(_follow(True), schema)
-    pairs = durable(proven_pairs(met))
-    # each bucket gets the proven pairs of which it has both names
-    has = cols.select("bucket", F.col("column_name").alias("a")).distinct()
-    given = pairs.join(has, "a").join(has.select("bucket", F.col("a").alias("b")), ["bucket", "b"]).select("bucket", F.col("a").alias("column_name"), F.col("b").alias("family"))
-    none = {c: F.lit(None).cast(dict(cols.dtypes)[c]) for c in ("container_id", "table_name", "period_key", "position")}
-    return cols.unionByName(given.withColumns(none)).groupBy("bucket").cogroup(stats).applyInPandas(_follow(False), schema)
+    first = durable(cols.groupBy("bucket").cogroup(stats.groupBy("bucket")).applyInPandas(_follow, schema))
+    met = first.where("row_kind = 'met'")
+    pairs = proven_pairs(met)
+    open_ = durable(met.where("change_kind = 'other'").join(pairs, (F.col("column_before") == F.col("a")) & (F.col("column_after") == F.col("b")), "left_semi").select(*table, "column_before", "column_after").distinct())
+    tables = open_.select(*table).distinct()
+    given = open_.select(bucket, F.col("column_before").alias("column_name"), F.col("column_after").alias("family")).distinct()
+    none = {c: F.lit(None).cast(dict(cols.dtypes)[c]) for c in (*table, "period_key", "position")}
+    again = cols.join(tables, table, "left_semi").unionByName(given.withColumns(none)).groupBy("bucket").cogroup(stats.join(tables, table, "left_semi").groupBy("bucket")).applyInPandas(_follow, schema)
+    return first.join(tables, table, "left_anti").unionByName(again).where("row_kind <> 'met'")
 
 
 def changes_of(followed: DataFrame) -> DataFrame:
@@ -425,8 +467,8 @@ def read_number(value: str) -> float | None:
     return float(plain) if re.fullmatch(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", plain) else None
 
 
-def read_date(value: str) -> dt.date | None:
-    """As ``date_value``; and a spreadsheet's serial."""
+def read_date(value: str, serial: bool = True) -> dt.date | None:
+    """As ``date_value``; and, where asked for, a spreadsheet's serial."""
     value = value.strip()
     try:
         for rx, order in _DATES:
@@ -437,7 +479,7 @@ def read_date(value: str) -> dt.date | None:
             return dt.date(int(m[3]), _MONTHS[m[2].lower()], int(m[1]))
     except ValueError:
         return None
-    if re.fullmatch(r"\d{4,5}(?:\.0+)?", value) and policy.SERIAL_MIN <= float(value) <= policy.SERIAL_MAX:
+    if serial and re.fullmatch(r"\d{4,5}(?:\.0+)?", value) and policy.SERIAL_MIN <= float(value) <= policy.SERIAL_MAX:
         return EPOCH + dt.timedelta(days=SERIAL_ZERO + int(float(value)))
     return None
 
