@@ -1,19 +1,24 @@
 """Variant spellings of names typed by people.
 
-Method: merge-and-rematch resolution. Spellings are parsed into profiles and blocked by their tenant, kind and main words. Of the
+Method: merge-and-rematch resolution. Spellings are parsed into profiles: main words, and given names, trade or number. Of the
 distinct words of a tenant and kind those that the matching rule lets pass for each other are found once, by the spellings one or
-two deletions away; a profile stands in the blocks of its words and of their like, so any two that match meet. In a block profiles that mean the same are merged; a merged profile holds the spellings
-and initials of all, its richer set re-enters blocking, until a round merges nothing more. Forms that say too little by
-themselves (initials, nicknames of several names) are merged only into the one profile of the tenant they fit. A merged
-profile meets others by any member's words and by the initials its members are written with; its given name, trade or number
-is the one its fuller members say, as the other readings of a nickname are ruled out once it is merged.
+two deletions away; from them the sets of main words that match, each set beside those it may stand for. Profiles of matching
+sets that mean the same are merged; a merged profile holds the words and initials of all, and this richer set is matched again,
+with loose forms and with other merged profiles, until a round merges nothing more. Forms that say too little by themselves
+(initials, nicknames of several names) are merged only into the one profile of the tenant they fit. A merged profile meets others
+by any member's words and by the initials its members are written with; its given name, trade or number is the one its fuller
+members say, as the other readings of a nickname are ruled out once it is merged.
 
-Links leave a block as a star, never as all pairs; components are found by joins. A block holds distinct spellings only, so
-a name written a million times is one row in it. Mentions of different tenants never meet.
+What trades there are is learned from the names: a word that stands in many names of organisations, mostly not first, tells what
+they do, not who they are. Shortened, clipped and mistyped forms are read as the trade they come from.
+
+No block of names is ever gathered: profiles meet in equality joins. Sets of several words meet by those of their words that are
+rare enough: of the words two sets share, the rarest is no commoner than the least common word of either, so commoner ones need
+not be tried. Links go to components by joins. Mentions of different tenants never meet.
 
 Defined results. Null or empty names link with nothing. A null or unknown type is read from the name (a model number: product; a
 legal form or trade: organisation; else person). Repeated rows count once. Ties and order of rows do not matter. Extra
-columns are ignored.
+columns are ignored. A name made of trades alone is compared by them.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkloom.operators.graph import connected_components
 from sparkloom.session import durable
@@ -85,7 +90,67 @@ def allowed(a: str, b: str) -> int:
     return 0 if n < 4 else 1 if n < 7 else 2
 
 
-def kind_of(etype: str | None, name: str) -> str:
+class Trades:
+    """The trades words can name: written out, in the singular, shortened, clipped or mistyped. Learned ones come after the fixed, the most frequent first."""
+
+    def __init__(self, learned: tuple[str, ...] = ()):
+        self.names = list(TRADES)
+        self.cache: dict[tuple[str, str], str | None] = {}
+        for w in learned:
+            # a frequent shortened form of a trade, or a trade's other number, is none of its own
+            if self.of(w, ".") is None and not any(_clipped(w, t) for t in learned if len(t) > len(w)):
+                self.names.append(w)
+                self.cache.clear()
+
+    def of(self, word: str, mark: str) -> str | None:
+        k = (word, mark)
+        if k not in self.cache:
+            if len(self.cache) > 200_000:
+                self.cache.clear()
+            self.cache[k] = self._of(word, mark)
+        return self.cache[k]
+
+    def _of(self, word: str, mark: str) -> str | None:
+        if word in self.names:
+            return word
+        if word in TRADE_SHORT:
+            return TRADE_SHORT[word]
+        if len(word) < 3:
+            return None
+        for fit in (lambda t: t.startswith(word), lambda t: len(word) >= 6 and near(word, t, 1), lambda t: t[-1] == "y" and word == t[:-1] + "ies", lambda t: _clipped(word, t, mark)):
+            for t in self.names:
+                if fit(t):
+                    return t
+        return None
+
+
+def _clipped(word: str, trade: str, mark: str = "") -> bool:
+    """Whether the word is the trade with letters left out: its beginning, or some of its letters in order where a point or the lack of vowels says so."""
+    if trade.startswith(word):
+        return True
+    if len(word) < 3 or word[0] != trade[0] or not (mark == "." or (word[-1] == trade[-1] and not set(word) & set("aeiou"))):
+        return False
+    it = iter(trade)
+    return all(c in it for c in word)
+
+
+KNOWN = Trades()
+
+
+def learned_trades(mentions: DataFrame, min_share: float = 0.005, min_names: int = 5, max_first: float = 0.3) -> tuple[str, ...]:
+    """Words of five letters or more in at least min_share of the organisations' distinct names (min_names at least) and first in at most max_first of theirs, the most frequent first. By their share they are no more than the mean number of words of a name / min_share."""
+    words = F.filter(F.split(F.lower("name"), r"[^\p{L}]+"), lambda w: w != "")
+    org = F.lower(F.coalesce("etype", F.lit(""))).rlike("org|compan|supplier|customer|vendor")
+    legal = F.arrays_overlap("words", F.array(*[F.lit(x) for x in sorted(LEGAL - {"the", "and", "und", "et", "co", "sa", "group"})]))
+    named = mentions.select(F.lower("name").alias("name"), words.alias("words"), org.alias("org")).where(F.col("org") | (F.lower(F.coalesce("etype", F.lit(""))).isin("") & legal)).select("name", "words").distinct()
+    seen = named.select(F.explode(F.array_distinct("words")).alias("word"), F.col("words")[0].alias("first"))
+    each = seen.where((F.length("word") >= 5) & ~F.col("word").isin(*sorted(LEGAL | TITLES))).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("word") == F.col("first")).cast("int")).alias("first"))
+    total = named.count()
+    rows = each.where((F.col("n") >= max(min_names, min_share * total)) & (F.col("first") <= max_first)).collect()
+    return tuple(r.word for r in sorted(rows, key=lambda r: (-r.n, r.word)))
+
+
+def kind_of(etype: str | None, name: str, trades: Trades = KNOWN) -> str:
     t = (etype or "").lower()
     if re.search(r"org|compan|supplier|customer|vendor", t):
         return "organization"
@@ -96,31 +161,11 @@ def kind_of(etype: str | None, name: str) -> str:
     words = re.findall(r"[a-z]+|\d+", fold(name).lower())
     if any(w.isdigit() and len(w) >= 2 for w in words):
         return "product"
-    if any(w in LEGAL or trade_of(w, "") for w in words) or re.search(r"[&+]", name):
+    if any(w in LEGAL or trades.of(w, "") for w in words) or re.search(r"[&+]", name):
         return "organization"
     return "person"
 
 
-def trade_of(word: str, mark: str) -> str | None:
-    """The trade a word names, written out, in the singular, shortened or mistyped."""
-    if word in TRADES:
-        return word
-    if word in TRADE_SHORT:
-        return TRADE_SHORT[word]
-    for t in TRADES:
-        if len(word) >= 3 and t.startswith(word) and (len(word) >= 4 or mark == "." or len(word) == 3):
-            return t
-    for t in TRADES:
-        if len(word) >= 6 and near(word, t, 1):
-            return t
-    if mark == "." and len(word) >= 3:
-        for t in TRADES:
-            it = iter(t)
-            if word[0] == t[0] and all(c in it for c in word):
-                return t
-    return None
-
-
 def given_of(word: str) -> frozenset[str]:
     """The given names a word can stand for: itself, the names it is short for, or those it is a mistyped form of."""
     if word in FORMAL:
@@ -133,13 +178,13 @@ def given_of(word: str) -> frozenset[str]:
     return frozenset(close or {word})
 
 
-def parse(kind: str, name: str) -> dict | None:
+def parse(kind: str, name: str, trades: Trades = KNOWN) -> dict | None:
     """The profile of a spelling: main words, and given names with initial (person), trade (organisation) or number (product)."""
-    p = _read(kind, name)
+    p = _read(kind, name, trades)
     return p and {"words": p["words"], "extra": p["extra"]}
 
 
-def _read(kind: str, name: str) -> dict | None:
+def _read(kind: str, name: str, trades: Trades) -> dict | None:
     """The profile, and for a person the initial as written: b for Bob, whose given name is Robert."""
     plain = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", fold(name)).strip()
     plain = plain or fold(name)
@@ -174,26 +219,23 @@ def _read(kind: str, name: str) -> dict | None:
         low = plain.lower()
         numbers = re.findall(r"\d+", low)
         words = [w for w in re.findall(r"[^\W\d_]+", low) if w not in {"model", "mod", "no", "nr", "type", "typ", "spare", "series", "ser"} and len(w) > 1]
-        return {"words": _few(words), "extra": ("-".join(numbers),)} if words and numbers else {"words": _few(words), "extra": ("",)} if words else None
+        return {"words": tuple(words), "extra": ("-".join(numbers),)} if words and numbers else {"words": tuple(words), "extra": ("",)} if words else None
     plain = re.sub(r"\b([A-Za-z])\.\s*([A-Za-z])\.?(?=\s|$|,)(?:\s*([A-Za-z])\.)?", lambda m: " " + "".join(x for x in m.groups() if x) + " ", plain)
     plain = re.sub(r"\b(?:G\.?\s*)?m\.?\s*b\.?\s*H\b\.?", " gmbh ", plain, flags=re.IGNORECASE)
     plain = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", plain)
-    words, trades = [], set()
+    words, found = [], set()
     for w, mark in re.findall(r"([^\W_]+)(\.?)", plain):
         w = w.lower()
         if w in LEGAL or len(w) == 1:
             continue
-        t = trade_of(w, mark)
+        t = trades.of(w, mark)
         if t:
-            trades.add(t)
+            found.add(t)
         else:
             words.append(w)
-    return {"words": _few(sorted(words)), "extra": tuple(sorted(trades))} if words else None
-
-
-def _few(words: list[str]) -> tuple[str, ...]:
-    """The words of a name; more than twelve are a sentence, compared as one word."""
-    return tuple(words) if len(words) <= 12 else ("".join(words),)
+    if not words:
+        return {"words": tuple(sorted(found)), "extra": ()} if found else None
+    return {"words": tuple(sorted(words)), "extra": tuple(sorted(found))}
 
 
 def _person(first: list[str], last: str) -> dict:
@@ -216,28 +258,10 @@ def same_words(a: tuple, b: tuple) -> bool:
     return True
 
 
-def says_enough(kind: str, extra: tuple) -> bool:
-    """Whether the given name, trade or number tells the profile from its neighbours."""
-    if kind == "person":
-        return len(extra) == 1 and extra[0][-1] not in ".*"
-    return bool(extra) and extra != ("",)
-
-
-def fits(kind: str, weak: tuple, strong: tuple) -> bool:
-    """Whether a form that says too little fits a fuller one."""
-    if kind != "person":
-        return not weak or weak == ("",) or set(weak) <= set(strong)
-    if weak == ("*",):
-        return False
-    if weak[0].endswith("."):
-        return any(x.startswith(weak[0][0]) for x in strong)
-    return bool(set(weak) & set(strong))
-
-
 PROFILE = "tenant string, kind string, name string, words array<string>, extra array<string>, initial string"
 
 
-def profiles(mentions: DataFrame) -> DataFrame:
+def profiles(mentions: DataFrame, trades: Trades = KNOWN) -> DataFrame:
     """One row per distinct spelling of a tenant and kind: tenant, kind, name, words, extra, initial."""
 
     def run(batches):
@@ -245,75 +269,29 @@ def profiles(mentions: DataFrame) -> DataFrame:
             rows = []
             for t, e, n in df.itertuples(index=False):
                 if isinstance(n, str) and n.strip():
-                    kind = kind_of(e if isinstance(e, str) else None, n)
-                    p = _read(kind, n)
+                    kind = kind_of(e if isinstance(e, str) else None, n, trades)
+                    p = _read(kind, n, trades)
                     if p:
                         rows.append((t, kind, n, list(p["words"]), list(p["extra"]), p.get("initial")))
             yield pd.DataFrame(rows, columns=["tenant", "kind", "name", "words", "extra", "initial"])
 
-    return mentions.select("tenant", "etype", "name").distinct().mapInPandas(run, PROFILE)
+    return mentions.select("tenant", "etype", "name").distinct().mapInPandas(run, PROFILE).distinct()
 
 
-def stars(batches):
-    """Links inside blocks, as stars: each profile to the least one it means the same as. All rows of a block have one ``extra``."""
-    for df in batches:
-        out = []
-        for block in df["block"]:
-            leaders: list[tuple] = []
-            for pid, words in sorted((r["pid"], tuple(r["words"])) for r in block):
-                hits = [p for p, w in leaders if same_words(words, w)]
-                out += [(pid, h) for h in hits]
-                if not any(w == words for _, w in leaders):
-                    leaders.append((pid, words))
-        yield pd.DataFrame(out, columns=["a", "b"])
-
-
-def meetings(batches):
-    """Which merged profiles a weak one fits, and which strong ones mean the same by a word a weak member brought: (a, b, strong, by) rows. by: 0, or 1 where only a member's written initial fits, as B. for a Robert called Bob."""
-    for df in batches:
-        out = set()
-        for kind, block in zip(df["kind"], df["block"]):
-            rows = [(r["cid"], tuple(r["words"]), tuple(r["extra"]), r["strong"], r["new"], tuple(r["initials"])) for r in block]
-            strong = [r for r in rows if r[3]]
-            alike: dict[tuple, list] = {}
-            for r in strong:
-                alike.setdefault(r[2], []).append(r)
-            for c, words, extra, s, new, _ in rows:
-                if not s:
-                    for x, w, e, _, _, initials in strong:
-                        by = 0 if fits(kind, extra, e) else 1 if kind == "person" and extra[0][-1] == "." and extra[0][0] in initials else None
-                        if by is not None and same_words(words, w):
-                            out.add((c, x, False, by))
-                elif new:  # those whose words are their own have met in the first blocks
-                    out |= {(c, r[0], True, 0) for r in alike[extra] if r[0] != c and same_words(words, r[1])}
-        yield pd.DataFrame(list(out), columns=["a", "b", "strong", "by"])
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number of its own for each row, fixed by writing it."""
+    return durable(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def _near_words(batches):
-    """The pairs (the greater first) among words with a common key that the matching rule accepts."""
-    seen: dict[tuple, bool] = {}
+    """Of pairs of words those the matching rule accepts, the greater word first."""
     for df in batches:
-        out = []
-        for block in df["block"]:
-            words = sorted((r["word"], r["w"]) for r in block)
-            for i, (a, x) in enumerate(words):
-                for b, y in words[:i]:
-                    if (x, y) not in seen:
-                        seen[x, y] = near(a, b, allowed(a, b))
-                        if seen[x, y]:
-                            out.append((x, y))
-        if len(seen) > 1_000_000:
-            seen.clear()
-        yield pd.DataFrame(out, columns=["w", "like"])
-
-
-def _word_id() -> Column:
-    return F.xxhash64("tenant", "kind", "word")
-
-
-def like_words(distinct: DataFrame) -> DataFrame:
-    """w, likes: for a word of a tenant and kind the lesser ones that it may stand for. Pairs within one edit share a spelling one deletion away, those within two edits one of two."""
-    word = distinct.select("tenant", "kind", F.explode("words").alias("word")).where(F.length("word") >= 4).distinct()
+        rows = [(w, v) if x > y else (v, w) for w, v, x, y in zip(df["w"], df["v"], df["x"], df["y"]) if near(x, y, allowed(x, y))]
+        yield pd.DataFrame(rows, columns=["w", "like"])
+
+
+def like_words(words: DataFrame) -> DataFrame:
+    """w, like: of words(tenant, kind, word, w) each beside the lesser ones of its tenant and kind that it may stand for. Pairs within one edit share a spelling one deletion away, those within two edits one of two."""
     less = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
     once = F.array_distinct(less(F.col("word")))
     deleted = F.when(F.length("word") < 7, once).otherwise(F.array_union(once, F.flatten(F.transform(once, less))))
@@ -321,47 +299,86 @@ def like_words(distinct: DataFrame) -> DataFrame:
     ends = [F.concat(F.lit("<"), F.substring("word", 1, 20)), F.concat(F.lit(">"), F.substring("word", -20, 20)), *[F.concat(F.lit("="), F.substring("word", 23 + i, 16)) for i in (-1, 0, 1)]]
     none = F.array().cast("array<string>")
     keys = F.concat(F.array("word"), F.when(F.length("word") <= 64, deleted).otherwise(none), F.when(F.length("word") > 62, F.array(*ends)).otherwise(none))
-    keyed = word.select("tenant", "kind", "word", F.explode(F.array_distinct(keys)).alias("key")).select(F.xxhash64("tenant", "kind", "key").alias("key"), F.struct(_word_id().alias("w"), "word").alias("word"))
-    blocks = keyed.groupBy("key").agg(F.collect_set("word").alias("block")).where(F.size("block") > 1)
-    return blocks.select("block").mapInPandas(_near_words, "w long, like long").groupBy("w").agg(F.collect_set("like").alias("likes"))
+    hashed = F.array_distinct(F.transform(keys, lambda k: F.xxhash64("tenant", "kind", k)))  # of two that are equal by chance the words are compared
+    keyed = words.where(F.length("word") >= 4).select("w", F.explode(hashed).alias("key"))
+    pairs = keyed.join(keyed.select("key", F.col("w").alias("v")), "key").where("w < v").select("w", "v").distinct()
+    x = words.select("w", "tenant", "kind", F.col("word").alias("x"))
+    y = words.select(F.col("w").alias("v"), F.col("tenant").alias("t"), F.col("kind").alias("k"), F.col("word").alias("y"))
+    return pairs.join(x, "w").join(y, "v").where("tenant = t and kind = k").select("w", "v", "x", "y").mapInPandas(_near_words, "w long, like long")
 
 
-def _keyed(df: DataFrame, likes: DataFrame, *keep: str) -> DataFrame:
-    """One row per profile and block: those of its main words of two letters or more, and of the words they may stand for."""
-    one = df.select("tenant", "kind", "words", "extra", *keep, F.explode("words").alias("word")).where(F.length("word") >= 2).withColumn("w", _word_id())
-    keys = F.concat(F.array("w"), F.coalesce("likes", F.array().cast("array<bigint>")))
-    return one.join(likes, "w", "left").select("tenant", "kind", "words", "extra", *keep, F.explode(keys).alias("key")).distinct()
+def _same_sets(batches):
+    for df in batches:
+        ok = [same_words(tuple(a), tuple(b)) for a, b in zip(df["wa"], df["wb"])]
+        yield df[ok][["a", "b"]]
+
+
+def like_sets(sets: DataFrame) -> DataFrame:
+    """tid, other: sets(tenant, kind, words, tid) of main words beside those they match, themselves included."""
+    each = sets.select("tenant", "kind", "tid", F.size("words").alias("k"), F.posexplode("words").alias("pos", "word"))
+    words = _numbered(each.select("tenant", "kind", "word").distinct(), "w")
+    likes = durable(like_words(words))
+    at = durable(each.join(words, ["tenant", "kind", "word"]).select("tid", "k", "pos", "w"))
+    one = at.where("k = 1").select("tid", "w")
+    single = likes.join(one, "w").join(one.select(F.col("w").alias("like"), F.col("tid").alias("other")), "like").select(F.col("tid").alias("a"), F.col("other").alias("b"))
+    # several words: each word's keys are itself and the lesser words it may stand for, so two that match share one at each of their words
+    many = at.where("k > 1")
+    keys = many.select("tid", "k", "pos", F.col("w").alias("key")).unionByName(many.join(likes, "w").select("tid", "k", "pos", F.col("like").alias("key")))
+    rare = keys.join(keys.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")), ["k", "key"])
+    most = rare.withColumn("m", F.max("n").over(Window.partitionBy("tid", "pos"))).withColumn("least", F.min("m").over(Window.partitionBy("tid")))  # a set's own words
+    kept = most.where("n <= least and n > 1").select("tid", "k", "key").distinct()
+    met = kept.select("k", "key", F.col("tid").alias("a")).join(kept.select("k", "key", F.col("tid").alias("b")), ["k", "key"]).where("a < b").select("a", "b").distinct()
+    of = lambda x: sets.select(F.col("tid").alias(x), F.col("words").alias(f"w{x}"))
+    several = met.join(of("a"), "a").join(of("b"), "b").select("a", "b", "wa", "wb").mapInPandas(_same_sets, "a long, b long")
+    pairs = durable(single.unionByName(several))
+    own = sets.select("tid", F.col("tid").alias("other"))
+    return own.unionByName(pairs.toDF("tid", "other")).unionByName(pairs.select(F.col("b").alias("tid"), F.col("a").alias("other")))
+
+
+def _fitting(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """a, b, by: each loose profile beside the strong ones it fits: by its given name, the initial of theirs (by 0) or one a member is written with (by 1); a name without trade or number fits any."""
+    person = F.col("kind") == "person"
+    dot = F.col("extra")[0].endswith(".")
+    key = lambda k, by: F.struct(k.alias("key"), F.lit(by).alias("by"))
+    any_ = F.array(key(F.lit(""), 0))
+    letter = lambda x: F.substring(x, 1, 1)
+    weak = rows.where(~F.col("strong") & (~person | (F.col("extra")[0] != "*")))
+    asks = F.when(~person, F.array(F.lit(""))).when(dot, F.array(F.concat(F.lit("."), letter(F.col("extra")[0])))).otherwise(F.col("extra"))
+    gives = F.when(~person, any_).otherwise(F.concat(F.transform("extra", lambda x: key(x, 0)), F.transform("extra", lambda x: key(F.concat(F.lit("."), letter(x)), 0)), F.transform("initials", lambda x: key(F.concat(F.lit("."), x), 1))))
+    left = weak.select(F.col("cid").alias("a"), "tid", F.explode(asks).alias("key")).distinct().join(like, "tid").select("a", "other", "key").distinct()
+    right = rows.where("strong").select(F.col("cid").alias("b"), F.col("tid").alias("other"), F.explode(gives).alias("g")).select("b", "other", "g.key", "g.by").distinct()
+    return left.join(right, ["other", "key"]).groupBy("a", "b").agg(F.min("by").alias("by"))
 
 
 def resolve(entities: DataFrame, key: str = "entity_id", tenant: str = "tenant_id") -> DataFrame:
     """key, tenant, name, cluster (a number): one row per mention; mentions of one cluster mean the same."""
     mentions = entities.select(F.col(key).alias("key"), F.col(tenant).alias("tenant"), "etype", "name").where("key is not null and tenant is not null and trim(name) <> ''").distinct()
-    spelled = profiles(mentions)
-    ident = F.xxhash64("tenant", "kind", F.array_join("words", " "), F.array_join("extra", "|"))
-    spelled = durable(spelled.withColumn("pid", ident))
-    distinct = durable(spelled.groupBy("pid", "tenant", "kind", "words", "extra").agg(F.array_sort(F.collect_set("initial")).alias("initials")))
-    likes = durable(like_words(distinct))
-    # a block holds the distinct spellings with its word or one like it that share the given name, trade or number
-    blocks = _keyed(distinct, likes, "pid").groupBy("tenant", "kind", "key", F.array_join("extra", "|").alias("e")).agg(F.collect_list(F.struct("pid", "words")).alias("block")).where(F.size("block") > 1)
-    links = blocks.select("block").mapInPandas(stars, "a long, b long").where("a <> b").distinct()
-    links = durable(links.unionByName(distinct.select(F.col("pid").alias("a"), F.col("pid").alias("b"))))
-    label = durable(connected_components(links).select(F.col("node").alias("pid"), F.col("component").alias("cid")))
+    trades = Trades(learned_trades(mentions))  # bounded, see there
+    spelled = durable(profiles(mentions, trades))
+    distinct = _numbered(spelled.groupBy("tenant", "kind", "words", "extra").agg(F.array_sort(F.collect_set("initial")).alias("initials")), "pid")
+    sets = _numbered(distinct.select("tenant", "kind", "words").distinct(), "tid")
+    like = durable(like_sets(sets))
     enough = F.when(F.col("kind") == "person", (F.size("extra") == 1) & ~F.col("extra")[0].rlike("[.*]$")).otherwise((F.size("extra") > 0) & (F.array_join("extra", "|") != ""))
+    profile = durable(distinct.join(sets, ["tenant", "kind", "words"]).select("pid", "tid", "kind", "extra", "initials", enough.alias("own")))
+    # profiles of matching words that share the given name, trade or number
+    said = profile.select("pid", "tid", "extra")
+    links = said.join(like.where("tid <= other"), "tid").join(said.select(F.col("pid").alias("b"), F.col("tid").alias("other"), "extra"), ["other", "extra"]).select(F.col("pid").alias("a"), "b")
+    label = durable(connected_components(links).select(F.col("node").alias("pid"), F.col("component").alias("cid")))
     while True:  # each round but the last merges at least two clusters
         # a merged profile re-enters with all spellings of its members; it is strong once one of them says enough, and all then stand for what that one says
-        now = distinct.join(label, "pid").withColumn("own", enough)
+        now = profile.join(label, "pid")
         merged = now.groupBy("cid").agg(F.max("own").alias("strong"), F.max(F.when(F.col("own"), F.col("extra"))).alias("known"), F.array_distinct(F.flatten(F.collect_set("initials"))).alias("letters"))
         says = F.when(F.col("strong"), F.col("known")).otherwise(F.col("extra"))
         initials = F.when(F.col("strong"), F.array_sort("letters")).otherwise(F.array().cast("array<string>"))
-        rows = now.join(merged, "cid").select("tenant", "kind", "words", says.alias("extra"), "cid", "strong", initials.alias("initials"), (F.col("strong") & ~F.col("own")).alias("new"))
-        rows = rows.groupBy("tenant", "kind", "words", "extra", "cid", "strong", "initials").agg(F.min("new").alias("new"))
-        letters = F.when(F.col("kind") == "person", F.array_union(F.transform("extra", lambda x: F.substring(x, 1, 1)), "initials")).otherwise(F.array(F.lit("")))
-        blocks = _keyed(rows, likes, "cid", "strong", "initials", "new").withColumn("letter", F.explode(letters)).groupBy("tenant", "kind", "key", "letter").agg(F.collect_list(F.struct("cid", "words", "extra", "strong", "new", "initials")).alias("block"), F.max("strong").alias("any"), F.min("strong").alias("all"), F.max("new").alias("more"))
-        met = durable(blocks.where(F.col("any") & (~F.col("all") | F.col("more"))).select("kind", "block").mapInPandas(meetings, "a long, b long, strong boolean, by long").distinct())
+        rows = now.join(merged, "cid").groupBy("cid", "tid", "kind", says.alias("extra"), "strong", initials.alias("initials")).agg(F.min(F.col("strong") & ~F.col("own")).alias("new"))
+        rows = durable(rows)
         # the initial of a full name goes before that of a short form
-        fit = met.where("not strong").groupBy("a", "by").agg(F.count_distinct("b").alias("n"), F.min("b").alias("b")).groupBy("a").agg(F.min(F.struct("by", "n", "b")).alias("m"))
+        fit = _fitting(rows, like).groupBy("a", "by").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b")).groupBy("a").agg(F.min(F.struct("by", "n", "b")).alias("m"))
         moves = durable(fit.where("m.n = 1").select(F.col("a").alias("cid"), F.col("m.b").alias("to")))
-        same = met.where("strong")
+        # strong ones meet by a word that a loose member brought; those whose words are their own have met before
+        strong = rows.where("strong").select("cid", "tid", "extra", "kind", "new")
+        meet = strong.where("new").join(like, "tid").select(F.col("cid").alias("a"), "other", "kind", "extra").join(strong.select(F.col("cid").alias("b"), F.col("tid").alias("other"), "kind", "extra"), ["other", "kind", "extra"])
+        same = durable(meet.where("a <> b").select("a", "b").distinct())
         moved, joined = moves.limit(1).count(), same.limit(1).count()
         if not moved and not joined:
             break
@@ -369,20 +386,26 @@ def resolve(entities: DataFrame, key: str = "entity_id", tenant: str = "tenant_i
         if joined:
             label = label.join(connected_components(same).select(F.col("node").alias("cid"), F.col("component").alias("to")), "cid", "left").select("pid", F.coalesce("to", "cid").alias("cid"))
         label = durable(label)
-    of_name = spelled.select("tenant", "kind", "name", "pid").distinct().join(label, "pid")
+    of_name = spelled.select("tenant", "kind", "name", "words", "extra").join(distinct.select("tenant", "kind", "words", "extra", "pid"), ["tenant", "kind", "words", "extra"]).join(label, "pid").select("tenant", "kind", "name", "cid")
+
+    def kinds(batches):
+        for df in batches:
+            df["kind"] = [kind_of(e if isinstance(e, str) else None, n, trades) for e, n in zip(df["etype"], df["name"])]
+            yield df[["key", "tenant", "name", "kind"]]
+
     # the same name can be read as two kinds where types differ; each mention goes by its own
-    typed = mentions.mapInPandas(_kinds, "key string, tenant string, name string, kind string") if dict(mentions.dtypes)["key"] == "string" else mentions.mapInPandas(_kinds, f"key {dict(mentions.dtypes)['key']}, tenant string, name string, kind string")
+    typed = mentions.mapInPandas(kinds, f"key {dict(mentions.dtypes)['key']}, tenant string, name string, kind string")
     return typed.join(of_name, ["tenant", "kind", "name"]).select("key", "tenant", "name", F.col("cid").alias("cluster")).distinct()
 
 
-def _kinds(batches):
-    for df in batches:
-        df["kind"] = [kind_of(e if isinstance(e, str) else None, n) for e, n in zip(df["etype"], df["name"])]
-        yield df[["key", "tenant", "name", "kind"]]
-
+def linked_pairs(resolved: DataFrame, block: int = 2000) -> DataFrame:
+    """Each pair of different mentions of one cluster, the smaller key first.
 
-def linked_pairs(resolved: DataFrame) -> DataFrame:
-    """Each pair of different mentions of one cluster, the smaller key first."""
-    a = resolved.select("cluster", F.col("key").alias("key_a")).distinct()
-    b = resolved.select("cluster", F.col("key").alias("key_b")).distinct()
-    return a.join(b, "cluster").where("key_a < key_b").select("key_a", "key_b").distinct()
+    They grow with the square of a cluster, which the result asks for; a large cluster's are made in tiles of ``block`` mentions beside all its others.
+    """
+    one = resolved.select("cluster", "key").distinct()
+    tiles = one.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster", F.ceil(F.col("n") / block).cast("int").alias("tiles"))
+    placed = one.join(tiles, "cluster")
+    a = placed.select("cluster", F.col("key").alias("key_a"), F.pmod(F.xxhash64("key"), "tiles").cast("int").alias("tile"))
+    b = placed.select("cluster", F.col("key").alias("key_b"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    return a.join(b, ["cluster", "tile"]).where("key_a < key_b").select("key_a", "key_b").distinct()

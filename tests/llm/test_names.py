@@ -97,7 +97,36 @@ def test_two_edits_meet_without_a_spelling_between(spark):
 
 def test_like_words_against_all_pairs(spark):
     words = sorted({"".join(w) for w in itertools.product("ab", repeat=7)} | {"".join(w) for w in itertools.product("abc", repeat=4)} | {"aaaaaaaa", "abababab", "abababa", "bbbbbbbbb"})
-    df = spark.createDataFrame([("t", "person", [w]) for w in words], "tenant string, kind string, words array<string>")
-    ids = {r.w: r.word for r in df.selectExpr("tenant", "kind", "words[0] AS word").select("word", names._word_id().alias("w")).collect()}
-    got = {(ids[r.w], ids[x]) for r in names.like_words(df).collect() for x in r.likes}
-    assert got == {(a, b) for b, a in itertools.combinations(words, 2) if names.near(a, b, names.allowed(a, b))}
+    df = spark.createDataFrame([(t, "person", w, 1000 * n + i) for n, t in enumerate(("t", "u")) for i, w in enumerate(words)], "tenant string, kind string, word string, w long")
+    got = {(r.w, r.like) for r in names.like_words(df).collect()}
+    want = {(j, i) for (i, a), (j, b) in itertools.combinations(enumerate(words), 2) if names.near(a, b, names.allowed(a, b))}
+    assert got == want | {(a + 1000, b + 1000) for a, b in want}
+
+
+def test_like_sets_against_all_pairs(spark):
+    import random
+
+    rnd = random.Random(3)
+    pool = ["bank", "first", "national", "nationl", "savings", "saving", "harbor", "harbour", "united", "untied", "trust", "a", "bo"]
+    sets = sorted({tuple(sorted(rnd.choices(pool, k=rnd.randint(1, 5)))) for _ in range(300)} | {("bank",) * 3, ("a",)})
+    df = spark.createDataFrame([("t", "organization", list(w), i) for i, w in enumerate(sets)], "tenant string, kind string, words array<string>, tid long")
+    got = {(r.tid, r.other) for r in names.like_sets(df).collect()}
+    assert got == {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i == j or names.same_words(*((a, b) if i < j else (b, a)))}
+
+
+def test_trades_are_learned(spark):
+    owners = ["Smith", "Novak", "Marlow", "Petrov", "Lind", "Okoye", "Tanaka", "Moreau"]
+    rows = [f"{o} {t}{x}" for o in owners for t, x in (("Bakery", ""), ("Plumbing", " Ltd"))] + ["Smith Bkry", "Novak Plbg. Ltd", "Marlow Bakeries", "Smith Plumbing"]
+    df = spark.createDataFrame([(i, n, "org", "t") for i, n in enumerate(rows)] + [(100, "Smith Bakery", None, "t"), (101, "Bakery Ltd", "org", "t"), (102, "The Bakery", "org", "t")], "entity_id long, name string, etype string, tenant_id string")
+    assert set(names.learned_trades(df.selectExpr("entity_id", "name", "etype", "tenant_id"))) == {"bakery", "plumbing"}
+    clusters: dict = {}
+    for r in names.resolve(df).collect():
+        clusters.setdefault(r.cluster, set()).add(r.name)
+    assert {"Smith Bakery", "Smith Bkry"} in clusters.values() and {"Novak Plumbing Ltd", "Novak Plbg. Ltd"} in clusters.values() and {"Marlow Bakery", "Marlow Bakeries"} in clusters.values()
+    assert {"Bakery Ltd", "The Bakery"} in clusters.values() and not any({"Smith Bakery", "Smith Plumbing"} <= c for c in clusters.values())
+
+
+def test_hot_surname_and_names_of_one_letter(spark):
+    rows = [(i, f"{g} Smith", "person", "t") for i, g in enumerate(["Robert", "Bob", "William", "Bill", "Mary", "R.", "X."])] + [(20 + i, f"Given{chr(97 + i // 26)}{chr(97 + i % 26)} Smith", "person", "t") for i in range(300)] + [(900, "Anna X", "person", "t"), (901, "Anna X", "person", "t"), (902, "X", "org", "t")]
+    df = spark.createDataFrame(rows, "entity_id long, name string, etype string, tenant_id string")
+    assert {tuple(r) for r in names.linked_pairs(names.resolve(df), block=2).collect()} == {(0, 1), (0, 5), (1, 5), (2, 3), (900, 901)}
