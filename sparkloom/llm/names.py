@@ -142,11 +142,12 @@ def learned_trades(mentions: DataFrame, min_share: float = 0.005, min_names: int
     words = F.filter(F.split(F.lower("name"), r"[^\p{L}]+"), lambda w: w != "")
     org = F.lower(F.coalesce("etype", F.lit(""))).rlike("org|compan|supplier|customer|vendor")
     legal = F.arrays_overlap("words", F.array(*[F.lit(x) for x in sorted(LEGAL - {"the", "and", "und", "et", "co", "sa", "group"})]))
-    named = mentions.select(F.lower("name").alias("name"), words.alias("words"), org.alias("org")).where(F.col("org") | (F.lower(F.coalesce("etype", F.lit(""))).isin("") & legal)).select("name", "words").distinct()
-    seen = named.select(F.explode(F.array_distinct("words")).alias("word"), F.col("words")[0].alias("first"))
-    each = seen.where((F.length("word") >= 5) & ~F.col("word").isin(*sorted(LEGAL | TITLES))).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("word") == F.col("first")).cast("int")).alias("first"))
-    total = named.count()
-    rows = each.where((F.col("n") >= max(min_names, min_share * total)) & (F.col("first") <= max_first)).collect()
+    named = mentions.select(F.lower("name").alias("name"), words.alias("words"), org.alias("org"), F.coalesce("etype", F.lit("")).alias("etype")).where(F.col("org") | ((F.col("etype") == "") & legal)).select("name", "words").distinct()
+    # the blank word stands in every name
+    seen = named.select(F.explode(F.array_union("words", F.array(F.lit("")))).alias("word"), F.col("words")[0].alias("first"))
+    each = seen.where(((F.length("word") >= 5) & ~F.col("word").isin(*sorted(LEGAL | TITLES))) | (F.col("word") == "")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("word") == F.col("first")).cast("int")).alias("first"))
+    total = each.where("word = ''").select(F.col("n").alias("total"))
+    rows = each.join(F.broadcast(total)).where((F.col("word") != "") & (F.col("n") >= min_names) & (F.col("n") >= min_share * F.col("total")) & (F.col("first") <= max_first)).select("word", "n").collect()  # one row is broadcast
     return tuple(r.word for r in sorted(rows, key=lambda r: (-r.n, r.word)))
 
 
@@ -258,11 +259,11 @@ def same_words(a: tuple, b: tuple) -> bool:
     return True
 
 
-PROFILE = "tenant string, kind string, name string, words array<string>, extra array<string>, initial string"
+PROFILE = "tenant string, etype string, name string, kind string, words array<string>, extra array<string>, initial string"
 
 
 def profiles(mentions: DataFrame, trades: Trades = KNOWN) -> DataFrame:
-    """One row per distinct spelling of a tenant and kind: tenant, kind, name, words, extra, initial."""
+    """One row per distinct name and type as they are written: tenant, etype, name, kind, words, extra, initial."""
 
     def run(batches):
         for df in batches:
@@ -272,10 +273,10 @@ def profiles(mentions: DataFrame, trades: Trades = KNOWN) -> DataFrame:
                     kind = kind_of(e if isinstance(e, str) else None, n, trades)
                     p = _read(kind, n, trades)
                     if p:
-                        rows.append((t, kind, n, list(p["words"]), list(p["extra"]), p.get("initial")))
-            yield pd.DataFrame(rows, columns=["tenant", "kind", "name", "words", "extra", "initial"])
+                        rows.append((t, e, n, kind, list(p["words"]), list(p["extra"]), p.get("initial")))
+            yield pd.DataFrame(rows, columns=["tenant", "etype", "name", "kind", "words", "extra", "initial"])
 
-    return mentions.select("tenant", "etype", "name").distinct().mapInPandas(run, PROFILE).distinct()
+    return mentions.select("tenant", "etype", "name").distinct().mapInPandas(run, PROFILE)
 
 
 def _numbered(df: DataFrame, name: str) -> DataFrame:
@@ -300,7 +301,7 @@ def like_words(words: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     keys = F.concat(F.array("word"), F.when(F.length("word") <= 64, deleted).otherwise(none), F.when(F.length("word") > 62, F.array(*ends)).otherwise(none))
     hashed = F.array_distinct(F.transform(keys, lambda k: F.xxhash64("tenant", "kind", k)))  # of two that are equal by chance the words are compared
-    keyed = words.where(F.length("word") >= 4).select("w", F.explode(hashed).alias("key"))
+    keyed = words.where(F.length("word") >= 4).select("w", F.explode(hashed).alias("key")).repartition("key")  # shuffled once for both sides
     pairs = keyed.join(keyed.select("key", F.col("w").alias("v")), "key").where("w < v").select("w", "v").distinct()
     x = words.select("w", "tenant", "kind", F.col("word").alias("x"))
     y = words.select(F.col("w").alias("v"), F.col("tenant").alias("t"), F.col("kind").alias("k"), F.col("word").alias("y"))
@@ -352,7 +353,7 @@ def _fitting(rows: DataFrame, like: DataFrame) -> DataFrame:
 
 def resolve(entities: DataFrame, key: str = "entity_id", tenant: str = "tenant_id") -> DataFrame:
     """key, tenant, name, cluster (a number): one row per mention; mentions of one cluster mean the same."""
-    mentions = entities.select(F.col(key).alias("key"), F.col(tenant).alias("tenant"), "etype", "name").where("key is not null and tenant is not null and trim(name) <> ''").distinct()
+    mentions = entities.select(F.col(key).alias("key"), F.col(tenant).alias("tenant"), F.coalesce("etype", F.lit("")).alias("etype"), "name").where("key is not null and tenant is not null and trim(name) <> ''").distinct()
     trades = Trades(learned_trades(mentions))  # bounded, see there
     spelled = durable(profiles(mentions, trades))
     distinct = _numbered(spelled.groupBy("tenant", "kind", "words", "extra").agg(F.array_sort(F.collect_set("initial")).alias("initials")), "pid")
@@ -362,8 +363,10 @@ def resolve(entities: DataFrame, key: str = "entity_id", tenant: str = "tenant_i
     profile = durable(distinct.join(sets, ["tenant", "kind", "words"]).select("pid", "tid", "kind", "extra", "initials", enough.alias("own")))
     # profiles of matching words that share the given name, trade or number
     said = profile.select("pid", "tid", "extra")
-    links = said.join(like.where("tid <= other"), "tid").join(said.select(F.col("pid").alias("b"), F.col("tid").alias("other"), "extra"), ["other", "extra"]).select(F.col("pid").alias("a"), "b")
-    label = durable(connected_components(links).select(F.col("node").alias("pid"), F.col("component").alias("cid")))
+    links = said.join(like.where("tid < other"), "tid").join(said.select(F.col("pid").alias("b"), F.col("tid").alias("other"), "extra"), ["other", "extra"]).select(F.col("pid").alias("a"), "b")
+    linked = connected_components(links).select(F.col("node").alias("pid"), F.col("component").alias("cid"))
+    label = durable(profile.select("pid").join(linked, "pid", "left").select("pid", F.coalesce("cid", "pid").alias("cid")))
+    again = False
     while True:  # each round but the last merges at least two clusters
         # a merged profile re-enters with all spellings of its members; it is strong once one of them says enough, and all then stand for what that one says
         now = profile.join(label, "pid")
@@ -378,24 +381,17 @@ def resolve(entities: DataFrame, key: str = "entity_id", tenant: str = "tenant_i
         # strong ones meet by a word that a loose member brought; those whose words are their own have met before
         strong = rows.where("strong").select("cid", "tid", "extra", "kind", "new")
         meet = strong.where("new").join(like, "tid").select(F.col("cid").alias("a"), "other", "kind", "extra").join(strong.select(F.col("cid").alias("b"), F.col("tid").alias("other"), "kind", "extra"), ["other", "kind", "extra"])
-        same = durable(meet.where("a <> b").select("a", "b").distinct())
-        moved, joined = moves.limit(1).count(), same.limit(1).count()
+        same = durable(meet.where("a <> b").select("a", "b").distinct()) if again else None
+        moved, joined, again = moves.limit(1).count(), same is not None and same.limit(1).count(), True
         if not moved and not joined:
             break
         label = label.join(moves, "cid", "left").select("pid", F.coalesce("to", "cid").alias("cid"))
         if joined:
             label = label.join(connected_components(same).select(F.col("node").alias("cid"), F.col("component").alias("to")), "cid", "left").select("pid", F.coalesce("to", "cid").alias("cid"))
         label = durable(label)
-    of_name = spelled.select("tenant", "kind", "name", "words", "extra").join(distinct.select("tenant", "kind", "words", "extra", "pid"), ["tenant", "kind", "words", "extra"]).join(label, "pid").select("tenant", "kind", "name", "cid")
-
-    def kinds(batches):
-        for df in batches:
-            df["kind"] = [kind_of(e if isinstance(e, str) else None, n, trades) for e, n in zip(df["etype"], df["name"])]
-            yield df[["key", "tenant", "name", "kind"]]
-
+    read = spelled.select("tenant", "etype", "name", "kind", "words", "extra").join(distinct.select("tenant", "kind", "words", "extra", "pid"), ["tenant", "kind", "words", "extra"]).join(label, "pid").select("tenant", "etype", "name", "cid")
     # the same name can be read as two kinds where types differ; each mention goes by its own
-    typed = mentions.mapInPandas(kinds, f"key {dict(mentions.dtypes)['key']}, tenant string, name string, kind string")
-    return typed.join(of_name, ["tenant", "kind", "name"]).select("key", "tenant", "name", F.col("cid").alias("cluster")).distinct()
+    return mentions.join(read, ["tenant", "etype", "name"]).select("key", "tenant", "name", F.col("cid").alias("cluster")).distinct()
 
 
 def linked_pairs(resolved: DataFrame, block: int = 2000) -> DataFrame:
