@@ -2,27 +2,35 @@
 
 Method: an FM-index per shard of documents. Words are numbered by the passages' vocabulary; the shard's word string is sorted
 into a suffix array, its BWT kept in a wavelet matrix; all phrases of the passages are searched backward through its ranks,
-their occurrences located by sampled suffix positions, and the occurrences of one item in one document merged into spans. A
-document holds an item when the words of the passage matched in order inside a span are at least ``min_share`` of the
-passage; the exact check of a span follows the search.
+their occurrences located by sampled suffix positions, and the occurrences of one item in one document merged into spans: the
+longest chain of words in the order of both sides, however far apart its parts lie, with the words of short gaps matched exactly.
+
+A document holds an item when the chain has at least ``min_share`` of the passage's words and the phrases in it are about as rare as
+the passage's are: the mean rarity of the phrases found is at least ``min_rarity`` of that of all its phrases. Phrases many
+documents have, as forms of speech and headings, are found everywhere and say nothing of the passage. How often each phrase
+occurs is counted by the same indexes over all documents.
 
 The passages are a bounded table (``max_items`` rows, checked); the documents never leave their tasks.
 
 Defined results. Null, empty and blank texts and passages match nothing. Words are compared in lower case after NFKC, without
 markup, soft hyphens, and line-end hyphens. Words no passage has are breaks no phrase crosses. A passage of fewer than
-``phrase`` words is searched as one phrase. Repeated rows give one result row. Extra columns are ignored.
+``phrase`` words is searched as one phrase. Repeated rows give one result row. Extra columns are ignored. A passage that stands in
+a document several times has a row for each place.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from sparkloom.session import durable
+
 WORD = re.compile(r"[^\W_]+")
 MARKUP = re.compile(r"<[^<>\n]{1,60}>|&(?:nbsp|amp|quot|lt|gt|#\d+);|[­​-‍⁠﻿]|(?<=[^\W\d_])-[ \t]*\n[ \t]*(?=[a-zà-ÿ])")
 
@@ -161,6 +169,10 @@ class Passages:
                 where.setdefault(tuple(t[k : k + phrase]), []).append((x, k))
         self.phrases = np.array([[*p, *[0] * (phrase - len(p))] for p in where], np.int64).reshape(-1, phrase)
         self.lengths = np.array([len(p) for p in where], np.int64)
+        self.number = [[0] * max(1, len(t) - phrase + 1) if t else [] for t in self.words]  # of each item's phrases
+        for i, places in enumerate(where.values()):
+            for x, k in places:
+                self.number[x][k] = i
         self.first = np.concatenate([[0], np.cumsum([len(v) for v in where.values()])]).astype(np.int64)
         flat = [u for v in where.values() for u in v]
         self.item = np.array([u[0] for u in flat], np.int64)
@@ -180,47 +192,66 @@ def matched_words(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def merge_span(item: list[int], doc: list[int], hits: list[tuple[int, int]], phrase: int, gap: int) -> tuple[int, int, int, int]:
-    """The best chain of an item's occurrences in a document: words of the passage matched in order, first and last word of the span, longest block.
-
-    Occurrences on one diagonal form blocks; blocks are chained in the order of both sides while neither side skips over
-    ``gap`` words (a skipped word costs 0.15 of a word); the words between and just beyond the blocks are matched exactly.
-    """
-    hits.sort(key=lambda h: (h[0] - h[1], h[0]))
-    blocks: list[list[int]] = []  # place in the item, in the document, words
-    for d, p in hits:
-        if blocks and blocks[-1][1] - blocks[-1][0] == d - p and p <= blocks[-1][0] + blocks[-1][2]:
-            blocks[-1][2] = max(blocks[-1][2], p + phrase - blocks[-1][0])
+def longest_chain(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of (place in the document, place in the item) that rises in both, in n log n steps."""
+    ends: list[int] = []  # for each length the least place in the item a chain of it ends at
+    last: list[int] = []
+    back = [-1] * len(points)
+    points = sorted(points, key=lambda x: (x[0], -x[1]))
+    for i, (_, p) in enumerate(points):
+        k = bisect_left(ends, p)
+        back[i] = last[k - 1] if k else -1
+        if k == len(ends):
+            ends.append(p)
+            last.append(i)
         else:
-            blocks.append([p, d, phrase])
-    blocks.sort(key=lambda x: (x[1], x[0]))
-    score: list[float] = []
-    back: list[int] = []
-    for j, (p, d, n) in enumerate(blocks):
-        best, came = float(n), -1
-        for i in range(j - 1, -1, -1):
-            q, e, m = blocks[i]
-            over = max(0, q + m - p, e + m - d)
-            skip = max(p - q - m, d - e - m)
-            if over < n and p > q and d > e and skip <= gap and score[i] + n - over - 0.15 * max(0, skip) > best:
-                best, came = score[i] + n - over - 0.15 * max(0, skip), i
-        score.append(best)
-        back.append(came)
-    j = max(range(len(score)), key=score.__getitem__)
-    chain = []
-    while j >= 0:
-        chain.append(blocks[j])
-        j = back[j]
-    chain.reverse()
+            ends[k], last[k] = p, i
+    out, i = [], last[-1] if last else -1
+    while i >= 0:
+        out.append(points[i])
+        i = back[i]
+    return out[::-1]
+
+
+def chain_span(item: list[int], doc: list[int], hits: list[tuple[int, int]], phrase: int) -> tuple[int, int, int]:
+    """Words of the passage matched in order, first and last word of the span. The words between the chain's parts are matched where the gap is short, and those just beyond its ends."""
+    chain = longest_chain(list({(d + i, p + i) for d, p in hits for i in range(phrase)}))
+    got = len(chain)
+    for (d, p), (e, q) in zip(chain, chain[1:]):
+        if q - p > 1 and 1 < e - d <= 2 * (q - p) + 8:
+            got += matched_words(item[p + 1 : q], doc[d + 1 : e])
+    (d0, p0), (d1, p1) = chain[0], chain[-1]
     edge = phrase + 4
-    (p0, d0, _), (p1, d1, n1) = chain[0], chain[-1]
-    lo_p, lo_d = max(0, p0 - edge), max(0, d0 - edge)
-    hi_p, hi_d = p1 + n1 + edge, d1 + n1 + edge
-    return matched_words(item[lo_p:hi_p], doc[lo_d:hi_d]), d0, d1 + n1, max(n for _, _, n in chain)
+    if p0:
+        got += matched_words(item[max(0, p0 - edge) : p0], doc[max(0, d0 - edge) : d0])
+    if p1 + 1 < len(item):
+        got += matched_words(item[p1 + 1 : p1 + 1 + edge], doc[d1 + 1 : d1 + 1 + edge])
+    return got, d0, d1 + 1
+
+
+def merge_spans(item: list[int], doc: list[int], hits: list[tuple[int, int]], phrase: int, least: float) -> list[tuple[int, int, int, list[int]]]:
+    """The spans of a document that hold at least ``least`` words of an item, with the item's places found in each: those of hits near each other, or, where no such has enough, of all hits together."""
+    hits = sorted(hits)
+    groups: list[list[tuple[int, int]]] = []
+    for h in hits:
+        if groups and h[0] - groups[-1][-1][0] <= 2 * len(item):
+            groups[-1].append(h)
+        else:
+            groups.append([h])
+    out = []
+    for g in groups if len(groups) == 1 else [*groups, hits]:
+        if g is hits and out and len(groups) > 1:
+            break
+        if len({p + i for _, p in g for i in range(phrase)}) < 0.6 * least:
+            continue
+        got, first, last = chain_span(item, doc, g, phrase)
+        if got >= least:
+            out.append((got, first, last, sorted({p for d, p in g if first <= d < last})))
+    return out
 
 
-def search_shard(texts: list[str | None], passages: Passages, phrase: int, min_share: float, gap: int) -> list[tuple[int, int, float, int, int]]:
-    """(document's place in the shard, item's place, share, first word, last word) of each document that holds an item."""
+def search_shard(texts: list[str | None], passages: Passages, phrase: int, min_share: float, counts: np.ndarray | None = None) -> list[tuple[int, int, float, int, int, list[int]]]:
+    """(document's place in the shard, item's place, share, first word, last word, phrases found) of each span that holds enough of an item. The phrases' occurrences are added to ``counts``."""
     get = passages.vocab.get
     docs = [[get(w, 0) for w in words_of(t)] if t else [] for t in texts]
     sizes = np.array([len(d) + 1 for d in docs], np.int64)
@@ -233,6 +264,8 @@ def search_shard(texts: list[str | None], passages: Passages, phrase: int, min_s
     fm = FMIndex(s, len(passages.vocab))
     lo, hi = fm.search(passages.phrases, passages.lengths)
     n = hi - lo
+    if counts is not None:
+        counts += n
     which = np.repeat(np.arange(len(n)), n)
     rows = np.repeat(lo, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     pos = fm.locate(rows)
@@ -242,51 +275,56 @@ def search_shard(texts: list[str | None], passages: Passages, phrase: int, min_s
     occ = np.repeat(np.arange(len(which)), times)
     use = np.repeat(passages.first[which], times) + np.arange(len(occ)) - np.repeat(np.cumsum(times) - times, times)
     doc, item, place, at = doc[occ], passages.item[use], passages.place[use], (pos - begin[doc])[occ]
-    # a holder has most of its occurrences near one diagonal: count them in two overlapping rows of bands
+    # most of the words asked for must be in phrases found, so so many different places of the item must be
     size = np.array([max(1, len(w)) for w in passages.words])
     pair = doc * len(size) + item
-    keep = np.zeros(len(pair), bool)
-    for shift in (0, 16):
-        key = pair * (1 << 22) + (at - place + (1 << 20) + shift) // 32
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        keep |= count[inverse] >= np.maximum(1, np.minimum(0.05 * size[item], np.maximum(1, size[item] - phrase + 1)))
-    chosen = np.flatnonzero(keep)
-    order = chosen[np.argsort(pair[chosen], kind="stable")]
+    distinct = np.unique(pair * (1 << 20) + place)
+    holders, found = np.unique(distinct >> 20, return_counts=True)
+    length = size[holders % len(size)]
+    chosen = holders[found >= np.maximum(1, np.minimum(0.6 * min_share * length / phrase, length - phrase + 1))]
+    kept = np.flatnonzero(np.isin(pair, chosen))
+    order = kept[np.argsort(pair[kept], kind="stable")]
     out = []
     edges = np.flatnonzero(np.diff(pair[order], prepend=-1, append=-2)) if len(order) else []
     for a, b in zip(edges[:-1], edges[1:]) if len(order) else ():
         g = order[a:b]
         x, y = int(doc[g[0]]), int(item[g[0]])
         words = passages.words[y]
-        got, first, last, longest = merge_span(words, docs[x], list(zip(at[g].tolist(), place[g].tolist())), min(phrase, len(words)), gap)
-        # scattered stock phrases are no passage: most of the span must match, or a long stretch of it word for word
-        if got >= min_share * len(words) and (got >= 0.6 * (last - first) or longest >= max(16, 0.2 * len(words))):
-            out.append((x, y, got / len(words), first, last))
+        for got, first, last, places in merge_spans(words, docs[x], list(zip(at[g].tolist(), place[g].tolist())), min(phrase, len(words)), min_share * len(words)):
+            out.append((x, y, got / len(words), first, last, [int(passages.number[y][p]) for p in places]))
     return out
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passage: str = "passage", phrase: int = 5, min_share: float = 0.5, gap: int = 300, shard_words: int = 400_000, max_items: int = 100_000) -> DataFrame:
-    """One row per document and item it holds: key, item_key, share (of the passage's words), first_word, last_word (the span to remove, in words of the text)."""
-    rows = items.where(f"{passage} is not null").select(item_key, passage).distinct().limit(max_items + 1).collect()
+def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passage: str = "passage", phrase: int = 4, min_share: float = 0.5, min_rarity: float = 0.75, shard_words: int = 400_000, max_items: int = 100_000) -> DataFrame:
+    """One row per document, item it holds and place: key, item_key, share (of the passage's words), first_word, last_word (the span to remove, in words of the text)."""
+    rows = items.where(f"{passage} is not null").select(item_key, passage).distinct().orderBy(item_key, passage).limit(max_items + 1).collect()
     if len(rows) > max_items:
         raise ValueError(f"more than {max_items} passages: search them in several runs")
-    shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows])  # at most max_items passages
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows])  # at most max_items passages
     key_type = docs.schema[key].dataType.simpleString()
     item_type = items.schema[item_key].dataType.simpleString()
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(shared.value, phrase)
+        counts = np.zeros(len(passages.phrases), np.int64)
+        n_docs, key_arrow = 0, None
 
         def done(keys: list, texts: list) -> pa.RecordBatch | None:
-            hits = search_shard(texts, passages, phrase, min_share, gap)
-            return pa.RecordBatch.from_pydict({key: pa.array([keys[h[0]] for h in hits], key_arrow), item_key: pa.array([passages.ids[h[1]] for h in hits]), "share": pa.array([h[2] for h in hits], pa.float64()), "first_word": pa.array([h[3] for h in hits], pa.int64()), "last_word": pa.array([h[4] for h in hits], pa.int64())}) if hits else None
+            hits = search_shard(texts, passages, phrase, min_share, counts)
+            if not hits:
+                return None
+            item = pa.array([h[1] for h in hits], pa.int64())
+            return pa.RecordBatch.from_pydict({"key": pa.array([keys[h[0]] for h in hits], key_arrow), "item": item, "share": pa.array([h[2] for h in hits], pa.float64()), "first_word": pa.array([h[3] for h in hits], pa.int64()), "last_word": pa.array([h[4] for h in hits], pa.int64()), "phrases": pa.array([h[5] for h in hits], longs), "times": pa.nulls(len(hits), longs)})
 
-        keys, texts, size, key_arrow = [], [], 0, None
+        keys, texts, size = [], [], 0
         for batch in batches:
             key_arrow = batch.schema.field(0).type
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not t:
                     continue
+                n_docs += 1
                 keys.append(k)
                 texts.append(t)
                 size += len(t)
@@ -296,6 +334,27 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                     keys, texts, size = [], [], 0
         if keys and (out := done(keys, texts)) is not None:
             yield out
-
-    found = docs.select(key, text).mapInArrow(run, f"{key} {key_type}, {item_key} {item_type}, share double, first_word long, last_word long")
-    return found.groupBy(key, item_key).agg(F.max(F.struct("share", "first_word", "last_word")).alias("best")).select(key, item_key, "best.*")
+        if n_docs:  # one row a task: its documents and how often each phrase occurs in them
+            seen = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_pydict({"key": pa.nulls(1, key_arrow), "item": pa.array([n_docs], pa.int64()), "share": pa.nulls(1, pa.float64()), "first_word": pa.nulls(1, pa.int64()), "last_word": pa.nulls(1, pa.int64()), "phrases": pa.array([seen.tolist()], longs), "times": pa.array([counts[seen].tolist()], longs)})
+
+    out = durable(docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, f"key {key_type}, item long, share double, first_word long, last_word long, phrases array<long>, times array<long>"))
+    spans, tasks = out.where("share is not null"), out.where("share is null")
+    counted = tasks.select(F.explode(F.arrays_zip("phrases", "times")).alias("x")).groupBy("x.phrases").agg(F.sum("x.times").alias("n")).select(F.col("phrases").alias("phrase"), "n")
+    total = tasks.agg(F.sum("item").alias("n_docs"))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            passages = Passages(shared.value, phrase)
+            for i, numbers in enumerate(passages.number):
+                yield pa.RecordBatch.from_pydict({"item": pa.array([i] * len(numbers), pa.int64()), "phrase": pa.array(numbers, pa.int64())})
+
+    # a phrase's rarity: the logarithm of the documents over its occurrences
+    asked = spark.range(1, numPartitions=1).mapInArrow(parts, "item long, phrase long")
+    rarity = F.log1p(F.col("n_docs") / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)))
+    rare = durable(asked.join(counted, "phrase", "left").join(F.broadcast(total)).select("item", "phrase", rarity.alias("rarity")))  # one row is broadcast
+    usual = rare.groupBy("item").agg(F.avg("rarity").alias("usual"))
+    span = spans.select("key", "item", "share", "first_word", "last_word", F.explode("phrases").alias("phrase"))
+    judged = span.join(rare.distinct(), ["item", "phrase"]).groupBy("key", "item", "share", "first_word", "last_word").agg(F.avg("rarity").alias("rarity")).join(usual, "item").where(F.col("rarity") >= min_rarity * F.col("usual"))
+    names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"item long, {item_key} {item_type}")
+    return judged.join(names, "item").select(F.col("key").alias(key), item_key, "share", "first_word", "last_word").distinct()

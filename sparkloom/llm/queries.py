@@ -69,7 +69,7 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_spans(spark, d).select("doc_id", "item_id")
+    return p7_spans(spark, d).select("doc_id", "item_id").distinct()
 
 
 QUERIES = {"p4_found": p4_found, "p4_text": p4_text, "p6_found": p6_found, "p6_entities": p6_entities, "p1_found": p1_found, "p1_pieces": p1_pieces, "p8_mix": p8_mix, "p8_shares": p8_shares, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p7_found": p7_found, "p7_spans": p7_spans, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}

@@ -47,6 +47,47 @@ def cases():
     yield 9, "", False
     yield 10, (OTHER + " ") * 300 + PASSAGE, True
     yield 1, OTHER + " " + PASSAGE + " " + OTHER, True
+    w = PASSAGE.split()
+    yield 11, " ".join(" ".join(w[i : i + 5]) + " a1 b2 c3 d4" for i in range(0, 60, 5)), True  # strange words between
+    yield 12, " ".join("changed" if i % 5 == 4 else x for i, x in enumerate(w)), True  # every fifth word changed
+    yield 13, " ".join(" ".join(w[i : i + 8]) + " " + " ".join(f"col{j}" for j in range(8)) for i in range(0, 60, 8)), True  # two columns
+    yield 14, " ".join(" ".join(w[i : i + 12]) + " " + " ".join(f"far{j}" for j in range(700)) for i in range(0, 60, 12)), True  # parts far apart
+    yield 15, " ".join(w[:10]) + " " + OTHER + " " + " ".join(w[30:42]), False
+
+
+def test_chain_is_the_longest():
+    import itertools
+    import random
+
+    rnd = random.Random(1)
+    for _ in range(300):
+        points = [(rnd.randrange(6), rnd.randrange(6)) for _ in range(rnd.randrange(1, 9))]
+        got = leak.longest_chain(list(set(points)))
+        rises = lambda c: all(a[0] < b[0] and a[1] < b[1] for a, b in zip(c, c[1:]))
+        best = max(n for n in range(1, 9) for c in itertools.combinations(sorted(set(points)), n) if rises(c))
+        assert rises(got) and len(got) == best
+
+
+def test_forms_of_speech_are_no_passage(spark):
+    stock = [" ".join(f"form{k}w{i}" for i in range(6)) for k in range(10)]
+    own = " ".join(f"own{i}" for i in range(40))
+    passage = " ".join(stock[:5]) + " " + own[:150] + " " + " ".join(stock[5:])
+    docs = [(i, " ".join(f"{s} d{i}x{j} e{i}x{j}" for j, s in enumerate(stock))) for i in range(60)] + [(99, passage), (98, own)]
+    got = {r.doc_id for r in leak.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, passage)], "item_id long, passage string")).collect()}
+    assert got == {99}
+
+
+def test_each_place_has_a_span_and_many_hits_are_quick(spark):
+    doc = PASSAGE + " " + OTHER + " " + PASSAGE + " " + OTHER
+    docs = spark.createDataFrame([(1, doc)], "doc_id long, text string")
+    got = [(r.first_word, r.last_word) for r in leak.find_leaks(docs, spark.createDataFrame([(5, PASSAGE)], "item_id long, passage string")).collect()]
+    assert sorted(got) == [(0, 60), (460, 520)]
+    import time
+
+    t = time.time()
+    passages = leak.Passages([(1, "in view of the above " + PASSAGE)], 4)
+    assert leak.search_shard([("in view of the above " * 20_000) + PASSAGE], passages, 4, 0.5)[0][2] > 0.9
+    assert time.time() - t < 20
 
 
 def test_find_leaks(spark):
