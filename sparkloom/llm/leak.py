@@ -5,14 +5,14 @@ into a suffix array, its BWT kept in a wavelet matrix; all phrases of the passag
 their occurrences located by sampled suffix positions, and the occurrences of one item in one document merged into spans: the
 longest chain of words in the order of both sides, however far apart its parts lie, with the words of short gaps matched exactly.
 
-A document holds an item when the chain has at least ``min_share`` of the passage's words and the phrases in it are about as rare as
-the passage's are: the mean rarity of the phrases found is at least ``min_rarity`` of that of all its phrases. Phrases many
-documents have, as forms of speech and headings, are found everywhere and say nothing of the passage. How often each phrase
-occurs is counted by the same indexes over all documents.
+A document holds an item when the parts of the chain that are the passage's own have at least ``min_share`` of its words. A part is
+its own when the phrases in it are about as rare as the passage's are: their mean rarity is at least ``min_rarity`` of that of all
+its phrases. Phrases many documents have, as forms of speech and headings, are found everywhere and say nothing of the passage
+where they stand alone. How often each phrase occurs is counted by the same indexes over all documents.
 
 The passages are a bounded table (``max_items`` rows, checked); the documents never leave their tasks.
 
-Defined results. Null, empty and blank texts and passages match nothing. Words are compared in lower case after NFKC, without
+Defined results. Null, empty and blank texts and passages match nothing. Words are compared in lower case after NFKD, without accents,
 markup, soft hyphens, and line-end hyphens. Words no passage has are breaks no phrase crosses. A passage of fewer than
 ``phrase`` words is searched as one phrase. Repeated rows give one result row. Extra columns are ignored. A passage that stands in
 a document several times has a row for each place.
@@ -22,23 +22,25 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkloom.session import durable
 
 WORD = re.compile(r"[^\W_]+")
+MARKS = re.compile("[\u0300-\u036f]+")
 MARKUP = re.compile(r"<[^<>\n]{1,60}>|&(?:nbsp|amp|quot|lt|gt|#\d+);|[­​-‍⁠﻿]|(?<=[^\W\d_])-[ \t]*\n[ \t]*(?=[a-zà-ÿ])")
 
 
 def words_of(text: str) -> list[str]:
     """The text's words as they are compared."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
+        text = MARKS.sub("", unicodedata.normalize("NFKD", text)).replace("ß", "ss")
     if "<" in text or "&" in text or "-\n" in text or "- \n" in text or not text.isascii():
         text = MARKUP.sub(lambda m: " " if m[0][0] in "&" else "", text)
     return WORD.findall(text.lower())
@@ -213,24 +215,37 @@ def longest_chain(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def chain_span(item: list[int], doc: list[int], hits: list[tuple[int, int]], phrase: int) -> tuple[int, int, int]:
-    """Words of the passage matched in order, first and last word of the span. The words between the chain's parts are matched where the gap is short, and those just beyond its ends."""
+def chain_parts(item: list[int], doc: list[int], hits: list[tuple[int, int]], phrase: int) -> list[tuple[int, int, int, list[int]]]:
+    """The parts of the longest chain: words of the passage matched in order, first and last word in the document, and the item's places of the phrases found. Words in short gaps are matched exactly and join two parts; so are those just beyond the chain's ends."""
     chain = longest_chain(list({(d + i, p + i) for d, p in hits for i in range(phrase)}))
-    got = len(chain)
-    for (d, p), (e, q) in zip(chain, chain[1:]):
-        if q - p > 1 and 1 < e - d <= 2 * (q - p) + 8:
-            got += matched_words(item[p + 1 : q], doc[d + 1 : e])
-    (d0, p0), (d1, p1) = chain[0], chain[-1]
+    if not chain:
+        return []
+    ends = {(d + phrase - 1, p + phrase - 1): p for d, p in hits}
+    starts = {(d, p) for d, p in hits}
+    parts: list[list] = []
+    before = None
+    for d, p in chain:
+        if before is None or p - before[1] > phrase + 1 or d - before[0] > 2 * (p - before[1]) + 8:
+            parts.append([0, d, d + 1, set()])
+        elif p - before[1] > 1 and d - before[0] > 1:
+            parts[-1][0] += matched_words(item[before[1] + 1 : p], doc[before[0] + 1 : d])
+        parts[-1][0] += 1
+        parts[-1][2] = d + 1
+        if (d, p) in starts:
+            parts[-1][3].add(p)
+        if (d, p) in ends:
+            parts[-1][3].add(ends[d, p])
+        before = (d, p)
     edge = phrase + 4
-    if p0:
-        got += matched_words(item[max(0, p0 - edge) : p0], doc[max(0, d0 - edge) : d0])
-    if p1 + 1 < len(item):
-        got += matched_words(item[p1 + 1 : p1 + 1 + edge], doc[d1 + 1 : d1 + 1 + edge])
-    return got, d0, d1 + 1
+    (d0, p0), (d1, p1) = chain[0], chain[-1]
+    for part, a, b in ((parts[0], item[max(0, p0 - edge) : p0], doc[max(0, d0 - edge) : d0]), (parts[-1], item[p1 + 1 : p1 + 1 + edge], doc[d1 + 1 : d1 + 1 + edge])):
+        more = matched_words(a, b) if a else 0
+        part[0] += more if 2 * more >= len(a) else 0  # fewer are there by chance
+    return [(n, first, last, sorted(places)) for n, first, last, places in parts if places]
 
 
-def merge_spans(item: list[int], doc: list[int], hits: list[tuple[int, int]], phrase: int, least: float) -> list[tuple[int, int, int, list[int]]]:
-    """The spans of a document that hold at least ``least`` words of an item, with the item's places found in each: those of hits near each other, or, where no such has enough, of all hits together."""
+def merge_spans(item: list[int], doc: list[int], hits: list[tuple[int, int]], phrase: int, least: float) -> list[tuple[int, list[tuple[int, int, int, list[int]]]]]:
+    """(whether over all hits, parts) of the chains of at least ``least`` words: those of hits near each other, and, where there are several such, that of all hits together."""
     hits = sorted(hits)
     groups: list[list[tuple[int, int]]] = []
     for h in hits:
@@ -239,19 +254,16 @@ def merge_spans(item: list[int], doc: list[int], hits: list[tuple[int, int]], ph
         else:
             groups.append([h])
     out = []
-    for g in groups if len(groups) == 1 else [*groups, hits]:
-        if g is hits and out and len(groups) > 1:
-            break
-        if len({p + i for _, p in g for i in range(phrase)}) < 0.6 * least:
-            continue
-        got, first, last = chain_span(item, doc, g, phrase)
-        if got >= least:
-            out.append((got, first, last, sorted({p for d, p in g if first <= d < last})))
+    for level, g in [*((0, g) for g in groups), *([(1, hits)] if len(groups) > 1 else [])]:
+        if len({p + i for _, p in g for i in range(phrase)}) >= 0.6 * least:
+            parts = chain_parts(item, doc, g, phrase)
+            if sum(x[0] for x in parts) >= least:
+                out.append((level, parts))
     return out
 
 
-def search_shard(texts: list[str | None], passages: Passages, phrase: int, min_share: float, counts: np.ndarray | None = None) -> list[tuple[int, int, float, int, int, list[int]]]:
-    """(document's place in the shard, item's place, share, first word, last word, phrases found) of each span that holds enough of an item. The phrases' occurrences are added to ``counts``."""
+def search_shard(texts: list[str | None], passages: Passages, phrase: int, min_share: float, counts: np.ndarray | None = None) -> list[tuple[int, int, int, int, int, int, int, list[int]]]:
+    """(document's place in the shard, item's place, whether over all hits, number of the span, words, first word, last word, phrases found) of each part of the spans that hold enough of an item. The phrases' occurrences are added to ``counts``."""
     get = passages.vocab.get
     docs = [[get(w, 0) for w in words_of(t)] if t else [] for t in texts]
     sizes = np.array([len(d) + 1 for d in docs], np.int64)
@@ -290,8 +302,8 @@ def search_shard(texts: list[str | None], passages: Passages, phrase: int, min_s
         g = order[a:b]
         x, y = int(doc[g[0]]), int(item[g[0]])
         words = passages.words[y]
-        for got, first, last, places in merge_spans(words, docs[x], list(zip(at[g].tolist(), place[g].tolist())), min(phrase, len(words)), min_share * len(words)):
-            out.append((x, y, got / len(words), first, last, [int(passages.number[y][p]) for p in places]))
+        for no, (level, parts) in enumerate(merge_spans(words, docs[x], list(zip(at[g].tolist(), place[g].tolist())), min(phrase, len(words)), min_share * len(words))):
+            out += [(x, y, level, no, n, first, last, [int(passages.number[y][p]) for p in places]) for n, first, last, places in parts]
     return out
 
 
@@ -305,6 +317,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     key_type = docs.schema[key].dataType.simpleString()
     item_type = items.schema[item_key].dataType.simpleString()
     longs = pa.list_(pa.int64())
+    columns = ["key", "item", "level", "span", "words", "first_word", "last_word", "phrases", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(shared.value, phrase)
@@ -315,8 +328,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
             hits = search_shard(texts, passages, phrase, min_share, counts)
             if not hits:
                 return None
-            item = pa.array([h[1] for h in hits], pa.int64())
-            return pa.RecordBatch.from_pydict({"key": pa.array([keys[h[0]] for h in hits], key_arrow), "item": item, "share": pa.array([h[2] for h in hits], pa.float64()), "first_word": pa.array([h[3] for h in hits], pa.int64()), "last_word": pa.array([h[4] for h in hits], pa.int64()), "phrases": pa.array([h[5] for h in hits], longs), "times": pa.nulls(len(hits), longs)})
+            whole = [pa.array([h[i] for h in hits], pa.int64()) for i in range(1, 7)]
+            whole[2] = pa.array([(zlib.crc32(texts[h[0]].encode("utf-8", "replace")) << 20) + h[3] for h in hits], pa.int64())  # rows of one key with different texts stay apart
+            return pa.RecordBatch.from_arrays([pa.array([keys[h[0]] for h in hits], key_arrow), *whole, pa.array([h[7] for h in hits], longs), pa.nulls(len(hits), longs)], names=columns)
 
         keys, texts, size = [], [], 0
         for batch in batches:
@@ -336,10 +350,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
             yield out
         if n_docs:  # one row a task: its documents and how often each phrase occurs in them
             seen = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"key": pa.nulls(1, key_arrow), "item": pa.array([n_docs], pa.int64()), "share": pa.nulls(1, pa.float64()), "first_word": pa.nulls(1, pa.int64()), "last_word": pa.nulls(1, pa.int64()), "phrases": pa.array([seen.tolist()], longs), "times": pa.array([counts[seen].tolist()], longs)})
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_arrow), pa.array([n_docs], pa.int64()), *[pa.nulls(1, pa.int64())] * 5, pa.array([seen.tolist()], longs), pa.array([counts[seen].tolist()], longs)], names=columns)
 
-    out = durable(docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, f"key {key_type}, item long, share double, first_word long, last_word long, phrases array<long>, times array<long>"))
-    spans, tasks = out.where("share is not null"), out.where("share is null")
+    out = durable(docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, f"key {key_type}, item long, level long, span long, words long, first_word long, last_word long, phrases array<long>, times array<long>"))
+    spans, tasks = out.where("times is null"), out.where("times is not null")
     counted = tasks.select(F.explode(F.arrays_zip("phrases", "times")).alias("x")).groupBy("x.phrases").agg(F.sum("x.times").alias("n")).select(F.col("phrases").alias("phrase"), "n")
     total = tasks.agg(F.sum("item").alias("n_docs"))
 
@@ -354,7 +368,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     rarity = F.log1p(F.col("n_docs") / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)))
     rare = durable(asked.join(counted, "phrase", "left").join(F.broadcast(total)).select("item", "phrase", rarity.alias("rarity")))  # one row is broadcast
     usual = rare.groupBy("item").agg(F.avg("rarity").alias("usual"))
-    span = spans.select("key", "item", "share", "first_word", "last_word", F.explode("phrases").alias("phrase"))
-    judged = span.join(rare.distinct(), ["item", "phrase"]).groupBy("key", "item", "share", "first_word", "last_word").agg(F.avg("rarity").alias("rarity")).join(usual, "item").where(F.col("rarity") >= min_rarity * F.col("usual"))
-    names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"item long, {item_key} {item_type}")
-    return judged.join(names, "item").select(F.col("key").alias(key), item_key, "share", "first_word", "last_word").distinct()
+    part = ["key", "item", "level", "span", "words", "first_word", "last_word"]
+    found = spans.select(*part, F.explode("phrases").alias("phrase")).join(rare.distinct(), ["item", "phrase"]).groupBy(*part).agg(F.avg("rarity").alias("rarity"))
+    own = found.join(usual, "item").where(F.col("rarity") >= min_rarity * F.col("usual"))
+    names = spark.createDataFrame([(i, r[0], max(1, len(words_of(r[1])))) for i, r in enumerate(rows)], f"item long, {item_key} {item_type}, n_words long")
+    span = own.groupBy("key", "item", "level", "span").agg(F.sum("words").alias("words"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word")).join(names, "item").where(F.col("words") >= min_share * F.col("n_words"))
+    # a span over all parts of a document counts only where none of its own has enough
+    best = span.withColumn("best", F.min("level").over(Window.partitionBy("key", "item"))).where("level = best")  # a document's spans of an item
+    return best.select(F.col("key").alias(key), item_key, F.least(F.lit(1.0), F.col("words") / F.col("n_words")).alias("share"), "first_word", "last_word").distinct()

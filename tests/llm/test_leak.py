@@ -86,7 +86,7 @@ def test_each_place_has_a_span_and_many_hits_are_quick(spark):
 
     t = time.time()
     passages = leak.Passages([(1, "in view of the above " + PASSAGE)], 4)
-    assert leak.search_shard([("in view of the above " * 20_000) + PASSAGE], passages, 4, 0.5)[0][2] > 0.9
+    assert leak.search_shard([("in view of the above " * 20_000) + PASSAGE], passages, 4, 0.5)[0][4] > 60
     assert time.time() - t < 20
 
 
