@@ -301,7 +301,8 @@ def like_words(words: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     keys = F.concat(F.array("word"), F.when(F.length("word") <= 64, deleted).otherwise(none), F.when(F.length("word") > 62, F.array(*ends)).otherwise(none))
     hashed = F.array_distinct(F.transform(keys, lambda k: F.xxhash64("tenant", "kind", k)))  # of two that are equal by chance the words are compared
-    keyed = words.where(F.length("word") >= 4).select("w", F.explode(hashed).alias("key")).repartition("key")  # shuffled once for both sides
+    spread = max(words.sparkSession.sparkContext.defaultParallelism, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a word makes dozens of rows
+    keyed = words.where(F.length("word") >= 4).repartition(spread).select("w", F.explode(hashed).alias("key")).repartition("key")  # shuffled once for both sides
     pairs = keyed.join(keyed.select("key", F.col("w").alias("v")), "key").where("w < v").select("w", "v").distinct()
     x = words.select("w", "tenant", "kind", F.col("word").alias("x"))
     y = words.select(F.col("w").alias("v"), F.col("tenant").alias("t"), F.col("kind").alias("k"), F.col("word").alias("y"))

@@ -42,7 +42,8 @@ def test_viterbi_against_brute_force():
 def test_mixed_text_and_edge_cases():
     mixed = TEXT["en"] + " " + TEXT["de"]
     out = lang.label_texts([mixed, None, "", "  \n", "12 34;56", "Съд и право на всички хора."], model(), 3.0, 8.0, 4)
-    assert [(s[3], s[6]) for s in out[0]] == [("en", 2), ("de", 2)] and out[1:] == [[]] * 5
+    assert [(s[3], s[6]) for s in out[0]] == [("en", 2), ("de", 2)] and out[1:5] == [[]] * 4
+    assert [(s[3], s[4] > 0.9, s[6]) for s in out[5]] == [("und", True, 0)]
     assert "".join(mixed[s[1] : s[2]] for s in out[0]) == mixed
     long = " ".join([TEXT["fr"]] * 3000)
     (seg,) = lang.label_texts([long], model(), 3.0, 8.0, 4)[0]
@@ -63,3 +64,36 @@ def test_spark(spark):
 def test_named(spark):
     df = spark.createDataFrame([("en-US,fr",), ("Portuguese",), (None,), ("und",), ("NL_be",)], "lang string")
     assert [sorted(r[0]) for r in df.select(lang.named_langs(F.col("lang"))).collect()] == [["en", "fr"], ["pt"], [], [], ["nl"]]
+
+
+def test_scripts_and_letters_narrow():
+    fits = lambda w: {x for x, y in zip(lang.LANGS, lang.candidates(w)) if y}
+    assert fits("Straße") == {"de"} and fits("señor") == {"en", "es"} and fits("não") == {"pt"} and fits("œuvre") == {"fr"} and fits("plain") == set(lang.LANGS) and fits("право") == set() == fits("書類")
+    m = model()
+    assert int(np.argmax(lang.word_score(m, "größße"))) == lang.LANGS.index("de") and int(np.argmax(lang.word_score(m, "право"))) == len(lang.LANGS)
+
+
+def test_a_seventh_language_and_other_scripts_are_und():
+    text = TEXT["en"] + " Съд и право на всички хора. " + "Wszystkie zamówienia dostarczono wczoraj rano przed południem pociągiem. " + TEXT["fr"]
+    out = lang.label_texts([text], model(), 3.0, 8.0, 4)[0]
+    assert [s[3] for s in out] == ["en", "und", "fr"] and out[1][6] == 0 and "".join(text[s[1] : s[2]] for s in out) == text
+
+
+def test_wrapped_lines_are_one_sentence():
+    for text, want in (("We met. The new invoices were postponed against the external\npolicy of Skakos.", [(0, 7), (7, 78)]), ("TERMS\nThe goods were returned on time.", [(0, 6), (6, 38)]), ("One line here\n\nanother line there", None)):
+        got = [(a, b) for a, b, _ in lang.sentences(text)]
+        assert "".join(text[a:b] for a, b in got) == text
+        if want:
+            assert got == want
+    german = "Wir haben die Rechnung vor dem Ende des Monats bezahlt und den externen\nVertrag gekündigt."
+    assert len(lang.sentences(german)) == 1
+    (seg,) = lang.label_texts(["Die Rechnung wurde vor dem Ende des Monats\nbezahlt."], model(), 3.0, 8.0, 4)[0]
+    assert seg[3] == "de" and seg[6] == 1
+
+
+def test_confidence_grows_with_the_lead(spark):
+    clean = spark.createDataFrame([(i, t, x, None) for i, (x, t) in enumerate(TEXT.items())], SCHEMA)
+    m = lang.train(clean)
+    (plain,), (loose,) = lang.label_texts([TEXT["de"], "Nr Skakos, Trebol, Lager."], m, 3.0, 8.0, 4)
+    assert 0 < loose[4] < plain[4] <= 1
+    assert len(lang.known_rows(clean, "doc_id", 1)) == 6 and lang.train(clean.where("false"))["words"] == {}
