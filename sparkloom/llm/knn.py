@@ -4,11 +4,15 @@ Method: balanced posting lists. Centroids are fitted on a bounded sample (``per_
 ``max_sample``) by a two-level k-means that gives each coarse cell centroids in proportion to its rows. Each vector finds
 its nearest centroids by a walk on an in-memory graph of the centroids; it is posted to the nearest and, at a boundary, to
 every list whose distance is at most ``1 + ratio`` times the nearest, ``replicas`` lists at most. A vector searches the
-lists it is posted to. Inside a list blocks of queries meet all rows of the list. Exact copies enter the index once and
-are put back afterwards, so a group of copies of any size costs one row there.
+lists it is posted to. Inside a list blocks of queries meet all rows of the list.
 
-The number of lists grows with the rows, so a list stays near ``list_rows`` times the replicas and the work grows in
-proportion. Every row is indexed. Recall is measured in tests/llm/test_knn.py and in the README.
+The number of lists grows with the rows up to ``max_sample / per_centroid``; a list of more than ``split_rows`` rows, be it that
+there are more rows than that many lists balance or that a region is crowded, is cut into lists of its own in the same way, so
+the work grows with the rows and never with a list's square. Each list puts out one row a vector with its best there. Exact copies
+enter the index once and are put back afterwards, so a group of copies of any size costs one row there.
+
+Every row is indexed. Vectors travel as 2 bytes a number, so cosines are right to about 1e-5; ``similar_pairs`` counts those that
+near to its bound from the vectors as they are stored. Recall is measured in tests/llm/test_knn.py and in the README.
 
 Defined results. Null, all-zero, non-finite vectors and vectors of another length have no neighbours and are nobody's. Ties in
 similarity go to the smaller key. Repeated rows count once. Extra columns are ignored. Fewer than k others: all of them.
@@ -22,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from sparkloom.session import durable
+
 
 def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     """key and vector of the rows that can have a cosine."""
@@ -115,38 +121,76 @@ def rows_matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(col.flatten()).reshape(-1, dim)
 
 
-def search_list(x: np.ndarray, k: int, min_cosine: float | None, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best of (query, neighbour, cosine), a pair once, ties to the lesser neighbour."""
+    order = np.lexsort((b, a))
+    a, b, s = a[order], b[order], s[order]
+    once = np.ones(len(a), bool)
+    once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b, s = a[once], b[once], s[once]
+    order = np.lexsort((b, -s, a))
+    a, b, s = a[order], b[order], s[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[keep], b[keep], s[keep]
+
+
+def search_list(x: np.ndarray, k: int, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """In one list: places of query and neighbour, and the cosine, for each query's k best (ties by key: rows come sorted by it)."""
     a, b, s = [], [], []
     for i in range(0, len(x), block):
         sim = x[i : i + block] @ x.T
         sim[np.arange(len(sim)), np.arange(i, i + len(sim))] = -2
-        if min_cosine is not None:
-            q, n = np.nonzero(sim >= min_cosine - 1e-5)
-        else:  # the k-th best of some columns bounds the k-th best of all from below
-            some = sim[:, : max(2048, k)]
-            width = min(k, some.shape[1])
-            floor = -np.partition(-some, width - 1, axis=1)[:, width - 1 : width]
-            q, n = np.nonzero(sim >= floor)
-        if len(q):
-            exact = np.einsum("ij,ij->i", x[q + i].astype(np.float64), x[n].astype(np.float64))
-            keep = (q + i) != n
-            if min_cosine is not None:
-                keep &= exact >= min_cosine - 1e-7
-            q, n, exact = q[keep], n[keep], exact[keep]
-            order = np.lexsort((n, -exact, q))
-            q, n, exact = q[order], n[order], exact[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            keep = place < k
-            a.append(q[keep] + i)
-            b.append(n[keep])
-            s.append(exact[keep])
+        # the k-th best of some columns bounds the k-th best of all from below
+        some = sim[:, : max(2048, k)]
+        width = min(k, some.shape[1])
+        floor = -np.partition(-some, width - 1, axis=1)[:, width - 1 : width]
+        q, n = np.nonzero(sim >= floor)
+        exact = np.einsum("ij,ij->i", x[q + i].astype(np.float64), x[n].astype(np.float64))
+        keep = (q + i) != n
+        q, n, exact = q[keep], n[keep], exact[keep]
+        order = np.lexsort((n, -exact, q))
+        q, n, exact = q[order], n[order], exact[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        a.append(q[keep] + i)
+        b.append(n[keep])
+        s.append(exact[keep])
     none = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b), np.concatenate(s)) if a else (none, none, none.astype(float))
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, min_cosine: float | None = None, list_rows: int = 1600, replicas: int = 6, ratio: float = 0.3, per_centroid: int = 16, max_sample: int = 120_000) -> DataFrame:
-    """key_a, key_b, cosine: for every usable vector the k most similar others found (with min_cosine only those at or above it)."""
+def posting(graph: CentroidGraph, x: np.ndarray, replicas: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of each row's lists."""
+    ids, sims = graph.search(x, replicas)
+    d = np.sqrt(np.maximum(2 - 2 * sims, 0))
+    keep = d <= (1 + ratio) * d[:, :1] + 1e-6
+    keep[:, 0] = True
+    q, j = np.nonzero(keep)
+    return q, ids[q, j]
+
+
+def search_rows(x: np.ndarray, k: int, split_rows: int, list_rows: int, replicas: int, ratio: float, per_centroid: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As search_list; more than split_rows rows are cut into lists first."""
+    lists = len(x) // list_rows
+    if len(x) <= split_rows or lists < 2:
+        return search_list(x, k)
+    rng = np.random.default_rng(len(x))
+    graph = fit_graph(x[np.sort(rng.choice(len(x), min(len(x), lists * per_centroid), replace=False))], lists)
+    parts = [posting(graph, x[i : i + 2048], replicas, ratio) for i in range(0, len(x), 2048)]
+    row = np.concatenate([q + 2048 * i for i, (q, _) in enumerate(parts)])
+    of = np.concatenate([j for _, j in parts])
+    order = np.argsort(of, kind="stable")
+    row, of = row[order], of[order]
+    cuts = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
+    found = []
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        mine = row[i:j]
+        a, b, s = search_list(x[mine], k)
+        found.append((mine[a], mine[b], s))
+    return best_of(*(np.concatenate(v) for v in zip(*found)), k)
+
+
+def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, list_rows: int = 1000, replicas: int = 6, ratio: float = 0.25, per_centroid: int = 16, max_sample: int = 120_000, split_rows: int = 40_000, small: int = 200_000) -> DataFrame:
+    """key_a, key_b, cosine: for every usable vector the k most similar others found. small: the most rows of copies that are broadcast; more are joined by a shuffle."""
     rows = usable(df, key, vector, dim)
     spark = df.sparkSession
     n = df.count()
@@ -157,7 +201,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, mi
     fitted = fit_graph(sample, lists)
     shared = spark.sparkContext.broadcast((fitted.c, fitted.pivots, fitted.links))  # at most max_sample / per_centroid centroids
     hashed = rows.withColumn("h", F.xxhash64("v")).withColumn("g", F.xxhash64(F.lit(7), "v"))
-    vectors = hashed.groupBy("h", "g").agg(F.min(F.struct("key", "v")).alias("r")).select("r.key", "r.v")  # repeats and exact copies once
+    # repeats and exact copies once; whether there are copies goes with the vector
+    vectors = hashed.groupBy("h", "g").agg(F.min(F.struct("key", "v")).alias("r"), F.max("key").alias("last")).select("r.key", "r.v", (F.col("last") != F.col("r.key")).alias("more"))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = CentroidGraph(*shared.value)
@@ -165,40 +210,65 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, mi
             for i in range(0, whole.num_rows, 2048):
                 batch = whole.slice(i, 2048)
                 x = unit(rows_matrix(batch.column(1), dim))
-                ids, sims = graph.search(x, replicas)
-                d = np.sqrt(np.maximum(2 - 2 * sims, 0))
-                keep = d <= (1 + ratio) * d[:, :1] + 1e-6
-                keep[:, 0] = True
-                q, j = np.nonzero(keep)
-                short = np.rint(x * 32767).astype(np.int16)  # 2 bytes a number; cosines keep four digits and more
+                q, of = posting(graph, x, replicas, ratio)
+                short = np.rint(x * 32767).astype(np.int16)
                 raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * dim), len(x), [None, pa.py_buffer(short.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q, j]), batch.column(0).take(pa.array(q)), raw.take(pa.array(q))], names=["list", "key", "x"])
+                row = pa.array(q)
+                yield pa.RecordBatch.from_arrays([pa.array(of), batch.column(0).take(row), raw.take(row), batch.column(2).take(row)], names=["list", "key", "x", "more"])
 
     def search(t: pa.Table) -> pa.Table:
         t = t.sort_by("key")
         keys = t.column("key").combine_chunks()
         x = unit(np.frombuffer(b"".join(t.column("x").to_pylist()), np.int16).reshape(-1, dim))
-        a, b, s = search_list(x, k, min_cosine)
-        return pa.table({"key_a": keys.take(pa.array(a)), "key_b": keys.take(pa.array(b)), "cosine": pa.array(s, pa.float64())})
+        a, b, s = search_rows(x, k, split_rows, list_rows, replicas, ratio, per_centroid)
+        count = np.bincount(a, minlength=len(x))
+        more = t.column("more").combine_chunks()
+        near = pa.StructArray.from_arrays([pa.array(-s, pa.float64()), keys.take(pa.array(b)), more.take(pa.array(b))], names=["far", "key", "more"])
+        return pa.table({"key_a": keys, "more": more, "near": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), near)})
 
     kind = df.schema[key].dataType.simpleString()
-    posted = vectors.mapInArrow(post, f"list int, key {kind}, x binary")
-    found = posted.groupBy("list").applyInArrow(search, f"key_a {kind}, key_b {kind}, cosine double")
-    pairs = found.groupBy("key_a", "key_b").agg(F.max("cosine").alias("cosine"))
+    posted = vectors.mapInArrow(post, f"list int, key {kind}, x binary, more boolean")
+    found = posted.groupBy("list").applyInArrow(search, f"key_a {kind}, more boolean, near array<struct<far:double,key:{kind},more:boolean>>")
+    # a vector's lists are at most ``replicas`` rows of k neighbours
+    sorted_ = found.groupBy("key_a").agg(F.max("more").alias("more"), F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    once = F.filter("near", lambda x, i: (i == 0) | (F.get("near", i - 1)["key"] != x["key"]))  # the same cosine in each list, so one beside the other
+    best = durable(sorted_.select("key_a", "more", F.slice(once, 1, k).alias("near")))
+    copied = F.col("more") | F.exists("near", lambda x: x["more"])
+    plain = best.where(~copied).select("key_a", F.explode("near").alias("x")).select("key_a", F.col("x.key").alias("key_b"), (-F.col("x.far")).alias("cosine"))
     # exact copies: the index holds the smallest key of a group; neighbours are put out as members, and each member gets its group's
-    light = hashed.select("key", "h", "g").distinct()
-    groups = light.groupBy("h", "g").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = light.join(groups, ["h", "g"]).select("rep", "key")
-    first = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("key"))).where(F.col("r") <= k + 1).drop("r")
-    put_out = pairs.join(first.select(F.col("rep").alias("key_b"), F.col("key").alias("m")), "key_b", "left").select("key_a", F.coalesce("m", "key_b").alias("key_b"), "cosine")
-    own = first.select(F.col("rep").alias("key_a"), F.col("key").alias("key_b"), F.lit(1.0).alias("cosine"))
-    best = Window.partitionBy("key_a").orderBy(F.desc("cosine"), "key_b")
-    of_rep = put_out.unionByName(own).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
-    everyone = of_rep.join(members.where("key <> rep").select(F.col("rep").alias("key_a"), F.col("key").alias("m")), "key_a").select(F.col("m").alias("key_a"), "key_b", "cosine")
-    out = of_rep.unionByName(everyone).where("key_a <> key_b")
-    return out.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
-
-
-def similar_pairs(neighbours: DataFrame) -> DataFrame:
-    """Each unordered pair once, the smaller key first."""
-    return neighbours.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
+    groups = durable(hashed.groupBy("h", "g").agg(F.min("key").alias("rep"), F.max("key").alias("last")).where("rep <> last").select("h", "g", "rep"))
+    n_groups = groups.count()
+    members = durable(hashed.join(F.broadcast(groups) if n_groups <= small else groups, ["h", "g"]).select("rep", "key").distinct())  # of a counted size, else by a shuffle
+    side = F.broadcast if members.count() <= small else (lambda x: x)
+    w = Window.partitionBy("rep").orderBy("key")  # cut to k + 1 rows a group before the shuffle
+    some = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("copies"))  # k + 1 at most
+    pair = lambda far, c: F.struct(far.alias("far"), c.alias("key"))
+    own = F.transform(F.coalesce("copies", F.array().cast(f"array<{kind}>")), lambda c: pair(F.lit(-1.0), c))
+    with_own = best.where(copied).join(side(some), F.col("key_a") == F.col("rep"), "left").select("key_a", F.concat(F.transform("near", lambda x: pair(x["far"], x["key"])), own).alias("near"))
+    each = with_own.select("key_a", F.explode("near").alias("x")).join(side(some.select(F.col("rep").alias("key_b"), "copies")), F.col("x.key") == F.col("key_b"), "left")
+    put_out = F.when(F.col("copies").isNull(), F.array("x")).otherwise(F.transform("copies", lambda c: pair(F.col("x.far"), c)))
+    of_rep = durable(each.groupBy("key_a").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(put_out)))), 1, k + 1).alias("near")))
+    # a large group's members are joined in tiles
+    tiles = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / 10_000).cast("int").alias("tiles"))
+    rest = members.where("key <> rep").join(side(tiles), "rep").select("rep", "key", F.pmod(F.xxhash64("key"), "tiles").cast("int").alias("tile"))
+    lent = of_rep.join(side(tiles), F.col("key_a") == F.col("rep")).select("rep", "near", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    everyone = lent.join(side(rest), ["rep", "tile"]).select(F.col("key").alias("key_a"), "near")
+    mine = F.slice(F.filter("near", lambda x: x["key"] != F.col("key_a")), 1, k)
+    return plain.unionByName(of_rep.unionByName(everyone).select("key_a", F.explode(mine).alias("x")).select("key_a", F.col("x.key").alias("key_b"), (-F.col("x.far")).alias("cosine")))
+
+
+def similar_pairs(neighbours: DataFrame, df: DataFrame, key: str, vector: str, min_cosine: float, dim: int = 64, doubt: float = 5e-5, small: int = 200_000) -> DataFrame:
+    """key_a, key_b: each unordered pair of neighbours of at least min_cosine once, the smaller key first. Those within ``doubt`` of it are counted from the stored vectors."""
+    near = neighbours.where(F.col("cosine") >= min_cosine - doubt).groupBy(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).agg(F.max("cosine").alias("cosine"))
+    near = durable(near)
+    sure = near.where(F.col("cosine") > min_cosine + doubt).select("key_a", "key_b")
+    open_ = near.where(F.col("cosine") <= min_cosine + doubt).select("key_a", "key_b")
+    n = open_.count()
+    if not n:
+        return sure
+    side = F.broadcast if n <= small else (lambda x: x)
+    keys = open_.select(F.col("key_a").alias("key")).union(open_.select("key_b")).distinct()
+    stored = durable(usable(df, key, vector, dim).join(side(keys), "key").groupBy("key").agg(F.min("v").alias("v")))
+    both = open_.join(stored.select(F.col("key").alias("key_a"), F.col("v").alias("va")), "key_a").join(stored.select(F.col("key").alias("key_b"), F.col("v").alias("vb")), "key_b")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return sure.unionByName(both.where(dot("va", "vb") / F.sqrt(dot("va", "va")) / F.sqrt(dot("vb", "vb")) >= min_cosine).select("key_a", "key_b"))

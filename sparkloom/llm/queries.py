@@ -43,8 +43,9 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    n = knn.nearest(table(spark, d, "doc_cards"), "card_id", "embedding", min_cosine=0.9)
-    return knn.similar_pairs(n).select(F.col("key_a").alias("card_id_a"), F.col("key_b").alias("card_id_b"))
+    cards = table(spark, d, "doc_cards")
+    pairs = knn.similar_pairs(knn.nearest(cards, "card_id", "embedding"), cards, "card_id", "embedding", 0.9)
+    return pairs.select(F.col("key_a").alias("card_id_a"), F.col("key_b").alias("card_id_b"))
 
 
 def p4_text(spark: SparkSession, d: str) -> DataFrame:
