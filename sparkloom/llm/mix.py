@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkloom.session import durable
@@ -62,11 +64,13 @@ def canonical_source(c: Column) -> Column:
 def token_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", ranks_path: str = RANKS) -> DataFrame:
     """key, source (canonical) and tokens of each document, counted with the public tokenizer at ranks_path."""
     kind = docs.schema[key].dataType.simpleString()
+    if os.path.exists(ranks_path):
+        docs.sparkSession.sparkContext.addFile(ranks_path)  # for executors that do not have it at this place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
+        with open(ranks_path if os.path.exists(ranks_path) else SparkFiles.get(os.path.basename(ranks_path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
@@ -85,10 +89,11 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 1,
     """
     sizes = durable(token_sizes(docs, key, ranks_path=ranks_path))
     spark = docs.sparkSession
-    per_source = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("tokens").alias("n")).limit(1_000_000).collect()}
-    total = sum(per_source.values())
+    total = sizes.agg(F.sum("tokens")).first()[0] or 0
     wanted = targets.select("mix_name", F.col("total_ratio").cast("double"), canonical_source(F.col("source")).alias("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).where("mix_name is not null and source is not null").distinct().orderBy("mix_name", "source").collect()
-    shards = {s: max(1, -(-n // shard_tokens)) for s, n in per_source.items() if s is not None and n}
+    named = spark.createDataFrame([(s,) for s in sorted({r.source for r in wanted})], "source string")  # one row per source of the targets
+    per_source = {r.source: r.n for r in sizes.join(F.broadcast(named), "source").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    shards = {s: max(1, -(-n // shard_tokens)) for s, n in per_source.items() if n}
     used = sorted({r.source for r in wanted} & set(shards))
     schema = f"mix_name string, {key} {docs.schema[key].dataType.simpleString()}, source string, tokens long, repeats long"
     if not used:

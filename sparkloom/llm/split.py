@@ -1,7 +1,8 @@
 """Splitting oversized texts at natural boundaries.
 
-Method: structure-tree packing. The text is read as a tree: headings over blocks (blank lines), over lines that end a thought
-(table rows, list items, ended sentences), over sentences, over wrapped lines and clauses, over words. Sibling subtrees are
+Method: structure-tree packing. The text is read as a tree: headings of six ranks (by their marks or the parts of their numbers,
+plain ones below those) over blocks (blank lines), over lines that end a thought (table rows, list items, ended sentences; items of
+inner lists below those of outer ones), over sentences, over wrapped lines and clauses, over words. Sibling subtrees are
 merged bottom-up to the limit; only an oversized node is descended into. A word longer than the limit is cut where it must be,
 never before a combining mark. The next piece begins up to ``overlap`` characters earlier, at a sentence if one starts there,
 else at a word. Pieces, without their overlaps, give back the text exactly.
@@ -27,7 +28,8 @@ ENDED = re.compile(r"[.!?…:;|][\"'»”’)\]]*\s*\Z")
 SENTENCE = re.compile(r"[.!?…]+[\"'»”’)\]]*\s+(?=[^\W_])")
 CLAUSE = re.compile(r"[,;:–—]\s+")
 SPACE = re.compile(r"\s+")
-HEAD, BLOCK, LINE, SENT, WRAP, WORD_END = 6, 5, 4, 3, 2, 1
+TOP, HEAD, BLOCK, LINE, SENT, WRAP, WORD_END = 13, 8, 7, 6, 3, 2, 1  # headings take HEAD to TOP, items of inner lists the two below LINE
+RANK = re.compile(r"(#{1,6}) |(\d+(?:\.\d+)*)[.)]?\s")
 SCHEMA = "key string, piece_no long, piece_start long, piece_end long, overlap long, piece_text string, chunk_ids array<string>, page_span struct<page_start:int,page_end:int>"
 
 
@@ -40,10 +42,18 @@ def boundaries(text: str) -> tuple[list[int], list[int]]:
     lines = text.split("\n")
     at, before, blank = 0, "", False
     glued: list[tuple[int, int]] = []
+    marked = any(RANK.match(x.strip()) and HEADING.match(x.strip()) for x in lines)
+
+    def rank(head: str) -> int:
+        m = RANK.match(head)
+        return TOP - min(5, (len(m[1]) - 1 if m[1] else m[2].count(".")) if m else 5 if marked else 0)
+
+    indents = sorted({len(x) - len(x.lstrip()) for x in lines if LIST.match(x) and not x.lstrip().startswith("|")})
+    inner = lambda x: min(2, bisect_left(indents, len(x) - len(x.lstrip()))) if LIST.match(x) and not x.lstrip().startswith("|") else 0
     for i, line in enumerate(lines):
         if i and line.strip():
             heading = len(line) <= 80 and len(line.split()) <= 9 and HEADING.match(line.strip()) and (blank or ENDED.search(before) or not before) and line.strip()[:1].upper() == line.strip()[:1]
-            level = HEAD if heading else BLOCK if blank else WRAP if line.lstrip()[:1].islower() and not LIST.match(line) else LINE if ENDED.search(before) or LIST.match(line) or LIST.match(before) or len(before.split()) <= 3 else WRAP
+            level = rank(line.strip()) if heading else BLOCK if blank else WRAP if line.lstrip()[:1].islower() and not LIST.match(line) else LINE - inner(line) if ENDED.search(before) or LIST.match(line) or LIST.match(before) or len(before.split()) <= 3 else WRAP
             strength[at] = max(level, strength.get(at, 0))
             if heading and i + 1 < len(lines):
                 glued.append((at, at + len(line) + 1))
@@ -82,7 +92,7 @@ def hard_cuts(text: str, a: int, b: int, room: int) -> list[tuple[int, int]]:
 def pack(text: str, room: int) -> list[tuple[int, int]]:
     """Spans that tile the text, each at most room long."""
     keys, levels = boundaries(text)
-    by_level = {lv: [k for k, s in zip(keys, levels) if s >= lv] for lv in range(WORD_END, HEAD + 1)}
+    by_level = {lv: [k for k, s in zip(keys, levels) if s >= lv] for lv in range(WORD_END, TOP + 1)}
 
     def merge(parts: list[list[tuple[int, int]]], level: int) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
@@ -106,7 +116,7 @@ def pack(text: str, room: int) -> list[tuple[int, int]]:
         cuts = [a, *ks[bisect_left(ks, a + 1) : bisect_left(ks, b)], b]
         return merge([node(x, y, level - 1) for x, y in zip(cuts, cuts[1:])], level)
 
-    return node(0, len(text), HEAD)
+    return node(0, len(text), TOP)
 
 
 def overlap_start(text: str, keys: list[int], levels: list[int], start: int, floor: int, overlap: int) -> int:

@@ -8,7 +8,7 @@ T = dt.datetime(2024, 1, 1)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["Word ", "A sentence ends. ", "\n", "\n\n", "1. Head\n", "| a | b |\n", "x" * 70, "é", ", "]), max_size=120), st.sampled_from([(60, 15), (100, 20), (40, 0)]))
+@given(st.lists(st.sampled_from(["Word ", "A sentence ends. ", "\n", "\n\n", "1. Head\n", "1.2 Sub\n", "## Mark\n", "- item\n", "  - inner item\n", "| a | b |\n", "x" * 70, "é", ", "]), max_size=120), st.sampled_from([(60, 15), (100, 20), (40, 0)]))
 def test_round_trip(parts, sizes):
     text, (limit, overlap) = "".join(parts), sizes
     pieces = split.split_text(text, limit, overlap)
@@ -41,3 +41,14 @@ def test_spark(spark):
     assert all(r.chunk_ids == ["c1", "gone"] and r.page_span == (3, 9) for r in by["s4"])
     assert {r.section_id for r in split.found(out).collect()} == {"s1", "s4", "s6"}
     assert split.split_sections(sections.where("false"), chunks).count() == 0
+
+
+def test_ranks_of_headings_and_lists():
+    body = "One sentence of some length is here. " * 6
+    text = "".join(f"{h} Part\n{body}\n\n" for h in ("1.", "1.1", "1.2", "2.", "2.1", "2.2"))
+    pieces = split.split_text(text, 800, 0)
+    assert [text[a:].split(" ")[0] for a, _, _ in pieces] == ["1.", "2."]  # whole top sections, though four parts would fit
+    marks = "".join(f"{h} Part\n{body}\n\n" for h in ("#", "##", "##", "#", "##"))
+    assert [text_[:3] for text_ in (marks[a:] for a, _, _ in split.split_text(marks, 800, 0))] == ["# P", "# P"]
+    items = "".join(f"- outer {i} {'word ' * 8}\n" + "".join(f"  - inner {j} {'word ' * 8}\n" for j in range(3)) for i in range(4))
+    assert all(items[a:].startswith("- outer") for a, _, _ in split.split_text(items, 500, 0))
