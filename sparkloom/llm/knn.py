@@ -189,7 +189,7 @@ def search_rows(x: np.ndarray, k: int, split_rows: int, list_rows: int, replicas
     return best_of(*(np.concatenate(v) for v in zip(*found)), k)
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, list_rows: int = 1000, replicas: int = 6, ratio: float = 0.25, per_centroid: int = 16, max_sample: int = 120_000, split_rows: int = 40_000, small: int = 200_000) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, list_rows: int = 1000, replicas: int = 6, ratio: float = 0.2, per_centroid: int = 16, max_sample: int = 120_000, split_rows: int = 40_000, small: int = 200_000) -> DataFrame:
     """key_a, key_b, cosine: for every usable vector the k most similar others found. small: the most rows of copies that are broadcast; more are joined by a shuffle."""
     rows = usable(df, key, vector, dim)
     spark = df.sparkSession
@@ -223,14 +223,16 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, li
         a, b, s = search_rows(x, k, split_rows, list_rows, replicas, ratio, per_centroid)
         count = np.bincount(a, minlength=len(x))
         more = t.column("more").combine_chunks()
-        near = pa.StructArray.from_arrays([pa.array(-s, pa.float64()), keys.take(pa.array(b)), more.take(pa.array(b))], names=["far", "key", "more"])
-        return pa.table({"key_a": keys, "more": more, "near": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), near)})
+        cuts, at = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(b)
+        lists_ = [pa.ListArray.from_arrays(cuts, v) for v in (pa.array(-s, pa.float32()), keys.take(at), more.take(at))]
+        return pa.Table.from_arrays([keys, more, *lists_], names=["key_a", "more", "far", "ids", "copied"])
 
     kind = df.schema[key].dataType.simpleString()
     posted = vectors.mapInArrow(post, f"list int, key {kind}, x binary, more boolean")
-    found = posted.groupBy("list").applyInArrow(search, f"key_a {kind}, more boolean, near array<struct<far:double,key:{kind},more:boolean>>")
-    # a vector's lists are at most ``replicas`` rows of k neighbours
-    sorted_ = found.groupBy("key_a").agg(F.max("more").alias("more"), F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    found = posted.groupBy("list").applyInArrow(search, f"key_a {kind}, more boolean, far array<float>, ids array<{kind}>, copied array<boolean>")
+    # a vector's lists are at most ``replicas`` rows of k neighbours; they travel as plain arrays, which take a third of the room of structs
+    zipped = F.transform("lists", lambda x: F.transform(x["far"], lambda f, i: F.struct(f.cast("double").alias("far"), x["ids"][i].alias("key"), x["copied"][i].alias("more"))))
+    sorted_ = found.groupBy("key_a").agg(F.max("more").alias("more"), F.collect_list(F.struct("far", "ids", "copied")).alias("lists")).select("key_a", "more", F.array_sort(F.flatten(zipped)).alias("near"))
     once = F.filter("near", lambda x, i: (i == 0) | (F.get("near", i - 1)["key"] != x["key"]))  # the same cosine in each list, so one beside the other
     best = durable(sorted_.select("key_a", "more", F.slice(once, 1, k).alias("near")))
     copied = F.col("more") | F.exists("near", lambda x: x["more"])
