@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from sparkloom import policy
@@ -129,3 +131,8 @@ def file_period(path: Column) -> Column:
     m = F.regexp_extract(base, r"[_\- ]((?:19|20)\d{2})[_\-]?(\d{2})?(?:[_\-]?\d{2})?$", 1)
     n = F.regexp_extract(base, r"[_\- ]((?:19|20)\d{2})[_\-]?(\d{2})?(?:[_\-]?\d{2})?$", 2)
     return F.when(m != "", F.when(n != "", F.concat_ws("_", m, n)).otherwise(m))
+
+
+def plain_words(text: str) -> list[str]:
+    """Words of a name on the driver, in lower case."""
+    return [w for w in re.split(r"[\s\-_/,]+", text.lower()) if w]

@@ -136,6 +136,11 @@ def prune(hits: DataFrame, key: str, least: float = policy.PRUNE_MIN) -> DataFra
     return hits.where(F.col("score") >= least).groupBy(key).agg(F.max("score").alias("score"))
 
 
+def keep_order(rows: DataFrame, window, top: int) -> DataFrame:
+    """The leading rows of each list in the order they have: what reranking is without a second scorer."""
+    return rows.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= top).drop("_r")
+
+
 def attenuate(score: Column, trust: Column) -> Column:
     """A score damped by low ingestion confidence, by at most 40 %."""
     return score * F.greatest(F.lit(0.6), 1 - 0.5 * (1 - F.coalesce(trust, F.lit(1.0))))

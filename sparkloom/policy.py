@@ -44,3 +44,16 @@ TIEOUT_TOLERANCE, JACCARD_FLOOR, GRAIN_TOLERANCE = 0.01, 0.50, 0.05
 MAX_SQL_CHARS, MAX_JOINS, MAX_RELATIONS, AUTO_LIMIT, RESULT_CAP = 8000, 5, 8, 10_000, 20
 # Whole words a read-only statement never holds.
 FORBIDDEN_WORDS = ("insert", "update", "delete", "drop", "alter", "create", "truncate", "grant", "revoke", "merge", "copy", "attach", "detach", "export", "import", "install", "load", "pragma")
+# Catalogues: confidence bands, and words inside role labels, paths and names.
+HIGH_CONFIDENCE, DIGITAL_COVERAGE, ENTITY_WITH_KEY, ENTITY_WITHOUT_KEY = 0.80, 0.70, 0.90, 0.60
+CUSTOMER_WORDS = ("customer", "client", "sold_to", "bill_to", "ship_to", "payer", "sales", "receivable", "ar_")
+VENDOR_WORDS = ("vendor", "supplier", "payable", "ap_", "purchas", "procure", "creditor")
+LOOKUP_WORDS = ("master", "masters", "parties", "party", "accounts", "account", "lookup", "directory", "reference", "dimension")
+NAME_SUFFIXES = ("_name", "name", "_desc", "_description", "_label", "_title")
+SMALL_WORDS = ("", "and", "the", "of", "for", "a", "an", "in", "to")
+CHART_WORDS = (("line", ("over time", "trend", "monthly", "daily", "weekly", "yearly")), ("pie", ("distribution", "proportion", "share", "percent")))
+DICTIONARY_FIELD = ("field", "fieldname", "field_name", "column", "column_name", "col_name", "attribute", "technical_name", "element", "fieldid", "field_id", "colname")
+DICTIONARY_TEXT = ("description", "desc", "short_text", "long_text", "label", "meaning", "definition", "documentation", "help_text", "medium_text", "descr", "description_text", "explanation")
+DICTIONARY_NOTES = ("long_text", "documentation", "notes", "remark", "extended_description", "detail", "comment")
+# What a positive status is no evidence of: the beginning of the status, and words of an alias that say the opposite.
+STATUS_OPPOSITES = (("approved", ("pending", "open", "waiting")), ("delivered", ("notdelivered", "pending", "issue", "problem")), ("matched", ("unmatched", "mismatch", "issue", "problem")), ("paid", ("unpaid", "pending", "open", "issue")), ("cleared", ("uncleared", "open", "pending")))
