@@ -96,3 +96,19 @@ def bridges(edges: DataFrame, shortlist: DataFrame, a: str = "a", b: str = "b",
     s = shortlist.select(F.col(shortlist.columns[0]).alias("src")).distinct()
     e = undirected(edges, a, b, F.col(confidence).alias("c")).join(s, "src", "left_semi").join(s.select(F.col("src").alias("dst")), "dst", "left_anti")
     return e.groupBy(F.col("dst").alias("node")).agg(F.count_distinct("src").alias("n_linked"), F.min("c").alias("min_confidence")).where("n_linked >= 2")
+
+
+def expand_groups(members: DataFrame, seeds: DataFrame, confidence: float = 0.9, per_seed: int = 10, hub_degree: int = 15, hub_factor: float = 0.8) -> DataFrame:
+    """node, score: as expand_one_hop where all members(node, group) of a group are linked with each other: seeds meet the members of their groups, without a row for each pair of members.
+
+    A group's members are cut to the first per_seed + 1 before they meet a seed, as all of them score the same for it.
+    """
+    s = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct()
+    sizes = members.groupBy("group").agg(F.count_distinct("node").alias("n"))
+    score = confidence * F.when(F.col("n") - 1 > hub_degree, hub_factor).otherwise(1.0)
+    others = members.join(s.select(F.col("seed").alias("node")), "node", "left_anti").distinct()
+    w = Window.partitionBy("group").orderBy("node")
+    first = others.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_seed).join(sizes, "group").select("group", "node", score.alias("score"))
+    near = members.select(F.col("node").alias("seed"), "group").distinct().join(s, "seed", "left_semi").join(first, "group").groupBy("seed", "node").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("seed").orderBy(F.desc("score"), "node")
+    return near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_seed).groupBy("node").agg(F.max("score").alias("score"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkloom import policy
 from sparkloom.functions import scalars
-from sparkloom.operators.graph import expand_one_hop
+from sparkloom.operators.graph import expand_groups
 from sparkloom.session import durable
 
 
@@ -161,18 +161,24 @@ def budgeted(rows: DataFrame, order: str, text: str, budget: int) -> DataFrame:
     return rows.withColumn("_used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w)).where((F.col("_used") <= budget) | (F.col("_n") == 1)).drop("_used", "_n")
 
 
-def retrieve(catalog: DataFrame, key: str, text: str, terms: list[str], question: str, edges: DataFrame, trust: str, vectors: DataFrame | None = None, vector: list[float] | None = None, top: int = 20) -> DataFrame:
+def retrieve(catalog: DataFrame, key: str, text: str, terms: list[str], question: str, members: DataFrame, trust: str, state: str | None = None, dates: tuple[str, str] | None = None, window: tuple = (None, None), vectors: DataFrame | None = None, vector: list[float] | None = None, top: int = 20) -> DataFrame:
     """key, score: the staged retrieval of a catalogue.
 
-    Word, trigram and vector search are pruned and fused by rank; the fused files' neighbours over sure edges make a further list, fused again;
-    scores are damped by each file's trust. Every list is a top-k, so all stages after the searches are small.
+    Rows whose dates miss the window are left out (rows without dates stay); word, trigram and vector search are pruned and fused by rank; the fused files'
+    neighbours in their groups, members(node, group), make a further list, fused again; scores are damped by each file's trust, and quarantined files dropped unless
+    nothing else is left. Every list is a top-k, so all stages after the searches are small.
     """
+    if dates is not None and window != (None, None):
+        catalog = catalog.where(scalars.windows_overlap(F.col(dates[0]), F.col(dates[1]), F.lit(window[0]).cast("date"), F.lit(window[1]).cast("date")))
     lists = [bm25(catalog, terms, key, text, top), trigram_search(catalog, question, key, text, top=top)]
     if vectors is not None and vector is not None:
         lists.append(vector_search(vectors, vector, key, "embedding", top=top))
     lists = [durable(prune(x, key)) for x in lists]
     seeds = durable(rrf(lists, key, top))
-    near = expand_one_hop(edges, seeds.select(key)).select(F.col("node").alias(key), "score")
+    near = expand_groups(members, seeds.select(key)).select(F.col("node").alias(key), "score")
     fused = rrf([seeds, durable(near)], key, top)
-    sure = catalog.select(key, F.col(trust).alias("trust")).groupBy(key).agg(F.max("trust").alias("trust"))
-    return fused.join(sure, key, "left").select(key, F.round(attenuate(F.col("score"), F.col("trust")), 9).alias("score")).orderBy(F.desc("score"), key)
+    sure = catalog.select(key, F.col(trust).alias("trust"), (F.col(state) if state else F.lit(None).cast("string")).alias("state")).groupBy(key).agg(F.max("trust").alias("trust"), F.max("state").alias("state"))
+    judged = durable(fused.join(sure, key, "left").select(key, F.round(attenuate(F.col("score"), F.col("trust")), 9).alias("score"), "state"))
+    bad = F.coalesce(F.upper("state") == "QUARANTINED", F.lit(False))
+    clean = judged.where(~bad)
+    return (clean if clean.limit(1).count() else judged).select(key, "score").orderBy(F.desc("score"), key)

@@ -71,9 +71,14 @@ def join_approval(spark: SparkSession, d: str) -> DataFrame:
     return e.select("file_a", "column_a", "file_b", "column_b", said.alias("x")).select("file_a", "column_a", "file_b", "column_b", "x.status", "x.reason")
 
 
-@query()
+@query(
+    "WITH f AS (SELECT id AS file_id, container_id, upper(regexp_extract(name, '^(.*)_(?:19|20)\\d{2}[_\\-]?\\d{2}(?:_[A-Za-z]+)?\\.\\w+$', 1)) AS t, regexp_extract(name, '((?:19|20)\\d{2})[_\\-]?(\\d{2})(?:_[A-Za-z]+)?\\.', 1) || '_' || regexp_extract(name, '((?:19|20)\\d{2})[_\\-]?(\\d{2})(?:_[A-Za-z]+)?\\.', 2) AS p FROM (SELECT DISTINCT id, container_id, name FROM files)), "
+    "m AS (SELECT file_id, ingested_at, columns_info, CASE WHEN json_type(columns_info, '$[0]') = 'VARCHAR' THEN json_extract_string(columns_info, '$[*]') WHEN json_extract(columns_info, '$[0].name') IS NOT NULL THEN json_extract_string(columns_info, '$[*].name') ELSE json_extract_string(columns_info, '$[*].column') END AS n FROM file_metadata), "
+    "l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC, columns_info DESC) AS r FROM m WHERE len(n) > 0) WHERE r = 1), x AS (SELECT f.*, l.ingested_at, l.n, row_number() OVER (PARTITION BY container_id, t, p ORDER BY l.ingested_at DESC, f.file_id DESC) AS k FROM f JOIN l USING (file_id)), "
+    "c AS (SELECT DISTINCT container_id, file_id, lower(trim(u)) AS column_name FROM (SELECT container_id, file_id, unnest(n) AS u FROM x WHERE k = 1) WHERE trim(u) <> ''), s AS (SELECT container_id, count(DISTINCT file_id) AS files FROM c GROUP BY 1) SELECT container_id, column_name, round(count(DISTINCT file_id) / files, 9) AS ubiquity FROM c JOIN s USING (container_id) GROUP BY container_id, column_name, files"
+)
 def column_ubiquity(spark: SparkSession, d: str) -> DataFrame:
-    return relate.ubiquity(drift.monthly_columns(table(spark, d, "files"), table(spark, d, "file_metadata")))
+    return relate.ubiquity(drift.monthly_columns(table(spark, d, "files"), table(spark, d, "file_metadata"))).withColumn("ubiquity", F.round("ubiquity", 9))
 
 
 @query(
@@ -321,7 +326,10 @@ def acronym_definitions(spark: SparkSession, d: str) -> DataFrame:
     return documents.reconcile_terms(documents.definitions(table(spark, d, "part").where("p_name like '% %'").select("p_partkey", text.alias("text")), "p_partkey", "text"))
 
 
-@query()
+_CONFLICT_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN (" + quoted(policy.CONFLICT_STOP) + ")))"
+
+
+@query("WITH c AS (SELECT DISTINCT doc_id AS k, tenant_id, regexp_matches(lower(text), '\\b(?:not|no|never|none|without|cannot|neither|nor)\\b') AS neg, " + _CONFLICT_WORDS + " AS w FROM documents WHERE text IS NOT NULL AND tenant_id IS NOT NULL), u AS (SELECT k, tenant_id, neg, unnest(w) AS w FROM c) SELECT least(a.k, b.k) AS key_a, greatest(a.k, b.k) AS key_b, CAST(count(*) AS BIGINT) AS n_shared FROM u a JOIN u b ON a.tenant_id = b.tenant_id AND a.w = b.w AND NOT a.neg AND b.neg GROUP BY a.k, b.k HAVING count(*) >= 2")
 def negation_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return documents.conflicts(table(spark, d, "documents").where("text is not null"), "doc_id", "text", "tenant_id")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparkloom import policy
 from sparkloom.operators import catalog, relate, search
-from sparkloom.plans.analysis_queries import _bm25_sql
+from sparkloom.plans.analysis_queries import _GRAMS, _bm25_sql
 from sparkloom.plans.registry import query
 from sparkloom.plans.training_queries import _NODES
 from sparkloom.session import durable, table
@@ -175,11 +175,14 @@ def column_inspector(spark: SparkSession, d: str) -> DataFrame:
 _FP = "SELECT file_id, fp FROM (SELECT file_id, fp, row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC, fp DESC) AS rn FROM (SELECT file_id, ingested_at, CASE WHEN len(n) > 0 THEN sha256(array_to_string(list_sort(list_transform(n, lambda x: lower(trim(x)))), '|')) END AS fp FROM (SELECT *, CASE WHEN json_type(columns_info, '$[0]') = 'VARCHAR' THEN json_extract_string(columns_info, '$[*]') WHEN json_extract(columns_info, '$[0].name') IS NOT NULL THEN json_extract_string(columns_info, '$[*].name') ELSE json_extract_string(columns_info, '$[*].column') END AS n FROM file_metadata)) WHERE fp IS NOT NULL) WHERE rn = 1"
 
 
-@query(
+_IDENTITIES = (
     "WITH p AS (" + _FP + "), f AS (SELECT id AS file_id, container_id, upper(regexp_extract(name, '^(.*)_(?:19|20)\\d{2}[_\\-]?\\d{2}(?:_[A-Za-z]+)?\\.\\w+$', 1)) AS family, regexp_extract(name, '((?:19|20)\\d{2})[_\\-]?(\\d{2})(?:_[A-Za-z]+)?\\.', 1) || '_' || regexp_extract(name, '((?:19|20)\\d{2})[_\\-]?(\\d{2})(?:_[A-Za-z]+)?\\.', 2) AS period, lower(regexp_extract(name, '\\.([^.]*)$', 1)) AS ext, p.fp FROM files JOIN p ON p.file_id = files.id), "
     "s AS (SELECT container_id, family, fp, row_number() OVER (PARTITION BY container_id, family ORDER BY count(*) DESC, fp) AS r FROM f GROUP BY 1, 2, 3), n AS (SELECT f.*, CASE WHEN s.r = 1 THEN f.family ELSE f.family || '_S' || upper(substr(md5(f.fp), 1, 6)) END AS table_name FROM f JOIN s USING (container_id, family, fp)) "
     "SELECT container_id, table_name, period, file_id FROM (SELECT *, row_number() OVER (PARTITION BY container_id, table_name, period ORDER BY CASE ext WHEN 'parquet' THEN 1 WHEN 'csv' THEN 2 WHEN 'txt' THEN 3 WHEN 'xlsx' THEN 4 WHEN 'xls' THEN 5 ELSE 6 END, file_id) AS k FROM n) WHERE k = 1"
 )
+
+
+@query(_IDENTITIES)
 def file_identities(spark: SparkSession, d: str) -> DataFrame:
     """The files each logical table is made of, split by schema, one per period."""
     return catalog.identities(table(spark, d, "files"), table(spark, d, "file_metadata"))
@@ -213,14 +216,29 @@ def regression_delta(spark: SparkSession, d: str) -> DataFrame:
     return catalog.compare_runs(m.where("y = 1997"), m.where("y = 1996"), ["label", "month"], "n", 3)
 
 
-@query()
+_B = "(SELECT file_id, ai_description AS text FROM b)"
+_WORD = _bm25_sql(["margin", "delayed", "committee"]).replace("doc_id", "file_id").replace("FROM documents", "FROM " + _B)
+_FUZZY = "SELECT file_id, round(len(list_intersect(" + _GRAMS.format("'delayed committee margin'") + ", " + _GRAMS.format("text") + ")) / len(" + _GRAMS.format("'delayed committee margin'") + "), 6) AS score FROM " + _B + " WHERE text IS NOT NULL"
+
+
+@query(
+    "WITH b AS (SELECT * FROM " + _LAST + " WHERE (date_range_end IS NULL OR date_range_end >= DATE '2021-06-01') AND (date_range_start IS NULL OR date_range_start <= DATE '2024-12-31')), ids AS (" + _IDENTITIES + "), "
+    "w AS (" + _WORD + "), f AS (SELECT DISTINCT file_id, score FROM (" + _FUZZY + ") WHERE score >= 0.2 ORDER BY score DESC, file_id LIMIT 20), "
+    "u AS (SELECT file_id, row_number() OVER (ORDER BY score DESC, file_id) AS rank, 0 AS l FROM (SELECT * FROM w WHERE score >= 0.05) UNION ALL SELECT file_id, row_number() OVER (ORDER BY score DESC, file_id), 1 FROM f), "
+    "s AS (SELECT file_id, round(sum(1.0 / (60 + rank)), 10) AS score FROM u GROUP BY 1 ORDER BY score DESC, min((l, rank)), file_id LIMIT 20), n AS (SELECT container_id, table_name, count(DISTINCT file_id) AS n FROM ids GROUP BY 1, 2), "
+    "g AS (SELECT x.file_id AS seed, y.file_id, max(0.9 * CASE WHEN n.n - 1 > 15 THEN 0.8 ELSE 1.0 END) AS score FROM ids x JOIN ids y USING (container_id, table_name) JOIN n USING (container_id, table_name) WHERE x.file_id IN (SELECT file_id FROM s) AND y.file_id NOT IN (SELECT file_id FROM s) GROUP BY 1, 2), "
+    "h AS (SELECT file_id, max(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, file_id) AS r FROM g) WHERE r <= 10 GROUP BY 1), "
+    "v AS (SELECT file_id, row_number() OVER (ORDER BY score DESC, file_id) AS rank, 0 AS l FROM s UNION ALL SELECT file_id, row_number() OVER (ORDER BY score DESC, file_id), 1 FROM h), "
+    "z AS (SELECT file_id, round(sum(1.0 / (60 + rank)), 10) AS score FROM v GROUP BY 1 ORDER BY score DESC, min((l, rank)), file_id LIMIT 20), "
+    "t AS (SELECT z.file_id, round(z.score * greatest(0.6, 1 - 0.5 * (1 - coalesce(b.ingestion_confidence_score, 1.0))), 9) AS score, coalesce(upper(b.trust_state) = 'QUARANTINED', FALSE) AS bad FROM z LEFT JOIN b ON b.file_id = z.file_id) "
+    "SELECT file_id, score FROM t WHERE NOT bad OR NOT EXISTS (SELECT 1 FROM t WHERE NOT bad)"
+)
 def staged_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    """Word and trigram search over descriptions, neighbours by shared tables, damped by trust."""
-    m = catalog.newest(table(spark, d, "file_metadata").select("file_id", "ingested_at", "ai_description", "ingestion_confidence_score"), ["file_id"], ["ingested_at"])
+    """Dates, word and trigram search over descriptions, fusion, neighbours by shared tables, fusion, trust and quarantine."""
+    m = catalog.newest(table(spark, d, "file_metadata").select("file_id", "ingested_at", "ai_description", "ingestion_confidence_score", "date_range_start", "date_range_end", "trust_state"), ["file_id"], ["ingested_at"])
     ids = catalog.identities(table(spark, d, "files"), table(spark, d, "file_metadata"))
-    w = Window.partitionBy("container_id", "table_name").orderBy("period")
-    edges = ids.select(F.col("file_id").alias("a"), F.lead("file_id").over(w).alias("b"), F.lit(0.9).alias("confidence")).where("b is not null")
-    return search.retrieve(m, "file_id", "ai_description", ["margin", "delayed", "committee"], "delayed committee margin", edges, "ingestion_confidence_score")
+    members = ids.select(F.col("file_id").alias("node"), F.concat_ws("\u0001", "container_id", "table_name").alias("group"))
+    return search.retrieve(m, "file_id", "ai_description", ["margin", "delayed", "committee"], "delayed committee margin", members, "ingestion_confidence_score", "trust_state", ("date_range_start", "date_range_end"), ("2021-06-01", "2024-12-31"))
 
 
 @query("SELECT category, round(avg(CAST(must_cite AS INT)), 6) AS cite_rate, round(avg(CAST(expect_refusal AS INT)), 6) AS refusal_rate, CAST(count(DISTINCT question) AS BIGINT) AS n_questions FROM eval_items GROUP BY 1")

@@ -56,6 +56,12 @@ _WALK = (
     "on_loop AS (SELECT key FROM climb WHERE key = seen) "
 )
 ORACLE = {
+    "p3_hierarchy": "WITH RECURSIVE " + _NODES + "down AS (SELECT key, id, name, id AS root_id, 0 AS depth, CAST([] AS VARCHAR[]) AS above, [name] AS names FROM tree WHERE parent IS NULL UNION ALL "
+    "SELECT t.key, t.id, t.name, d.root_id, d.depth + 1, list_append(d.above, d.key), list_append(d.names, t.name) FROM tree t JOIN down d ON t.parent = d.key), "
+    "lost AS (SELECT * FROM tree WHERE key NOT IN (SELECT key FROM down)), climb AS (SELECT key, parent AS seen FROM lost UNION SELECT c.key, l.parent FROM climb c JOIN lost l ON c.seen = l.key), on_loop AS (SELECT key FROM climb WHERE key = seen), "
+    "below AS (SELECT a AS key, count(*) AS n FROM (SELECT unnest(above) AS a FROM down) GROUP BY 1) "
+    "SELECT d.id, d.name, d.root_id, CAST(depth AS BIGINT) AS depth, array_to_string(names, '/') AS path, above AS ancestor_ids, CAST(coalesce(n, 0) AS BIGINT) AS n_descendants, FALSE AS on_loop FROM down d LEFT JOIN below b ON b.key = d.key UNION ALL "
+    "SELECT l.id, l.name, (SELECT min(n.id) FROM climb c JOIN on_loop o ON c.seen = o.key JOIN nodes n ON n.key = o.key WHERE c.key = l.key), CAST(-1 AS BIGINT), NULL, CAST([] AS VARCHAR[]), CAST(-1 AS BIGINT), l.key IN (SELECT key FROM on_loop) FROM lost l",
     "p3_found": "WITH RECURSIVE " + _NODES + _WALK + "SELECT id, root_id, CAST(depth AS BIGINT) AS depth FROM down UNION ALL "
     "SELECT l.id, (SELECT min(n.id) FROM climb c JOIN on_loop o ON c.seen = o.key JOIN nodes n ON n.key = o.key WHERE c.key = l.key), CAST(-1 AS BIGINT) FROM lost l",
     "p3_descendants": "WITH RECURSIVE " + _NODES + "down AS (SELECT key FROM tree WHERE parent IS NULL UNION ALL SELECT t.key FROM tree t JOIN down d ON t.parent = d.key), "
