@@ -87,6 +87,11 @@ def quarantine_summary(judged: DataFrame) -> DataFrame:
     return judged.where("_reason is not null").groupBy(F.col("_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def already_clean(encoding: Column, delimiter: Column, header_row: Column, has_rows: Column, broken: Column, allowed: tuple[str, ...] = (",",)) -> Column:
+    """Whether a probe shows a file that needs no rewriting: UTF-8, a usual delimiter, the header first, rows, and none of them broken."""
+    return F.coalesce((encoding == "UTF-8") & delimiter.isin(*allowed) & (header_row == 0) & has_rows & (broken == 0), F.lit(False))
+
+
 def is_identifier(name: str) -> bool:
     n = name.strip().lower()
     return n in policy.IDENTIFIER_EXACT or n.endswith(policy.IDENTIFIER_SUFFIXES) or n.startswith(policy.IDENTIFIER_PREFIXES)

@@ -165,6 +165,12 @@ def read_jdbc(spark: SparkSession, url: str, sql: str, cap: int | None = None, *
     return df.limit(cap) if cap else df
 
 
+def describe_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, kind of each column of the tables; a database's are read by ``read_jdbc`` from its information schema."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame([(t, f.name, f.dataType.simpleString()) for t, df in tables.items() for f in df.schema.fields], "table_name string, column_name string, kind string")
+
+
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """path, content, sha256 of each file: the source of document parsers."""
     return spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("sha256"))
