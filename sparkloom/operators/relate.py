@@ -148,6 +148,28 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str,
     return p.join(i, "_b").where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("_b")
 
 
+def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, row: str, width_days: int = 32) -> DataFrame:
+    """left with ``as_of``: the row column of the latest right row of its keys at or before its time; ties in time go to the greater row. Both sides have the time under the name ``at``.
+
+    One sort by keys and time inside spans of width_days, no inequality join; the latest right row before a span is carried in from the spans before it, of which there
+    is one row each. So a key that holds a third of all rows is many tasks' work. Null keys and times find nothing.
+    """
+    span = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (width_days * 86_400_000_000)).alias("_span")
+    seen = F.struct(F.col(at).alias("t"), F.col(row).alias("r"))
+    none = F.lit(None).cast(f"struct<t:{dict(right.dtypes)[at]},r:{dict(right.dtypes)[row]}>")
+    rest = [c for c in left.columns if c not in keys and c != at]
+    inner = left.select(*keys, at, span, F.struct(*rest).alias("_l"), none.alias("_r"))
+    mine = right.where(F.col(at).isNotNull()).select(*keys, at, span, F.lit(None).cast(inner.schema["_l"].dataType).alias("_l"), seen.alias("_r"))
+    w = Window.partitionBy(*keys, "_span").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    placed = inner.unionByName(mine).withColumn("_in", F.max("_r").over(w)).where("_l is not null")
+    ends = mine.groupBy(*keys, "_span").agg(F.max("_r").alias("_last"))
+    spans = ends.unionByName(left.select(*keys, span).distinct().withColumn("_last", none)).groupBy(*keys, "_span").agg(F.max("_last").alias("_last"))
+    before = spans.withColumn("_carry", F.max("_last").over(Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    full = placed.join(before, [*keys, "_span"], "left")
+    found = F.when(F.col(at).isNotNull() & (F.lit(True) if not keys else ~F.exists(F.array(*[F.col(k).isNull() for k in keys]), lambda x: x)), F.coalesce(F.col("_in.r"), F.col("_carry.r")))
+    return full.select(*keys, at, *[F.col("_l")[c].alias(c) for c in rest], found.alias("as_of")).select(*left.columns, "as_of")
+
+
 def graph_health(tables: DataFrame, edges: DataFrame, weak: float = policy.APPROVED_CONFIDENCE) -> DataFrame:
     """n_tables, coverage (share with an edge), p50 and p95 of confidence, weak_ratio, orphan_ratio of a catalogue's join graph."""
     ends = edges.select(F.col("file_a").alias("t")).union(edges.select("file_b")).distinct()

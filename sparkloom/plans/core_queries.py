@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparkloom import policy
 from sparkloom.functions import scalars
-from sparkloom.operators import cleaning, profiling
+from sparkloom.operators import cleaning, profiling, relate
 from sparkloom.plans.registry import ORACLE, QUERIES, query, quoted  # noqa: F401
 from sparkloom.session import table
 
@@ -77,12 +77,12 @@ def join_anti_orphans(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("SELECT e.event_id, (SELECT max(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'click' AND p.ts <= e.ts) AS last_click FROM events e WHERE e.event_type = 'purchase'")
+@query("SELECT e.event_id, (SELECT p.event_id FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'click' AND p.ts <= e.ts ORDER BY p.ts DESC, p.event_id DESC LIMIT 1) AS last_click FROM events e WHERE e.event_type = 'purchase'")
 def as_of_join(spark: SparkSession, d: str) -> DataFrame:
-    """For each purchase the user's latest click before it: one sort by user and time, no inequality join. Ties in time go to the greater id, as ids follow time."""
-    e = table(spark, d, "events").where("event_type in ('click', 'purchase')").select("event_id", "user_id", "ts", "event_type")
-    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
-    return e.withColumn("last_click", F.max(F.when(F.col("event_type") == "click", F.col("event_id"))).over(w)).where("event_type = 'purchase'").select("event_id", "last_click")
+    """For each purchase the user's latest click at or before it, whatever the order of ids."""
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    clicks = e.where("event_type = 'click'").select("user_id", "ts", "event_id")
+    return relate.as_of_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "event_id").select("event_id", F.col("as_of").alias("last_click"))
 
 
 # ---- aggregations

@@ -152,3 +152,18 @@ def test_terms_with_signs_are_no_patterns(spark):
     df = spark.createDataFrame([(1, "We write C++ and a.b here"), (2, "axb c"), (3, "C")], "id int, text string")
     assert [r.id for r in search.bm25(df, ["c++"], "id", "text").collect()] == [1]
     assert [r.id for r in search.bm25(df, ["A.B", ""], "id", "text").collect()] == [1]
+
+
+def test_as_of_join_against_looking_it_up(spark):
+    import datetime as dt
+    import random
+
+    rnd = random.Random(2)
+    day = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(days=rnd.randrange(200), hours=rnd.randrange(3))
+    left = [(i, rnd.choice(["a", "a", "b", "c", None]), day() if i % 9 else None, "x") for i in range(120)]
+    right = [(rnd.choice(["a", "b", None]), day() if i % 11 else None, rnd.randrange(1000)) for i in range(90)]
+    got = relate.as_of_join(spark.createDataFrame(left, "id int, k string, ts timestamp, as_of_clash string"), spark.createDataFrame(right, "k string, ts timestamp, r int"), ["k"], "ts", "r", width_days=7)
+    want = {i: max(((t2, r) for k2, t2, r in right if k is not None and k2 == k and t is not None and t2 is not None and t2 <= t), default=(None, None))[1] for i, k, t, _ in left}
+    assert {r.id: r.as_of for r in got.collect()} == want
+    empty = spark.createDataFrame([], "k string, ts timestamp, r int")
+    assert [r.as_of for r in relate.as_of_join(spark.createDataFrame(left[:2], "id int, k string, ts timestamp, z string"), empty, ["k"], "ts", "r").collect()] == [None, None]
