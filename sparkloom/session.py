@@ -18,6 +18,7 @@ def get_spark(app: str = "sparkloom", cores: str = "*", partitions: int = 8, **c
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "12g")
     )
     for k, v in conf.items():
