@@ -143,6 +143,33 @@ def approved_context(edges: DataFrame, shortlist: DataFrame, most: int = 12, flo
 # ---- pins and shortlists
 
 
+def score_entities(entities: DataFrame, evidence: DataFrame) -> DataFrame:
+    """entity, file_id, score, reason: how sure a file of evidence(file_id, signal, text) is about an entity(entity).
+
+    Each signal adds its weight times the share of the entity's words its best text has; initials stand for a name of several words on either side, but for the table's
+    name all words or the initials must be there. Without a role or the table's name a file is unsure, with a key role alone not sure. Words meet in equality joins.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: F.length(x) >= 2))
+    initials = lambda t: F.when(F.size(t) > 1, F.array_join(F.transform(t, lambda x: F.substring(x, 1, 1)), ""))
+    e = entities.select("entity").distinct().select("entity", words("entity").alias("t")).where(F.size("t") > 0).select("entity", "t", F.size("t").alias("size"), initials(F.col("t")).alias("short"))
+    v = evidence.where("text is not null").select("file_id", "signal", "text").distinct().select("file_id", "signal", "text", words("text").alias("t")).withColumn("short", initials(F.col("t")))
+    table = F.col("signal") == "table_name"
+    keys = v.select("file_id", "signal", "text", F.explode("t").alias("w"), F.lit(True).alias("plain")).unionByName(
+        v.where(~table & F.length("short").between(2, 5) & ~F.array_contains("t", F.col("short"))).select("file_id", "signal", "text", F.col("short").alias("w"), F.lit(False).alias("plain")))
+    hits = e.select("entity", "size", F.explode("t").alias("w")).join(keys, "w").groupBy("entity", "size", "file_id", "signal", "text").agg(F.count(F.lit(1)).alias("n"))
+    shared = hits.select("entity", "file_id", "signal", F.when(table & (F.col("n") < F.col("size")), 0.0).otherwise(F.col("n") / F.col("size")).alias("share"))
+    named = e.where("short is not null").select("entity", F.col("short").alias("w")).join(keys.where("plain"), "w").select("entity", "file_id", "signal", F.lit(1.0).alias("share"))
+    best = shared.unionByName(named).groupBy("entity", "file_id", "signal").agg(F.max("share").alias("share")).where(F.col("share") >= policy.EVIDENCE_OVERLAP)
+    weight = F.element_at(F.create_map(*[F.lit(x) for s, w, _ in policy.EVIDENCE for x in (s, w)]), F.col("signal"))
+    place = F.array_position(F.array(*[F.lit(s) for s, _, _ in policy.EVIDENCE]), F.col("signal"))
+    has = lambda *names: F.max(F.col("signal").isin(*names))
+    g = best.where(weight.isNotNull()).groupBy("entity", "file_id").agg(F.sum(weight * F.col("share")).alias("s"), F.min(place).alias("first"), has("entity_key", "reference_key", "table_name").alias("anchor"), has("entity_key").alias("key"), has("table_name").alias("table"))
+    key_only = F.col("key") & ~F.col("table")
+    score = F.least("s", F.when(~F.col("anchor"), policy.UNANCHORED_CAP).when(key_only, policy.KEY_ONLY_CAP).otherwise(policy.EVIDENCE_CAP))
+    reason = F.element_at(F.array(*[F.lit(r) for _, _, r in policy.EVIDENCE]), F.when(key_only & (F.col("first") == 1), 2).otherwise(F.col("first")).cast("int"))
+    return g.select("entity", "file_id", F.round(score, 6).alias("score"), reason.alias("reason"))
+
+
 def corroborated(candidates: DataFrame, registry: DataFrame, min_cardinality: int = policy.EDGE_MIN_CARDINALITY, min_overlap: float = 0.5) -> DataFrame:
     """candidates(entity, table_name, confidence) with ``corroborated``: whether a key of the table with enough values has a role label that overlaps the entity. registry(table_name, key_kind, cardinality, role)."""
     keys = registry.where(F.col("key_kind").isin("pk", "fk") & (F.col("cardinality") >= min_cardinality)).select("table_name", label_tokens(parse_role(F.col("role"))["label"]).alias("l")).where("l is not null").distinct()

@@ -10,6 +10,7 @@ from sparkloom.plans.analysis_queries import _GRAMS, _bm25_sql
 from sparkloom.plans.registry import query
 from sparkloom.plans.training_queries import _NODES
 from sparkloom.session import durable, table
+from sparkloom.sources import io
 
 _LAST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC) AS rn FROM file_metadata) WHERE rn = 1)"
 
@@ -89,6 +90,20 @@ def stage_timings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", at).alias("first_step"), F.max_by("event_type", at).alias("last_step"), F.count(F.lit(1)).alias("n_steps"), (us(F.max("ts")) - us(F.min("ts"))).alias("span_us"))
 
 
+@query("SELECT user_id, round(sum(value) FILTER (event_type = 'view'), 4) AS view, round(sum(value) FILTER (event_type = 'click'), 4) AS click, round(sum(value) FILTER (event_type = 'purchase'), 4) AS purchase FROM events GROUP BY 1")
+def stage_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """Time spent in each stage, a column a stage."""
+    p = table(spark, d, "events").groupBy("user_id").pivot("event_type", ["view", "click", "purchase"]).agg(F.sum("value"))
+    return p.select("user_id", *[F.round(c, 4).alias(c) for c in ("view", "click", "purchase")])
+
+
+@query("SELECT id, container_id, trust_state FROM (SELECT id, container_id, trust_state, row_number() OVER (PARTITION BY id ORDER BY 1) AS r FROM file_metadata WHERE trust_state IS NOT NULL) WHERE r = 1 AND trust_state <> 'SHADOW' UNION ALL SELECT DISTINCT id, container_id, 'renewed' FROM file_metadata WHERE trust_state = 'SHADOW'")
+def registry_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Rows put over those of their key: what has a new row is renewed, all else stays."""
+    m = table(spark, d, "file_metadata").where("trust_state is not null").select("id", "container_id", "trust_state").dropDuplicates(["id"])
+    return io.upsert(m, m.where("trust_state = 'SHADOW'").withColumn("trust_state", F.lit("renewed")), ["id"])
+
+
 @query("SELECT event_id, event_type, user_id FROM events WHERE contains(lower(event_type), 'err') ORDER BY ts DESC, event_id DESC LIMIT 100")
 def log_search(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where(F.lower("event_type").contains("err")).orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "event_type", "user_id")

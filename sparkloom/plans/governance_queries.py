@@ -136,6 +136,29 @@ def join_rules(spark: SparkSession, d: str) -> DataFrame:
     return g.join_rules(joins, g.companions(joins, roles)).select("file_a", "file_b", F.size("components").cast("long").alias("n_components"), "composite")
 
 
+_ASKED = ("net amount", "plant", "due date", "vendor payments", "supplier reference number")
+_W = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: length(x) >= 2))"
+
+
+@query(
+    "WITH " + _NAMES + ", v AS (SELECT DISTINCT id AS file_id, 'table_name' AS signal, regexp_replace(name, '\\.[^.]*$', '') AS text FROM files UNION SELECT file_id, kind, label FROM r WHERE kind = 'entity_key' UNION SELECT file_id, 'column_name', column_name FROM c UNION SELECT file_id, 'description', ai_description FROM file_metadata WHERE ai_description IS NOT NULL AND file_id IS NOT NULL), "
+    "t AS (SELECT *, " + _W.format("text") + " AS w FROM v), ta AS (SELECT *, CASE WHEN len(w) > 1 THEN array_to_string(list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2), lambda x: x[1]), '') END AS short FROM t), "
+    "e AS (SELECT entity, list_filter(regexp_split_to_array(entity, '[^a-z0-9]+'), lambda x: length(x) >= 2) AS e FROM (VALUES " + ", ".join(f"('{x}')" for x in _ASKED) + ") q(entity)), ea AS (SELECT *, CASE WHEN len(e) > 1 THEN array_to_string(list_transform(e, lambda x: x[1]), '') END AS es FROM e), "
+    "x AS (SELECT entity, file_id, signal, CASE WHEN es IS NOT NULL AND list_contains(w, es) THEN 1.0 WHEN signal = 'table_name' THEN CASE WHEN len(list_intersect(e, w)) < len(e) THEN 0 ELSE 1 END ELSE len(list_filter(e, lambda k: list_contains(w, k) OR (length(k) BETWEEN 2 AND 5 AND k = coalesce(short, '')))) / len(e) END AS share FROM ea, ta), "
+    "b AS (SELECT entity, file_id, signal, max(share) AS share FROM x GROUP BY 1, 2, 3 HAVING max(share) >= 0.5), g AS (SELECT entity, file_id, sum(share * CASE signal WHEN 'entity_key' THEN 0.55 WHEN 'table_name' THEN 0.42 WHEN 'column_name' THEN 0.28 ELSE 0.18 END) AS s, bool_or(signal = 'entity_key') AS k, bool_or(signal = 'table_name') AS t, bool_or(signal = 'column_name') AS c FROM b GROUP BY 1, 2) "
+    "SELECT entity, file_id, round(least(s, CASE WHEN NOT k AND NOT t THEN 0.35 WHEN k AND NOT t THEN 0.74 ELSE 0.95 END), 6) AS score, CASE WHEN k AND NOT t THEN 'transactional_reference' WHEN k THEN 'semantic_role_match' WHEN t THEN 'table_name_match' WHEN c THEN 'column_name_match' ELSE 'description_match' END AS reason FROM g"
+)
+def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """How sure each file is about each entity of a question, by its roles, name, columns and description."""
+    roles = _roles(spark, d)
+    kind = g.parse_role(F.col("role"))
+    line = lambda df, signal, text: df.select("file_id", F.lit(signal).alias("signal"), text.alias("text"))
+    files, meta = table(spark, d, "files").select(F.col("id").alias("file_id"), "name"), table(spark, d, "file_metadata").where("file_id is not null")
+    parts = [line(files, "table_name", F.regexp_replace("name", r"\.[^.]*$", "")), line(roles.where(kind["kind"] == "entity_key"), "entity_key", g.parse_role(F.col("role"))["label"]), line(roles, "column_name", F.col("column_name")), line(meta, "description", F.col("ai_description"))]
+    evidence = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return g.score_entities(spark.createDataFrame([(x,) for x in _ASKED], "entity string"), evidence)
+
+
 _SOURCES = "e AS (SELECT container_id AS entity, source_system AS table_name, round(max(confidence), 6) AS confidence, CAST(count(*) AS BIGINT) AS cardinality FROM erp_classifications WHERE container_id IS NOT NULL AND source_system IS NOT NULL GROUP BY 1, 2)"
 
 

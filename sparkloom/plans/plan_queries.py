@@ -98,6 +98,18 @@ def question_average_by_segment(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumn("value", F.round("value", 2))
 
 
+@query("SELECT o_orderpriority AS order_priority, round(sum(CAST(l_quantity AS DOUBLE)), 2) AS value FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1997-04-01' AND DATE '1997-06-30' GROUP BY 1")
+def question_sum_by_label(spark: SparkSession, d: str) -> DataFrame:
+    """total quantity by order priority in Q2 1997"""
+    return planner.plan("total quantity by order priority in Q2 1997", _views(spark, d), ROLES, JOINS, TODAY).withColumn("value", F.round("value", 2))
+
+
+@query("SELECT strftime(o_orderdate, '%Y') AS period, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1")
+def question_count_by_year(spark: SparkSession, d: str) -> DataFrame:
+    """how many orders per year"""
+    return planner.plan("how many orders per year", _views(spark, d), [c for c in ROLES if c.table == "orders"], JOINS, TODAY).withColumn("value", F.col("value").cast("double"))
+
+
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def events_tumbling(spark: SparkSession, d: str) -> DataFrame:
     out = windows.tumbling(table(spark, d, "events"), "ts", ["event_type"], "value", "1 day")

@@ -57,3 +57,9 @@ DICTIONARY_TEXT = ("description", "desc", "short_text", "long_text", "label", "m
 DICTIONARY_NOTES = ("long_text", "documentation", "notes", "remark", "extended_description", "detail", "comment")
 # What a positive status is no evidence of: the beginning of the status, and words of an alias that say the opposite.
 STATUS_OPPOSITES = (("approved", ("pending", "open", "waiting")), ("delivered", ("notdelivered", "pending", "issue", "problem")), ("matched", ("unmatched", "mismatch", "issue", "problem")), ("paid", ("unpaid", "pending", "open", "issue")), ("cleared", ("uncleared", "open", "pending")))
+# Evidence that a file is about an entity, the strongest reason first: signal, weight, reason.
+EVIDENCE = (
+    ("entity_key", 0.55, "semantic_role_match"), ("reference_key", 0.28, "transactional_reference"), ("key_dimension", 0.38, "key_dimension_match"), ("table_name", 0.42, "table_name_match"),
+    ("column_name", 0.28, "column_name_match"), ("description", 0.18, "description_match"), ("good_for", 0.14, "good_for_match"), ("key_metric", 0.08, "metric_reference"),
+)
+EVIDENCE_OVERLAP, EVIDENCE_CAP, UNANCHORED_CAP, KEY_ONLY_CAP = 0.50, 0.95, 0.35, 0.74
