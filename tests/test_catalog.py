@@ -79,3 +79,18 @@ def test_interval_join(spark):
     i = spark.createDataFrame(spans, "i int, a date, b date")
     got = {(r.p, r.i) for r in relate.interval_join(p, i, "day", "a", "b", 10).collect()}
     assert got == {(x.p, s[0]) for x in p.collect() for s in spans if x.day and s[1] and s[1] <= x.day <= s[2]}
+
+
+def test_budget_against_running_sums(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice("ab"), i, rnd.choice([0, 1, 5, 9, None])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, i int, n int")
+    want, used = set(), {}
+    for k, i, n in sorted(rows, key=lambda r: r[1]):
+        used[k] = used.get(k) if n is None else (used.get(k) or 0) + n
+        if used[k] is not None and used[k] <= 60:
+            want.add((k, i, used[k]))
+    assert {(r.k, r.i, r.used) for r in catalog.within_budget(df, ["k"], ["i"], "n", 60, parts=5).collect()} == want
+    assert catalog.within_budget(df.where("false"), ["k"], ["i"], "n", 60).count() == 0
