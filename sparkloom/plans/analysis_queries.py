@@ -58,17 +58,20 @@ def join_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH " + _FPS + ", " + _REG + ", " + _OVERLAP + ", " + _EDGES + ", s AS (SELECT *, regexp_replace(column_a, '^[a-z]+_', '') = regexp_replace(column_b, '^[a-z]+_', '') AS same FROM edges) SELECT file_a, column_a, file_b, column_b, "
-    "CASE WHEN same AND overlap >= 0.999 AND cardinality_a = cardinality_b THEN 'candidate' WHEN same THEN 'approved' WHEN relationship_type = 'many_to_many' THEN 'candidate' WHEN confidence >= 0.72 THEN 'approved' ELSE 'candidate' END AS status, "
-    "CASE WHEN same AND overlap >= 0.999 AND cardinality_a = cardinality_b THEN 'templated/copied column, not a referential key' WHEN same THEN NULL WHEN relationship_type = 'many_to_many' THEN 'many-to-many join can duplicate rows unless a grain rule approves it' WHEN confidence >= 0.72 THEN NULL ELSE 'needs stronger confidence or business approval' END AS reason FROM s"
+    "WITH " + _FPS + ", " + _REG + ", " + _OVERLAP + ", " + _EDGES + ", b AS (SELECT regexp_replace(column_name, '^[a-z]+_', '') AS k, count(DISTINCT file_name) / (SELECT count(DISTINCT file_name) FROM reg) AS wide FROM reg GROUP BY 1), s AS (SELECT edges.*, b.wide, regexp_replace(column_a, '^[a-z]+_', '') = regexp_replace(column_b, '^[a-z]+_', '') AS same FROM edges JOIN b ON b.k = regexp_replace(column_a, '^[a-z]+_', '')) SELECT file_a, column_a, file_b, column_b, "
+    "CASE WHEN wide > 0.6 THEN 'candidate' WHEN same AND overlap >= 0.999 AND cardinality_a = cardinality_b THEN 'candidate' WHEN same THEN 'approved' WHEN relationship_type = 'many_to_many' THEN 'candidate' WHEN confidence >= 0.72 THEN 'approved' ELSE 'candidate' END AS status, "
+    "CASE WHEN wide > 0.6 THEN 'ubiquitous/audit column, not a business key' WHEN same AND overlap >= 0.999 AND cardinality_a = cardinality_b THEN 'templated/copied column, not a referential key' WHEN same THEN NULL WHEN relationship_type = 'many_to_many' THEN 'many-to-many join can duplicate rows unless a grain rule approves it' WHEN confidence >= 0.72 THEN NULL ELSE 'needs stronger confidence or business approval' END AS reason FROM s"
 )
 def join_approval(spark: SparkSession, d: str) -> DataFrame:
-    """Approval of the found edges; the columns' prefixes are left out of the comparison of names, no column is everywhere here."""
-    e = _edges(spark, d)
+    """Approval of the found edges by the ubiquity, overlap and confidence measured; the columns' prefixes are left out of the comparison of names."""
+    v = durable(_values(spark, d))
+    registry = durable(relate.key_registry(v))
+    e = relate.edges(relate.fingerprint_overlap(v), registry)
     bare = lambda c: F.regexp_replace(c, "^[a-z]+_", "")
+    wide = relate.ubiquity(registry.select(F.lit("star").alias("container_id"), F.col("file_name").alias("file_id"), bare("column_name").alias("column_name"))).select(F.col("column_name").alias("k"), "ubiquity")
     no = F.lit(False)
-    said = relate.approval(bare("column_a") == bare("column_b"), F.lit(0.1), F.col("overlap"), F.col("cardinality_a"), F.col("cardinality_b"), F.col("confidence"), F.col("relationship_type"), no, no)
-    return e.select("file_a", "column_a", "file_b", "column_b", said.alias("x")).select("file_a", "column_a", "file_b", "column_b", "x.status", "x.reason")
+    said = relate.approval(bare("column_a") == bare("column_b"), F.col("ubiquity"), F.col("overlap"), F.col("cardinality_a"), F.col("cardinality_b"), F.col("confidence"), F.col("relationship_type"), no, no)
+    return e.join(wide, bare("column_a") == F.col("k")).select("file_a", "column_a", "file_b", "column_b", said.alias("x")).select("file_a", "column_a", "file_b", "column_b", "x.status", "x.reason")
 
 
 @query(
